@@ -32,16 +32,23 @@ def split_area(
 
 
 def rounded_parts(
-    shares: DataFrame, limits: DataFrame, by: list[str], adjust_area: str | None = None
+    shares: DataFrame, limits: DataFrame | dict[int, float], by: list[str] = (), adjust_area: str | None = None
 ) -> DataFrame:
     """Area limits as whole tons that add up to the total.
 
-    shares: (by..., strata, share); limits: (by..., year_limit, abc). Parts are
-    rounded half to even; the difference goes to `adjust_area`, or to the area
-    with the largest share when none is named.
+    shares: (by..., strata, share); limits: (by..., year_limit, abc), or
+    {year: abc} when one set of limits holds for all rows. Parts are rounded
+    half to even; the difference goes to `adjust_area`, or to the area with the
+    largest share when none is named.
     """
     keys = [*by, "year_limit"]
-    rows = shares.join(limits, by) if by else shares.join(limits)
+    if isinstance(limits, dict):
+        pairs = F.array(
+            *[F.struct(F.lit(y).alias("year_limit"), F.lit(float(v)).alias("abc")) for y, v in limits.items()]
+        )
+        rows = shares.withColumn("_l", F.explode(pairs)).select(*shares.columns, "_l.year_limit", "_l.abc")
+    else:
+        rows = shares.join(limits, list(by))
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("_part", F.bround(F.col("share") * F.col("abc"), 0))
     rows = rows.withColumn("_diff", F.col("abc") - F.sum("_part").over(w))

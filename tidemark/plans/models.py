@@ -42,16 +42,16 @@ def parameter_table(df: DataFrame, labels: dict[str, str], models: list[str], di
 def labelled_series(df: DataFrame, quantities: dict[str, str]) -> DataFrame:
     """Quantities labelled PREFIX_YEAR -> (model, quantity, year, value, sd).
 
-    quantities = {printed name: prefix}. Labels whose tail is no year are left out.
+    quantities = {printed name: pattern of the whole prefix}. Labels whose tail
+    is no year are left out.
     """
     prefix = F.regexp_extract("label", r"^(.*)_[^_]*$", 1)
-    tail = F.regexp_extract("label", r"_([^_]*)$", 1).try_cast("int")
-    names = F.create_map(*[F.lit(x) for n, p in quantities.items() for x in (p, n)])
-    return (
-        df.withColumn("_p", prefix)
-        .withColumn("year", tail)
-        .where(F.col("year").isNotNull() & F.col("_p").isin(list(quantities.values())))
-        .select("model", F.try_element_at(names, F.col("_p")).alias("quantity"), "year", "value", "sd")
+    name = F.lit(None).cast("string")
+    for printed, pattern in reversed(quantities.items()):
+        name = F.when(prefix.rlike(f"^(?:{pattern})$"), F.lit(printed)).otherwise(name)
+    rows = df.withColumn("quantity", name).withColumn("year", F.regexp_extract("label", r"_([^_]*)$", 1).try_cast("int"))
+    return rows.where(F.col("quantity").isNotNull() & F.col("year").isNotNull()).select(
+        "model", "quantity", "year", "value", "sd"
     )
 
 

@@ -224,6 +224,10 @@ def composition_block(rows: DataFrame, block_id: int, front: list[str], bins: li
 
 
 def many_runs(spark: SparkSession, path, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """The same table from many run folders, with `model` = the folder name."""
+    """The same table from many run folders, with `model` = the folder name.
+
+    `path` is a glob over the files, so a folder named key=value is read as is.
+    """
     df = spark.read.schema(schema).option("sep", sep).option("header", header).csv(path)
-    return df.withColumn("model", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return df.select("*", F.regexp_replace(folder, "^[^=]*=", "").alias("model"))
