@@ -6,12 +6,18 @@ Spark groups the strata; numpy filters one series inside its task.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stats import Z90, Z95
 
+# Ship the helpers inside the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _OUT = (
     "year int, obs double, obs_cv double, log_est double, log_sd double, sd_conditional double, "
     "log_sigma double, nll double"

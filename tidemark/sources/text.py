@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dates import parse_month_first, week_of_year
-from ..operators.windows import carry_forward_chunked
 
 
 def read_lines(spark: SparkSession, path, glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -33,21 +32,46 @@ def select_files(lines: DataFrame, keep: str = ".*", drop: str | None = None) ->
     return out.where(~F.col("path").rlike(drop)) if drop else out
 
 
-def running_count(lines: DataFrame, test: Column, out: str) -> DataFrame:
-    """Number of lines up to and including this one that pass `test`, per file."""
-    hit = F.when(test, 1).otherwise(0)
+def running_values(
+    lines: DataFrame, counts: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None
+) -> DataFrame:
+    """Running values down each file, this line included.
+
+    counts: number of lines so far that pass a test. lasts: last non-null value
+    so far. Each split is scanned by itself; one row per split carries the
+    values on to the next split.
+    """
+    counts, lasts = counts or {}, lasts or {}
+    hits = {n: F.when(test, 1).otherwise(0) for n, test in counts.items()}
     inner = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    local = lines.withColumn("_in", F.sum(hit).over(inner))
+    local = lines.withColumns(
+        {f"_in_{n}": F.sum(h).over(inner) for n, h in hits.items()}
+        | {f"_in_{n}": F.last(e, ignorenulls=True).over(inner) for n, e in lasts.items()}
+    )
+    blocks = lines.groupBy("path", "block").agg(
+        *[F.sum(h).alias(f"_t_{n}") for n, h in hits.items()],
+        *[F.max_by(e, F.when(e.isNotNull(), F.col("line"))).alias(f"_t_{n}") for n, e in lasts.items()],
+    )
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("path", "block").agg(F.sum(hit).alias("_hits"))
-    blocks = blocks.withColumn("_pre", F.coalesce(F.sum("_hits").over(before), F.lit(0))).drop("_hits")
-    return (
-        local.join(blocks, ["path", "block"])
-        .withColumn(out, (F.col("_in") + F.col("_pre")).cast("long"))
-        .drop("_in", "_pre")
+    blocks = blocks.select(
+        "path",
+        "block",
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_pre_{n}") for n in hits],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_pre_{n}") for n in lasts],
+    )
+    out = local.join(blocks, ["path", "block"])
+    return out.select(
+        *lines.columns,
+        *[(F.col(f"_in_{n}") + F.col(f"_pre_{n}")).cast("long").alias(n) for n in hits],
+        *[F.coalesce(F.col(f"_in_{n}"), F.col(f"_pre_{n}")).alias(n) for n in lasts],
     )
 
 
+def running_count(lines: DataFrame, test: Column, out: str) -> DataFrame:
+    """Number of lines up to and including this one that pass `test`, per file."""
+    return running_values(lines, counts={out: test})
+
+
 def words(value: Column | str) -> Column:
     """Blank-separated words of a line; a blank line gives none."""
     value = F.col(value) if isinstance(value, str) else value
@@ -66,13 +90,14 @@ def _typed_words(lines: DataFrame, schema: str, keep: list[str]) -> DataFrame:
 def whitespace_table(spark: SparkSession, path, schema: str, header: bool = False, keep_path: bool = False) -> DataFrame:
     """Blank-separated table under a declared schema.
 
-    With header=True the header is recognised by its first word being the
-    first column name (in any case), so it is found in every file.
+    With header=True header lines are recognised by their first two words being
+    the first two column names (in any case), so they are found in every file.
     """
     lines = read_lines(spark, path)
     if header:
-        first = schema.split(",")[0].strip().rsplit(" ", 1)[0]
-        lines = lines.where(F.lower(F.get(words("value"), F.lit(0))) != F.lit(first.lower()))
+        names = [f.strip().rsplit(" ", 1)[0].lower() for f in schema.split(",")][:2]
+        is_header = F.lower(F.concat_ws(" ", F.slice(words("value"), 1, len(names)))) == F.lit(" ".join(names))
+        lines = lines.where(~is_header)
     return _typed_words(lines, schema, ["path"] if keep_path else [])
 
 
@@ -85,11 +110,9 @@ def rows_after_marker(spark: SparkSession, path, marker: str, row: str, schema:
 def lines_between(spark: SparkSession, path, start: str, end: str) -> DataFrame:
     """Lines after a start marker and before the next end marker, markers left out."""
     is_start, is_end = F.col("value").rlike(start), F.col("value").rlike(end)
-    lines = running_count(read_lines(spark, path), is_start, "_starts")
     state = F.when(is_start, F.lit("in")).when(is_end, F.lit("out"))
-    lines = lines.withColumn("_state", state)
-    lines = carry_forward_chunked(lines, ["path"], "block", ["line"], ["_state"])
-    return lines.where((F.col("_state") == "in") & ~is_start & (F.col("_starts") > 0)).drop("_state", "_starts")
+    lines = running_values(read_lines(spark, path), lasts={"_state": state})
+    return lines.where((F.col("_state") == "in") & ~is_start).drop("_state")
 
 
 def preamble_csv(
@@ -116,25 +139,29 @@ def weekly_catch(spark: SparkSession, path, header_pattern: str = r"ACCOUNT.NAME
 
 
 def tagged_sections(lines: DataFrame, label: Column, tag: Column) -> DataFrame:
-    """Label lines followed by value lines -> (path, section, tag, pos, value).
+    """Label lines followed by value lines -> (path, section, tag, size, pos, value).
 
     `label` tells label lines from value lines, `tag` reads a label line's name.
-    Values keep their order inside the section across lines (pos from 0).
+    Values keep their order inside the section across lines (pos from 0); size
+    is the number of values in the section.
     """
-    marked = running_count(lines, label, "section").withColumn("tag", F.when(label, tag))
-    tags = marked.where(F.col("tag").isNotNull()).select("path", "section", "tag")
-    body = marked.where(~label & (F.col("section") > 0)).drop("tag")
-    cells = body.withColumn("_w", words("value")).where(F.size("_w") > 0)
-    before_in = Window.partitionBy("path", "section", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    marked = running_values(lines, counts={"section": label}, lasts={"tag": F.when(label, tag)})
+    cells = marked.where(~label & (F.col("section") > 0)).withColumn("_w", words("value")).where(F.size("_w") > 0)
+    keys = ["path", "section", "block"]
+    before_in = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_off", F.coalesce(F.sum(F.size("_w")).over(before_in), F.lit(0)))
-    sizes = cells.groupBy("path", "section", "block").agg(F.sum(F.size("_w")).alias("_n"))
-    before = Window.partitionBy("path", "section").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_pre", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = cells.join(sizes, ["path", "section", "block"]).select(
-        "path", "section", (F.col("_off") + F.col("_pre")).alias("_base"), F.posexplode("_w").alias("_i", "value")
+    sizes = cells.groupBy(*keys).agg(F.sum(F.size("_w")).alias("_n"))
+    section = Window.partitionBy("path", "section")
+    before = section.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pre"), F.sum("_n").over(section).alias("size")
+    )
+    out = cells.join(sizes, keys).select(
+        "path", "section", "tag", "size", (F.col("_off") + F.col("_pre")).alias("_base"), F.posexplode("_w").alias("_i", "value")
+    )
+    return out.select(
+        "path", "section", "tag", "size", (F.col("_base") + F.col("_i")).cast("long").alias("pos"), "value"
     )
-    out = out.select("path", "section", (F.col("_base") + F.col("_i")).cast("long").alias("pos"), "value")
-    return out.join(tags, ["path", "section"]).select("path", "section", "tag", "pos", "value")
 
 
 def report_vectors(spark: SparkSession, path, index_tag: str = "yrs") -> DataFrame:
@@ -143,17 +170,21 @@ def report_vectors(spark: SparkSession, path, index_tag: str = "yrs") -> DataFra
     Vectors as long as the index vector are lined up with it by position.
     """
     lines = read_lines(spark, path)
-    is_label = F.col("value").rlike(r"^\s*[A-Za-z]")
-    cells = tagged_sections(lines, is_label, F.trim("value"))
-    numbers = cells.withColumn("num", F.col("value").try_cast("double"))
-    index = numbers.where(F.col("tag") == index_tag).select("path", "pos", F.col("num").cast("int").alias(index_tag))
-    sizes = numbers.groupBy("path", "tag").agg(F.count(F.lit(1)).alias("_n"))
-    index_size = sizes.where(F.col("tag") == index_tag).select("path", F.col("_n").alias("_m"))
-    same = sizes.join(index_size, "path").where((F.col("_n") == F.col("_m")) & (F.col("tag") != index_tag))
-    return (
-        numbers.join(same.select("path", "tag"), ["path", "tag"], "left_semi")
-        .join(index, ["path", "pos"])
-        .select("path", index_tag, "tag", F.col("num").alias("value"))
+    cells = tagged_sections(lines, F.col("value").rlike(r"^\s*[A-Za-z]"), F.trim("value"))
+    # All tags of one place in one file: as many rows as the report has vectors.
+    place = Window.partitionBy("path", "pos")
+    is_index = F.col("tag") == index_tag
+    number = F.col("value").try_cast("double")
+    aligned = cells.select(
+        "path",
+        "tag",
+        "size",
+        F.max(F.when(is_index, number.cast("int"))).over(place).alias(index_tag),
+        F.max(F.when(is_index, F.col("size"))).over(place).alias("_index_size"),
+        number.alias("value"),
+    )
+    return aligned.where((F.col("tag") != index_tag) & (F.col("size") == F.col("_index_size"))).select(
+        "path", index_tag, "tag", "value"
     )
 
 

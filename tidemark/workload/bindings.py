@@ -153,31 +153,31 @@ def scenario_summary(t: Tables) -> DataFrame:
             (F.dayofmonth("ts") + 2000).alias("year"),
             pick(SUMMARY_METRICS, F.col("event_id") % 8).alias("metric"),
         )
-        .agg(F.round(F.avg("value"), 4).alias("value"))
+        .agg(F.round(F.sum("value"), 4).alias("value"))
         .withColumn("stock", F.lit("stock"))
     )
 
 
 SUMMARY = f"""summary AS (
   SELECT 'stock' AS stock, CAST(user_id % 7 + 1 AS INTEGER) AS alt, CAST(dayofmonth(ts) + 2000 AS INTEGER) AS year,
-         {sql_pick(SUMMARY_METRICS, 'event_id % 8')} AS metric, round(avg(value), 4) AS value
+         {sql_pick(SUMMARY_METRICS, 'event_id % 8')} AS metric, round(sum(value), 4) AS value
   FROM events GROUP BY ALL)"""
 
 
 def catch_run(t: Tables) -> DataFrame:
     v = F.col("value")
     return t.events.groupBy((F.dayofmonth("ts") + 2000).alias("year")).agg(
-        F.round(F.avg(v), 4).alias("Catch"),
-        F.round(F.avg(v) * 1.5, 4).alias("ABC"),
-        F.round(F.avg(v) * 1.8, 4).alias("OFL"),
+        F.round(F.sum(v), 4).alias("Catch"),
+        F.round(F.sum(v) * 1.5, 4).alias("ABC"),
+        F.round(F.sum(v) * 1.8, 4).alias("OFL"),
         F.round(F.max(v), 4).alias("SSB"),
         F.round(F.max(v) * 2, 4).alias("TotBiom"),
     )
 
 
 CATCH_RUN = """catch_run AS (
-  SELECT CAST(dayofmonth(ts) + 2000 AS INTEGER) AS year, round(avg(value), 4) AS Catch,
-         round(avg(value) * 1.5, 4) AS ABC, round(avg(value) * 1.8, 4) AS OFL,
+  SELECT CAST(dayofmonth(ts) + 2000 AS INTEGER) AS year, round(sum(value), 4) AS Catch,
+         round(sum(value) * 1.5, 4) AS ABC, round(sum(value) * 1.8, 4) AS OFL,
          round(max(value), 4) AS SSB, round(max(value) * 2, 4) AS TotBiom
   FROM events GROUP BY ALL)"""
 
