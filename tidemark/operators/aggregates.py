@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import strict_sum
 from ..functions.rounding import round_away
+from .joins import measured
 
 
 def sum_by(df: DataFrame, by: list, value, out: str, strict: bool = False) -> DataFrame:
@@ -58,63 +59,61 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of groups of any size.
 
-    A built-in percentile holds one group's values in one task. Here equal
-    values are counted first; counts per narrow value band (relative width
-    1/resolution) locate the bands that hold the wanted ranks; only rows of
-    those bands are ordered. The answer is exact for every resolution.
+    A built-in percentile holds all values of a group in one task. Here rows
+    are first counted per narrow value band (relative width 1/resolution),
+    which shuffles only partial counts. The counts tell which bands hold the
+    wanted ranks; rows of other bands are dropped before anything else is
+    shuffled, equal values are counted, and the few left are ranked inside
+    their band. The answer is exact for every resolution.
     """
     v = F.col(value).cast("double")
-    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
     # ln of any positive double lies in (-746, 710), so the offset keeps bands positive.
     magnitude = F.floor(F.log(F.abs("_v")) * resolution) + F.lit(1000 * resolution)
-    band = F.when(F.col("_v") == 0, F.lit(0).cast("long")).otherwise(
-        F.when(F.col("_v") > 0, magnitude).otherwise(-magnitude).cast("long")
+    rows = rows.withColumn(
+        "_band",
+        F.when(F.col("_v") == 0, F.lit(0).cast("long")).when(F.col("_v") > 0, magnitude).otherwise(-magnitude),
     )
-    counted = counted.withColumn("_band", band)
 
     running = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
-    bands = counted.groupBy(*by, "_band").agg(F.sum("_n").alias("_size"))
-    bands = bands.withColumn("_end", F.sum("_size").over(running)).withColumn(
-        "_total", F.sum("_size").over(Window.partitionBy(*by))
+    bands = rows.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_size"))
+    bands = bands.select(
+        *by,
+        "_band",
+        F.sum("_size").over(running).alias("_end"),
+        (F.sum("_size").over(running) - F.col("_size")).alias("_start"),
+        (F.sum("_size").over(Window.partitionBy(*by)) - 1).alias("_last"),
     )
     wanted = []
-    for name, p in probs.items():
-        at = (F.col("_total") - 1).cast("double") * F.lit(float(p))
+    for i, p in enumerate(probs.values()):
+        at = F.col("_last").cast("double") * F.lit(float(p))
         low = F.floor(at)
-        for side, rank in (("lo", low), ("hi", F.least(low + 1, F.col("_total") - 1))):
+        for side, rank in ((0, low), (1, F.least(low + 1, F.col("_last")))):
             wanted.append(
-                F.struct(F.lit(f"{name}.{side}").alias("id"), rank.cast("long").alias("rank"), (at - low).alias("frac"))
+                F.struct(F.lit(2 * i + side).alias("id"), rank.alias("rank"), (at - low).alias("frac"))
             )
-    bands = bands.withColumn("_start", F.col("_end") - F.col("_size")).withColumn("_need", F.array(*wanted))
-    bands = bands.withColumn(
-        "_need",
-        F.filter("_need", lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end"))),
-    ).where(F.size("_need") > 0)
-    bands = bands.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_band").alias("_kb"), "_start", "_need")
-
-    cond = F.col("_band") == F.col("_kb")
-    for b in by:
-        cond = cond & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    inside = Window.partitionBy(*by, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end"))
+    bands = bands.withColumn("_need", F.filter(F.array(*wanted), inside)).where(F.size("_need") > 0)
+    # At most two bands per quantile and group.
+    keys = [F.col(b).alias(f"_k_{b}") for b in [*by, "_band"]]
+    bands = measured(bands.select(*keys, "_start", "_need"))
+    match = None
+    for b in [*by, "_band"]:
+        term = F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+        match = term if match is None else match & term
+
+    counted = rows.join(bands, match, "left_semi").groupBy(*by, "_band", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*by, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hit = (
-        counted.join(bands, cond)
-        .withColumn("_to", F.col("_start") + F.sum("_n").over(inside))
+        counted.join(bands, match)
+        .withColumn("_to", F.col("_start") + F.sum("_n").over(order))
         .withColumn("_from", F.col("_to") - F.col("_n"))
-        .withColumn(
-            "_r",
-            F.explode(F.filter("_need", lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to")))),
-        )
-    )
-    parts = []
-    for name in probs:
-        parts.append(F.max(F.when(F.col("_r.id") == f"{name}.lo", F.col("_v"))).alias(f"_lo_{name}"))
-        parts.append(F.max(F.when(F.col("_r.id") == f"{name}.hi", F.col("_v"))).alias(f"_hi_{name}"))
-        parts.append(F.max(F.when(F.col("_r.id") == f"{name}.lo", F.col("_r.frac"))).alias(f"_fr_{name}"))
-    out = hit.groupBy(*by).agg(*parts)
-    return out.select(
-        *by,
-        *[
-            (F.col(f"_lo_{n}") + F.col(f"_fr_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-            for n in probs
-        ],
     )
+    covers = lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to"))
+    hit = hit.withColumn("_r", F.explode(F.filter("_need", covers)))
+    found = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_r.id", F.struct("_v", "_r.frac")))).alias("_m"))
+    out = found
+    for i, name in enumerate(probs):
+        lo, hi = F.col("_m")[2 * i], F.col("_m")[2 * i + 1]
+        out = out.withColumn(name, lo["_v"] + lo["frac"] * (hi["_v"] - lo["_v"]))
+    return out.drop("_m")

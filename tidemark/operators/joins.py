@@ -10,6 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import scratch_dir
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """Write a small derived table to the shared scratch folder and read it back.
+
+    The planner then knows its real size: a join with it is a broadcast only
+    below spark.sql.autoBroadcastJoinThreshold, and a sort-merge join
+    otherwise. The estimate of an aggregate over large facts is always too
+    high, and the facts would be shuffled before run-time statistics exist.
+    """
+    path = scratch_dir(df.sparkSession, "measured")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Natural join under which missing keys match each other."""

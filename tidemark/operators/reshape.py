@@ -22,19 +22,17 @@ def pivot_wide(
     """Long to wide with the levels stated, so the plan needs no extra job.
 
     `values` is one value column, or {label part: column} for several; `label`
-    may use {level} and {value}. `fill` replaces absent cells.
+    may use {level} and {value}. `fill` replaces absent cells. Cells are first
+    combined per (ids, level), which is partial before the shuffle.
     """
-    key = F.col(name) if isinstance(name, str) else name
     many = values if isinstance(values, dict) else {"": values}
     agg = _COMBINE[combine]
-    cells = []
-    for part, col in many.items():
-        for level in levels:
-            cell = agg(F.when(key == F.lit(level), F.col(col)))
-            if fill is not None:
-                cell = F.coalesce(cell, F.lit(fill))
-            cells.append(cell.alias(label.format(level=level, value=part)))
-    return df.groupBy(*ids).agg(*cells)
+    key = F.col(name) if isinstance(name, str) else name
+    rows = df.select(*ids, key.alias("_level"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(many.values())])
+    wide = rows.groupBy(*ids).pivot("_level", levels).agg(*[agg(f"_v{i}").alias(f"_v{i}") for i in range(len(many))])
+    names = [label.format(level=level, value=part) for level in levels for part in many]
+    wide = wide.toDF(*ids, *names)
+    return wide if fill is None else wide.fillna(fill, subset=names)
 
 
 def unpivot_long(

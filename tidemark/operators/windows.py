@@ -1,21 +1,27 @@
 """Group totals, running sums and ranks.
 
 Functions with a `raw` switch choose between two exact plans. raw=True is for
-fact rows: aggregate (partial sums before the shuffle) and join back, so a hot
-group is split by the runtime skew handling. raw=False is for tables already
-summarised to a few rows per group: one window, one shuffle.
+fact rows: the totals are computed first (partial sums before the shuffle) and
+joined back; small totals are broadcast by measured size, so the facts are not
+shuffled at all, and large ones give a join whose hot keys AQE splits.
+raw=False is for tables already summarised to a few rows per group: one
+window, one shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import measured
+
 
 def group_value(df: DataFrame, by: list[str], agg: Column, out: str, raw: bool = True) -> DataFrame:
-    """Attach a per-group aggregate to every row."""
+    """Attach a per-group aggregate to every row; with no keys, one overall value."""
+    if not by:
+        return df.withColumn(out, df.agg(agg.alias(out)).scalar())
     if not raw:
         return df.withColumn(out, agg.over(Window.partitionBy(*by)))
-    totals = df.groupBy(*by).agg(agg.alias(out))
+    totals = measured(df.groupBy(*by).agg(agg.alias(out)))
     renamed = totals.select(*[F.col(b).alias(f"_k_{b}") for b in by], out)
     cond = None
     for b in by:

@@ -216,14 +216,19 @@ def noncommercial_top(
     of highest mean weight (ties kept); the ranking uses all areas, the table
     only `area`. With `levels` the result is wide, else long.
     """
-    ranked = (
-        df.where(F.col("agency") == collapse_agency).groupBy("agency", "source").agg(F.avg("kg").alias("_m"))
+    # Facts are summed to (year, agency, source) first; ranks and labels use the sums.
+    here = F.lit(True) if area is None else F.col("area") == area
+    pre = df.groupBy("year", "agency", "source").agg(
+        F.sum("kg").alias("_all"),
+        F.count("kg").alias("_n"),
+        F.sum(F.when(here, F.col("kg"))).alias("kg"),
+        F.count_if(here).alias("_here"),
     )
-    top = top_with_ties(ranked, ["agency"], "_m", keep)
-    own = relabel_unlisted(df.where(F.col("agency") == collapse_agency), top, ["agency", "source"], "source", other)
-    rows = own.unionByName(df.where(~F.col("agency").eqNullSafe(F.lit(collapse_agency))))
-    if area is not None:
-        rows = rows.where(F.col("area") == area)
+    own = pre.where(F.col("agency") == collapse_agency)
+    means = own.groupBy("agency", "source").agg(F.try_divide(F.sum("_all"), F.sum("_n")).alias("_m"))
+    top = top_with_ties(means, ["agency"], "_m", keep)
+    lumped = relabel_unlisted(own, top, ["agency", "source"], "source", other)
+    rows = lumped.unionByName(pre.where(~F.col("agency").eqNullSafe(F.lit(collapse_agency)))).where("_here > 0")
     long = rows.groupBy("year", "agency", "source").agg(round_even(F.sum("kg") / 1000.0, 3).alias("tons"))
     if levels is None:
         return long

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import age_bin, age_bins, length_bin, length_bins
 from ..operators.filters import fleet_flag
-from ..operators.reshape import complete_grid, full_sequence, unpivot_long
+from ..operators.reshape import complete_grid, full_sequence, pivot_wide, unpivot_long
 from ..operators.windows import share_of_total
 
 # Model sex codes: females first (fixed values).
@@ -79,24 +79,13 @@ def with_front_matter(
     row off by fleet -1.
     """
     keys = [*by, "year"]
-    cells = []
-    for code, prefix in ((FEMALE, "f"), (MALE, "m")):
-        for b in bins:
-            cells.append(
-                F.max(F.when((F.col("sex") == code) & (F.col("bin") == b), F.col("freq"))).alias(f"{prefix}{b}")
-            )
-    wide = freq.groupBy(*keys).agg(*cells)
+    prefix = F.when(F.col("sex") == FEMALE, F.lit("f")).otherwise(F.lit("m"))
+    levels = [f"{p}{b}" for p in "fm" for b in bins]
+    wide = pivot_wide(freq, keys, F.concat(prefix, F.col("bin").cast("string")), "freq", levels)
     rules = [(F.col("hauls") < min_hauls, -1)] if min_hauls is not None else []
-    return wide.join(hauls, keys, "left").select(
-        *by,
-        F.col("year").alias("yr"),
-        F.lit(month).alias("month"),
-        fleet_flag(F.lit(fleet), *rules).alias("fleet"),
-        F.lit(3).alias("sex"),
-        F.lit(0).alias("part"),
-        F.col("hauls").alias("nsamp"),
-        *[f"f{b}" for b in bins],
-        *[f"m{b}" for b in bins],
+    joined = wide.join(hauls, keys, "left").withColumn("_fleet", fleet_flag(F.lit(fleet), *rules))
+    return joined.selectExpr(
+        *by, "year AS yr", f"{month} AS month", "_fleet AS fleet", "3 AS sex", "0 AS part", "hauls AS nsamp", *levels
     )
 
 
@@ -136,22 +125,22 @@ def caal_rows(
 ) -> DataFrame:
     """Model rows of conditional ages: Nsamp is the row total, the vector stands twice."""
     abins = abins or age_bins()
-    wide = long.groupBy("year", "sex", "lbin").agg(
-        F.sum("n").alias("nsamp"),
-        *[F.sum(F.when(F.col("abin") == a, F.col("n"))).alias(f"a{a}") for a in abins],
-    )
-    return wide.where(F.col("nsamp") > 0).select(
-        F.col("year").alias("yr"),
-        F.lit(month).alias("month"),
-        fleet_flag(F.lit(fleet), (F.col("year") < first_year, -fleet)).alias("fleet"),
+    cells = [f"a{a}" for a in abins]
+    key = F.concat(F.lit("a"), F.col("abin").cast("string"))
+    wide = pivot_wide(long, ["year", "sex", "lbin"], key, "n", cells, combine="sum", fill=0)
+    total = "+".join(cells)
+    flagged = wide.withColumn("_fleet", fleet_flag(F.lit(fleet), (F.col("year") < first_year, -fleet)))
+    return flagged.where(F.expr(f"{total} > 0")).selectExpr(
+        "year AS yr",
+        f"{month} AS month",
+        "_fleet AS fleet",
         "sex",
-        F.lit(0).alias("part"),
-        F.lit(1).alias("ageerr"),
-        F.col("lbin").alias("lbin_lo"),
-        F.col("lbin").alias("lbin_hi"),
-        "nsamp",
-        *[F.col(f"a{a}").alias(f"f{a}") for a in abins],
-        *[F.col(f"a{a}").alias(f"m{a}") for a in abins],
+        "0 AS part",
+        "1 AS ageerr",
+        "lbin AS lbin_lo",
+        "lbin AS lbin_hi",
+        f"{total} AS nsamp",
+        *[f"a{a} AS {p}{a}" for p in "fm" for a in abins],
     )
 
 
@@ -172,25 +161,22 @@ def age_marginal(
 def age_marginal_rows(freq: DataFrame, hauls: DataFrame, abins: list[int] | None = None, fleet: int = -2, month: int = 7) -> DataFrame:
     """Model rows of marginal ages: female ages as 1.., male ages as 101.. columns."""
     abins = abins or age_bins()
-    key = F.when(F.col("sex") == MALE, F.concat(F.lit("10"), F.col("bin").cast("string"))).otherwise(
-        F.col("bin").cast("string")
-    )
-    names = [str(a) for a in abins] + [f"10{a}" for a in abins]
-    keyed = freq.withColumn("_key", key)
-    wide = keyed.groupBy("year").agg(
-        *[F.coalesce(F.sum(F.when(F.col("_key") == n, F.col("freq"))), F.lit(0.0)).alias(f"p{n}") for n in names]
+    male = F.when(F.col("sex") == MALE, F.lit("p10")).otherwise(F.lit("p"))
+    levels = [f"p{a}" for a in abins] + [f"p10{a}" for a in abins]
+    wide = pivot_wide(
+        freq, ["year"], F.concat(male, F.col("bin").cast("string")), "freq", levels, combine="sum", fill=0.0
     )
-    return wide.join(hauls, "year").select(
-        F.col("year").alias("yr"),
-        F.lit(month).alias("month"),
-        F.lit(fleet).alias("fleet"),
-        F.lit(3).alias("sex"),
-        F.lit(0).alias("part"),
-        F.lit(1).alias("ageerr"),
-        F.lit(-1).alias("lbin_lo"),
-        F.lit(-1).alias("lbin_hi"),
-        F.col("hauls").alias("nsamp"),
-        *[f"p{n}" for n in names],
+    return wide.join(hauls, "year").selectExpr(
+        "year AS yr",
+        f"{month} AS month",
+        f"{fleet} AS fleet",
+        "3 AS sex",
+        "0 AS part",
+        "1 AS ageerr",
+        "-1 AS lbin_lo",
+        "-1 AS lbin_hi",
+        "hauls AS nsamp",
+        *levels,
     )
 
 

@@ -24,12 +24,17 @@ _OUT = (
 )
 
 
-def _filter_smooth(y: np.ndarray, v: np.ndarray, q: float, smooth: bool):
-    """Kalman filter of a local-level model with a diffuse start; nan = no survey."""
-    n = len(y)
-    a, p = np.zeros(n), np.zeros(n)
-    a_pred, p_pred = np.zeros(n), np.zeros(n)
-    nll, started = 0.0, False
+def _run(y: np.ndarray, v: np.ndarray, q: np.ndarray, smooth: bool):
+    """Kalman filter of a local-level model with a diffuse start, for many process
+    variances q at once. y and v hold nan where there was no survey.
+
+    Returns the negative log likelihood per q and, with smooth=True, the
+    smoothed means and variances (years x q).
+    """
+    n, k = len(y), len(q)
+    a, p = np.zeros((n, k)), np.zeros((n, k))
+    a_pred, p_pred = np.zeros((n, k)), np.zeros((n, k))
+    nll, started = np.zeros(k), False
     for t in range(n):
         if t:
             a_pred[t], p_pred[t] = a[t - 1], p[t - 1] + q
@@ -41,31 +46,27 @@ def _filter_smooth(y: np.ndarray, v: np.ndarray, q: float, smooth: bool):
             s = p_pred[t] + v[t]
             gap = y[t] - a_pred[t]
             nll += 0.5 * (np.log(2 * np.pi * s) + gap * gap / s)
-            k = p_pred[t] / s
-            a[t], p[t] = a_pred[t] + k * gap, (1 - k) * p_pred[t]
+            gain = p_pred[t] / s
+            a[t], p[t] = a_pred[t] + gain * gap, (1 - gain) * p_pred[t]
     if not smooth:
         return nll, None, None
     m, c = a.copy(), p.copy()
     for t in range(n - 2, -1, -1):
-        g = p[t] / p_pred[t + 1] if p_pred[t + 1] > 0 else 1.0
+        g = p[t] / p_pred[t + 1]
         m[t] = a[t] + g * (m[t + 1] - a_pred[t + 1])
         c[t] = p[t] + g * g * (c[t + 1] - p_pred[t + 1])
     return nll, m, c
 
 
-def _fit(y: np.ndarray, v: np.ndarray, low: float = -7.0, high: float = 2.0):
-    """log sigma of the process by a coarse grid, then ever finer ones around the best."""
-
-    def nll(ls: float) -> float:
-        return _filter_smooth(y, v, float(np.exp(2 * ls)), smooth=False)[0]
-
+def _best_log_sigma(y: np.ndarray, v: np.ndarray, low: float = -7.0, high: float = 2.0) -> float:
+    """log sigma of the process: a coarse grid, then finer ones around the best point."""
     lo, hi = low, high
     for _ in range(5):
         grid = np.linspace(lo, hi, 25)
-        best = float(grid[int(np.argmin([nll(g) for g in grid]))])
+        best = float(grid[int(np.argmin(_run(y, v, np.exp(2 * grid), smooth=False)[0]))])
         step = grid[1] - grid[0]
         lo, hi = max(low, best - step), min(high, best + step)
-    return best, nll
+    return best
 
 
 def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,29 +80,23 @@ def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
     cvs = pdf["cv"].to_numpy()
     v[at] = np.log1p(cvs * cvs)
     obs[at], obs_cv[at] = pdf["biomass"].to_numpy(), cvs
-    if np.isfinite(y).sum() > 1:
-        best, nll = _fit(y, v)
-    else:
-        best, nll = -7.0, lambda ls: 0.0
-    value, m, c = _filter_smooth(y, v, float(np.exp(2 * best)), smooth=True)
+    best = _best_log_sigma(y, v) if np.isfinite(y).sum() > 1 else -7.0
     # The reported SD also carries the uncertainty of log sigma (delta method).
     h = 0.01
-    curve = (nll(best + h) - 2 * nll(best) + nll(best - h)) / (h * h)
-    extra = np.zeros(len(years))
-    if curve > 1e-8:
-        up = _filter_smooth(y, v, float(np.exp(2 * (best + h))), smooth=True)[1]
-        down = _filter_smooth(y, v, float(np.exp(2 * (best - h))), smooth=True)[1]
-        extra = ((up - down) / (2 * h)) ** 2 / curve
+    nll, m, c = _run(y, v, np.exp(2 * np.array([best - h, best, best + h])), smooth=True)
+    curve = (nll[2] - 2 * nll[1] + nll[0]) / (h * h)
+    slope = (m[:, 2] - m[:, 0]) / (2 * h)
+    extra = slope * slope / curve if curve > 1e-8 else 0.0
     out = pd.DataFrame(
         {
             "year": years.astype("int32"),
             "obs": obs,
             "obs_cv": obs_cv,
-            "log_est": m,
-            "log_sd": np.sqrt(c + extra),
-            "sd_conditional": np.sqrt(c),
+            "log_est": m[:, 1],
+            "log_sd": np.sqrt(c[:, 1] + extra),
+            "sd_conditional": np.sqrt(c[:, 1]),
             "log_sigma": best,
-            "nll": value,
+            "nll": nll[1],
         }
     )
     return out

@@ -296,8 +296,8 @@ def _(t):
         (F.stddev_samp("o_totalprice") / 1000).alias("nll"), F.count(F.lit(1)).alias("n")
     )
     k = F.substring("model", 1, 1).cast("int") + 3
-    a = m.select("model", F.lit(1).alias("g"), stats.aicc("nll", k, "n").alias("aicc"))
-    d = rescale_min(a, ["g"], "aicc", "delta")
+    a = m.select("model", stats.aicc("nll", k, "n").alias("aicc"))
+    d = rescale_min(a, [], "aicc", "delta")
     return d.select("model", r("aicc").alias("aicc"), r("delta").alias("delta"))
 
 
@@ -310,6 +310,6 @@ def _(t):
         (F.stddev_samp("o_totalprice") / 1000).alias("nll"), F.count(F.lit(1)).alias("n")
     )
     k = F.substring("model", 1, 1).cast("int") + 3
-    a = m.select("model", F.lit(1).alias("g"), stats.aicc("nll", k, "n").alias("aicc"))
-    d = rescale_min(a, ["g"], "aicc", "delta")
+    a = m.select("model", stats.aicc("nll", k, "n").alias("aicc"))
+    d = rescale_min(a, [], "aicc", "delta")
     return d.select("model", (F.col("delta") / 100 <= stats.PROFILE_CUT).alias("inside"))
