@@ -65,6 +65,12 @@ def test_rounding(spark):
     assert list(r) == [2.0, 4.0, 3.0, -3.0, 0.13, 1.0, 13.0, "<1", "8"]
 
 
+def test_rounding_looks_at_the_stored_number(spark):
+    xs = [0.15, 0.25, 0.35, 0.45, 0.55, 0.65, -0.15, -0.25, 1e300, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select(rounding.round_even("x", 1).alias("y"))
+    assert [r.y for r in df.collect()] == [0.1, 0.2, 0.3, 0.5, 0.6, 0.7, -0.1, -0.2, 1e300, None]
+
+
 def test_weeks_are_seven_day_blocks_from_new_year(spark):
     days = ["2022-01-01", "2022-01-07", "2022-01-08", "2020-12-31", "2021-01-03"]
     df = spark.createDataFrame([(d,) for d in days], "d string").select(dates.week_of_year(F.to_date("d")).alias("w"))

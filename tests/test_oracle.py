@@ -7,7 +7,7 @@ from compare import connect, differences
 
 from tidemark.workload import ORACLE, QUERIES
 
-FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 # Values differ only by tie rounding or process noise: rows are checked elsewhere.
 ROWS_ONLY = {"smooth_random_walk"}

@@ -8,8 +8,21 @@ from .nulls import ColumnLike, _c
 
 
 def round_even(x: ColumnLike, digits: int = 0) -> Column:
-    """Ties go to the even neighbour (statistical scripts)."""
-    return F.bround(_c(x), digits)
+    """Round to the nearer candidate; an exact tie goes to the even digit (statistical scripts).
+
+    The rule looks at the stored number, not at its printed form: 0.15 is stored
+    below 0.15 and becomes 0.1, while 0.45 becomes 0.5 and 0.25 becomes 0.2.
+    """
+    x = _c(x)
+    if digits <= 0:
+        return F.bround(x, digits)
+    scale = 10.0**digits
+    whole = F.floor(x * scale)
+    low, high = whole / F.lit(scale), F.ceil(x * scale) / F.lit(scale)
+    down = (x - low < high - x) | ((x - low == high - x) & (whole % 2 == 0))
+    # Numbers this large have no decimals left to round.
+    large = F.isnan(x) | (F.abs(x) >= 1e15 / scale)
+    return F.when(large, x).when(down, low).otherwise(high)
 
 
 def round_away(x: ColumnLike, digits: int = 0) -> Column:
@@ -20,12 +33,12 @@ def round_away(x: ColumnLike, digits: int = 0) -> Column:
 def round_by_size(x: ColumnLike, small_digits: int = 2, large_digits: int = 0) -> Column:
     """Below 1: small_digits; above 1: large_digits; exactly 1 and null stay."""
     x = _c(x)
-    return F.when(x < 1, F.bround(x, small_digits)).when(x > 1, F.bround(x, large_digits)).otherwise(x)
+    return F.when(x < 1, round_even(x, small_digits)).when(x > 1, round_even(x, large_digits)).otherwise(x)
 
 
 def retained_percent(part: ColumnLike, whole: ColumnLike) -> Column:
     """100 times the rounded share that is not `part`."""
-    return F.lit(100.0) * F.bround(F.lit(1.0) - F.try_divide(_c(part), _c(whole)), 2)
+    return F.lit(100.0) * round_even(F.lit(1.0) - F.try_divide(_c(part), _c(whole)), 2)
 
 
 def with_commas(x: ColumnLike, digits: int = 0) -> Column:

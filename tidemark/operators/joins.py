@@ -41,7 +41,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def with_scalar(df: DataFrame, one_row: DataFrame, *cols: str) -> DataFrame:
     """Add columns of a one-row table. It fails if the table has more than one row."""
-    return df.withColumns({c: one_row.select(c).scalar() for c in cols})
+    fields = one_row.select(F.struct(*cols).alias("_one")).scalar()
+    return df.withColumn("_one", fields).select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in cols])
 
 
 def aligned_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

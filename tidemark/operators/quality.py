@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.rounding import round_even
+
 
 def unmapped(df: DataFrame, source: str, recoded: str) -> DataFrame:
     """Source values that a recode left without a target, with their row counts."""
@@ -47,8 +49,8 @@ def parts_equal_total(df: DataFrame, by: list[str], part: str, total: str) -> Da
 
 def reconcile(new: DataFrame, old: DataFrame, keys: list[str], value: str, digits: int = 4) -> DataFrame:
     """Rows that differ between two extracts after rounding, or exist in one only."""
-    a = new.select(*keys, F.bround(value, digits).alias("new_value"), F.lit(True).alias("_n"))
-    b = old.select(*keys, F.bround(value, digits).alias("old_value"), F.lit(True).alias("_o"))
+    a = new.select(*keys, round_even(value, digits).alias("new_value"), F.lit(True).alias("_n"))
+    b = old.select(*keys, round_even(value, digits).alias("old_value"), F.lit(True).alias("_o"))
     j = a.join(b, keys, "full_outer")
     status = (
         F.when(F.col("_o").isNull(), F.lit("added"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.rounding import round_even
 from ..operators.joins import with_scalar
 from ..operators.windows import share_of_total
 
@@ -50,7 +51,7 @@ def rounded_parts(
     else:
         rows = shares.join(limits, list(by))
     w = Window.partitionBy(*keys)
-    rows = rows.withColumn("_part", F.bround(F.col("share") * F.col("abc"), 0))
+    rows = rows.withColumn("_part", round_even(F.col("share") * F.col("abc"), 0))
     rows = rows.withColumn("_diff", F.col("abc") - F.sum("_part").over(w))
     if adjust_area is not None:
         chosen: Column = F.col("strata") == adjust_area
@@ -62,6 +63,6 @@ def rounded_parts(
         *keys,
         "strata",
         "abc",
-        F.bround(F.col("share") * 100, 2).alias("percent"),
+        round_even(F.col("share") * 100, 2).alias("percent"),
         (F.col("_part") + F.when(chosen, F.col("_diff")).otherwise(F.lit(0.0))).alias("area_abc"),
     )

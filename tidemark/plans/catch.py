@@ -247,8 +247,8 @@ def prohibited_table(
         df.where(F.col("year") > after_year)
         .groupBy("year", group)
         .agg(
-            F.bround(F.coalesce(F.sum(mortality), F.lit(0.0)), 3).alias("mortality"),
-            F.bround(F.coalesce(F.sum(numbers), F.lit(0.0)), 3).alias("numbers"),
+            round_even(F.coalesce(F.sum(mortality), F.lit(0.0)), 3).alias("mortality"),
+            round_even(F.coalesce(F.sum(numbers), F.lit(0.0)), 3).alias("numbers"),
         )
     )
     return pivot_wide(
@@ -299,7 +299,7 @@ def catch_over_biomass(
     means = (
         draws.where(F.col("year").between(*years))
         .groupBy("year")
-        .agg((F.lit(unit) * F.bround(F.avg("total_biomass"), 2)).alias("biomass"))
+        .agg((F.lit(unit) * round_even(F.avg("total_biomass"), 2)).alias("biomass"))
     )
     projected = means.join(catch_projection, "year").select("year", "biomass", "catch", F.lit("projection").alias("source"))
     both = model.select("year", "biomass", "catch", F.lit("model").alias("source")).unionByName(projected)

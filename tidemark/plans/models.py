@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rounding import round_by_size, value_sd_text
+from ..functions.rounding import round_by_size, round_even, value_sd_text
 from ..operators.filters import beyond
 from ..operators.reshape import pivot_wide, unpivot_long
 
@@ -34,7 +34,7 @@ def parameter_table(df: DataFrame, labels: dict[str, str], models: list[str], di
         df.where(F.col("label").isin(list(labels)))
         .withColumn("_name", F.try_element_at(pairs, F.col("label")))
         .withColumn("ord", F.try_element_at(order, F.col("label")))
-        .withColumn("_v", F.bround("value", digits))
+        .withColumn("_v", round_even("value", digits))
     )
     return pivot_wide(rows, ["ord", "_name"], "model", "_v", models).withColumnRenamed("_name", "parameter")
 

@@ -86,7 +86,7 @@ def reference_table(
 
     def shown(col: str) -> Column:
         scaled = F.col(col) * F.col("unit")
-        return F.when(F.col("digits") == 0, F.bround(scaled, 0)).otherwise(F.bround(scaled, 2))
+        return F.when(F.col("digits") == 0, round_even(scaled, 0)).otherwise(round_even(scaled, 2))
 
     return keyed.select(*by, "ord", "label", "metric", shown(f"y{first}").alias(f"y{first}"), shown(f"y{second}").alias(f"y{second}"))
 

@@ -80,13 +80,17 @@ def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
     cvs = pdf["cv"].to_numpy()
     v[at] = np.log1p(cvs * cvs)
     obs[at], obs_cv[at] = pdf["biomass"].to_numpy(), cvs
-    best = _best_log_sigma(y, v) if np.isfinite(y).sum() > 1 else -7.0
+    fixed = pdf["_fixed"].iloc[0]
+    if np.isfinite(fixed):
+        best = float(fixed)
+    else:
+        best = _best_log_sigma(y, v) if np.isfinite(y).sum() > 1 else -7.0
     # The reported SD also carries the uncertainty of log sigma (delta method).
     h = 0.01
     nll, m, c = _run(y, v, np.exp(2 * np.array([best - h, best, best + h])), smooth=True)
     curve = (nll[2] - 2 * nll[1] + nll[0]) / (h * h)
     slope = (m[:, 2] - m[:, 0]) / (2 * h)
-    extra = slope * slope / curve if curve > 1e-8 else 0.0
+    extra = slope * slope / curve if curve > 1e-8 and not np.isfinite(fixed) else 0.0
     out = pd.DataFrame(
         {
             "year": years.astype("int32"),
@@ -102,11 +106,14 @@ def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def smooth_random_walk(df: DataFrame, strata: list[str], end_year: int | None = None) -> DataFrame:
+def smooth_random_walk(
+    df: DataFrame, strata: list[str], end_year: int | None = None, log_sigma: float | None = None
+) -> DataFrame:
     """Smoothed biomass for every year of each stratum with 90% and 95% limits.
 
     df: (strata..., year, biomass, cv), one row per survey year. Years without
-    a survey are filled; `end_year` carries the series on.
+    a survey are filled; `end_year` carries the series on. `log_sigma` fixes the
+    process error instead of fitting it.
     """
     end = F.lit(end_year) if end_year is not None else F.lit(0)
     rows = (
@@ -114,6 +121,7 @@ def smooth_random_walk(df: DataFrame, strata: list[str], end_year: int | None =
         .groupBy(*strata, F.col("year").cast("int").alias("year"))
         .agg(F.avg("biomass").alias("biomass"), F.avg("cv").alias("cv"))
         .withColumn("_end", end)
+        .withColumn("_fixed", F.lit(float("nan") if log_sigma is None else float(log_sigma)))
     )
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{s}` {fields[s]}" for s in strata) + ", " + _OUT

@@ -52,4 +52,5 @@ def idw_grid(
     )
     est = F.coalesce(F.col("_exact"), F.try_divide(F.col("_wz"), F.col("_ws")))
     out = sums.select(*by, "cell_x", "cell_y", "points", est.alias("value"))
-    return out.withColumn("class", class_of("value", breaks))
+    # Nine decimals, so that the order of summing cannot move a value over a break.
+    return out.withColumn("class", class_of(F.round("value", 9), breaks))

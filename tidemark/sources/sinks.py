@@ -20,8 +20,12 @@ def snapshot(df: DataFrame, path: str, pull_date: str, fmt: str = "parquet", mod
 
 
 def split_by_key(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet", mode: str = "errorifexists") -> str:
-    """One folder per key value. Rows are not shuffled, so a hot key keeps its parallelism."""
-    df.write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    """One folder per key value.
+
+    Rebalancing gathers the rows of a key into files of a good size; AQE splits
+    a hot key over several tasks and merges small ones.
+    """
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
     return path
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -84,3 +86,24 @@ def catalog_columns(spark: SparkSession, pattern: str = ".*", table_pattern: str
     return spark.createDataFrame(rows, schema).where(
         F.col("column_name").rlike(pattern) & F.col("table_name").rlike(table_pattern)
     )
+
+
+def column_search(tables: dict[str, DataFrame], pattern: str) -> DataFrame:
+    """Columns whose names match, with their types and how many values each holds."""
+    out = None
+    for name, df in tables.items():
+        found = [(c, k) for c, k in df.dtypes if re.search(pattern, c)]
+        if not found:
+            continue
+        counts = df.agg(*[F.count(c).alias(c) for c, _ in found])
+        rows = F.array(
+            *[
+                F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("data_type"), F.col(c).alias("n_values"))
+                for c, k in found
+            ]
+        )
+        one = counts.select(F.lit(name).alias("table_name"), F.explode(rows).alias("r")).select("table_name", "r.*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"no column matches {pattern}")
+    return out

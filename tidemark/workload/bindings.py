@@ -29,6 +29,14 @@ def r(c, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def sql_round_even(x: str, digits: int) -> str:
+    """SQL of the rule in functions.rounding.round_even."""
+    s = f"1e{digits}"
+    low, high = f"(floor(({x}) * {s}) / {s})", f"(ceil(({x}) * {s}) / {s})"
+    even = f"floor(({x}) * {s}) % 2 = 0"
+    return f"(CASE WHEN ({x}) - {low} < {high} - ({x}) OR (({x}) - {low} = {high} - ({x}) AND {even}) THEN {low} ELSE {high} END)"
+
+
 # --- catch records: one lineitem is one landing -----------------------------
 def landings(t: Tables) -> DataFrame:
     return t.lineitem.select(

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..plans import catch
-from .bindings import LANDINGS, WEEKLY, landings, pick, r, sql_pick, weekly
+from .bindings import LANDINGS, WEEKLY, landings, pick, r, sql_pick, sql_round_even, weekly
 from .registry import query
 
 AS_OF = dt.date(2000, 8, 9)
@@ -36,7 +36,7 @@ def _(t):
     "catch_history_splice",
     f"""WITH {LANDINGS}, c AS (SELECT year, sum(tons) AS catch FROM landings WHERE year >= 1997 GROUP BY 1),
         o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) / 1000 AS catch FROM orders GROUP BY 1)
-        SELECT coalesce(c.year, o.year) AS year, 1 AS seas, 1 AS fleet, round_even(coalesce(c.catch, o.catch), 2) AS catch_mt, 0.01::DOUBLE AS catch_se
+        SELECT coalesce(c.year, o.year) AS year, 1 AS seas, 1 AS fleet, {sql_round_even('coalesce(c.catch, o.catch)', 2)} AS catch_mt, 0.01::DOUBLE AS catch_se
         FROM c FULL JOIN (SELECT * FROM o WHERE year < 1999) o ON c.year = o.year""",
 )
 def _(t):
@@ -55,7 +55,7 @@ INSEASON = f"""{WEEKLY},
   td AS (SELECT species, sum(catch) AS catch FROM weekly WHERE year = {AS_OF.year} AND week <= {AS_OF_WEEK} GROUP BY 1),
   py AS (SELECT species, year, sum(catch) AS c FROM weekly WHERE week > {AS_OF_WEEK} AND year >= {AS_OF.year - 5} GROUP BY ALL),
   rest AS (SELECT species, avg(c) AS add FROM py GROUP BY 1),
-  est AS (SELECT td.species, catch, add, round_even(catch + add, 0) AS predicted, round_even((catch + add) / catch, 2) AS factor FROM td LEFT JOIN rest USING (species))"""
+  est AS (SELECT td.species, catch, add, round_even(catch + add, 0) AS predicted, {sql_round_even('(catch + add) / catch', 2)} AS factor FROM td LEFT JOIN rest USING (species))"""
 
 
 @query(
@@ -108,7 +108,7 @@ def _limits(t):
     "catch_retention_table",
     f"""WITH {LANDINGS}, {LIMITS}, d AS (SELECT year, sum(tons) AS disc FROM landings WHERE type = 'D' AND zone = 'WG' GROUP BY 1),
         w AS (SELECT year, max(value) FILTER (kind = 'OFL') AS OFL, max(value) FILTER (kind = 'ABC') AS ABC, max(value) FILTER (kind = 'TAC') AS TAC, max(value) FILTER (kind = 'Catch') AS c FROM limits GROUP BY 1)
-        SELECT year, OFL, ABC, TAC, round_even(c, 0) AS total_catch, 100.0::DOUBLE * round_even(1 - disc / c, 2) AS percent_retained FROM d JOIN w USING (year)""",
+        SELECT year, OFL, ABC, TAC, round_even(c, 0) AS total_catch, 100.0::DOUBLE * {sql_round_even('1 - disc / c', 2)} AS percent_retained FROM d JOIN w USING (year)""",
 )
 def _(t):
     d = landings(t).where("type = 'D' and zone = 'WG'").groupBy("year").agg(F.sum("tons").alias("discarded"))
@@ -166,7 +166,7 @@ REMOVALS = """rem AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CASE WHE
 
 @query(
     "catch_noncommercial_top",
-    f"WITH {REMOVALS} SELECT year, agency, source, round_even(sum(kg / 1000.0), 3) AS tons FROM lab GROUP BY ALL",
+    f"WITH {REMOVALS} SELECT year, agency, source, {sql_round_even('sum(kg) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL",
 )
 def _(t):
     return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "GOA")
@@ -174,7 +174,7 @@ def _(t):
 
 @query(
     "catch_noncommercial_wide",
-    f"""WITH {REMOVALS}, s AS (SELECT year, agency || '_' || source AS k, round_even(sum(kg / 1000.0), 3) AS tons FROM lab GROUP BY ALL)
+    f"""WITH {REMOVALS}, s AS (SELECT year, agency || '_' || source AS k, {sql_round_even('sum(kg) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL)
         SELECT year, max(tons) FILTER (k = 'ADFG_Other') AS adfg_other, max(tons) FILTER (k = 'IPHC_S0') AS iphc_s0, max(tons) FILTER (k = 'IPHC_S5') AS iphc_s5 FROM s GROUP BY year""",
 )
 def _(t):
@@ -184,7 +184,7 @@ def _(t):
 
 @query(
     "bycatch_prohibited_table",
-    "WITH s AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS grp, round_even(coalesce(sum(l_extendedprice * 0.001), 0.0), 3) AS m, round_even(coalesce(sum(l_quantity), 0.0), 3) AS n FROM lineitem WHERE year(l_shipdate) > 1998 GROUP BY ALL) SELECT grp, "
+    f"WITH s AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS grp, {sql_round_even('coalesce(sum(l_extendedprice * 0.001), 0.0)', 3)} AS m, {sql_round_even('coalesce(sum(l_quantity), 0.0)', 3)} AS n FROM lineitem WHERE year(l_shipdate) > 1998 GROUP BY ALL) SELECT grp, "
     + ", ".join(
         f"max(m) FILTER (year = {y}) AS mortality_t_{y}, max(n) FILTER (year = {y}) AS numbers_{y}" for y in (1999, 2000, 2001)
     )
@@ -229,7 +229,7 @@ def _(t):
 @query(
     "catch_over_biomass",
     f"""WITH {LANDINGS}, m AS (SELECT year, sum(tons) * 20 AS biomass, sum(tons) AS catch, 'model' AS source FROM landings WHERE year < 1999 GROUP BY 1),
-        d AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, 1000.0 * round_even(avg(o_totalprice) / 1000, 2) AS biomass FROM orders WHERE year(o_orderdate) BETWEEN 1999 AND 2001 GROUP BY 1),
+        d AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, 1000.0 * {sql_round_even('avg(o_totalprice / 1000)', 2)} AS biomass FROM orders WHERE year(o_orderdate) BETWEEN 1999 AND 2001 GROUP BY 1),
         p AS (SELECT d.year, d.biomass, c.catch, 'projection' AS source FROM d JOIN (SELECT year, sum(tons) AS catch FROM landings GROUP BY 1) c ON d.year = c.year)
         SELECT year, biomass, catch, source, round(catch / biomass, 8) AS catch_over_biomass FROM (SELECT * FROM m UNION ALL SELECT * FROM p)""",
 )

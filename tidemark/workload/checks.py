@@ -10,7 +10,7 @@ from ..operators.windows import share_of_total
 from ..plans import apportion
 from ..session import scratch_dir
 from ..streaming import weekly as stream
-from .bindings import LANDINGS, SURVEY, landings, r, survey
+from .bindings import LANDINGS, SURVEY, landings, r, sql_round_even, survey
 from .registry import query
 
 
@@ -59,8 +59,8 @@ def _(t):
 
 @query(
     "dq_reconcile",
-    """WITH n AS (SELECT l_suppkey, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey <> 5 GROUP BY 1), o AS (SELECT l_suppkey, sum(l_quantity) + CASE WHEN l_suppkey % 7 = 0 THEN 0.001 ELSE 0.00001 END AS v FROM lineitem WHERE l_suppkey <> 8 GROUP BY 1),
-       j AS (SELECT coalesce(n.l_suppkey, o.l_suppkey) AS l_suppkey, round_even(n.v, 4) AS new_value, round_even(o.v, 4) AS old_value, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' WHEN round_even(n.v, 4) <> round_even(o.v, 4) THEN 'changed' END AS status
+    f"""WITH n AS (SELECT l_suppkey, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey <> 5 GROUP BY 1), o AS (SELECT l_suppkey, sum(l_quantity) + CASE WHEN l_suppkey % 7 = 0 THEN 0.001 ELSE 0.00001 END AS v FROM lineitem WHERE l_suppkey <> 8 GROUP BY 1),
+       j AS (SELECT coalesce(n.l_suppkey, o.l_suppkey) AS l_suppkey, {sql_round_even('n.v', 4)} AS new_value, {sql_round_even('o.v', 4)} AS old_value, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' WHEN {sql_round_even('n.v', 4)} <> {sql_round_even('o.v', 4)} THEN 'changed' END AS status
              FROM n FULL JOIN o ON n.l_suppkey = o.l_suppkey) SELECT * FROM j WHERE status IS NOT NULL""",
 )
 def _(t):

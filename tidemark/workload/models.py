@@ -8,7 +8,7 @@ from ..functions.stats import PROFILE_CUT
 from ..operators import joins
 from ..operators.reshape import pivot_wide
 from ..plans import models as md, spatial
-from .bindings import PRIORITIES, RUNS, r, run_quantities
+from .bindings import PRIORITIES, RUNS, r, run_quantities, sql_round_even
 from .registry import query
 
 TWO = PRIORITIES[:2]
@@ -49,7 +49,7 @@ LABELS = {"Par_7": "Natural mortality", "Par_3": "Length at age 2", "Par_11": "G
     "model_param_table",
     f"""WITH {PARAMS}, n(label, parameter, ord) AS (VALUES ('Par_7', 'Natural mortality', 1), ('Par_3', 'Length at age 2', 2), ('Par_11', 'Growth rate', 3))
         SELECT ord, parameter, """
-    + ", ".join(f"round_even(max(value) FILTER (model = '{m}'), 3) AS {m}" for m in "ANR")
+    + ", ".join(f"{sql_round_even(f"max(value) FILTER (model = '{m}')", 3)} AS {m}" for m in "ANR")
     + " FROM params JOIN n USING (label) GROUP BY ALL",
 )
 def _(t):
@@ -58,7 +58,7 @@ def _(t):
 
 def _num(c):
     return (
-        f"CASE WHEN {c} IS NULL THEN '' WHEN {c} < 1 THEN format('{{:,.4f}}', round_even({c}, 4)) WHEN {c} > 1 THEN printf('%,d', CAST(round_even({c}, 0) AS BIGINT)) ELSE '1' END"
+        f"CASE WHEN {c} IS NULL THEN '' WHEN {c} < 1 THEN format('{{:,.4f}}', {sql_round_even(c, 4)}) WHEN {c} > 1 THEN printf('%,d', CAST(round_even({c}, 0) AS BIGINT)) ELSE '1' END"
     )
 
 
@@ -197,8 +197,8 @@ CELL, RADIUS = 0.05, 0.12
               FROM p, (SELECT unnest(generate_series(-4, 4)) AS i), (SELECT unnest(generate_series(-4, 4)) AS j)),
         d AS (SELECT *, pow((cell_x + 0.5) * {CELL}::DOUBLE - x, 2) + pow((cell_y + 0.5) * {CELL}::DOUBLE - y, 2) AS d2 FROM c),
         v AS (SELECT cell_x, cell_y, count(*) AS points, sum(z / d2) / sum(1 / d2) AS value FROM d WHERE d2 <= {RADIUS}::DOUBLE * {RADIUS}::DOUBLE GROUP BY ALL)
-        SELECT cell_x, cell_y, points, round(value, 4) AS value, CAST(CASE WHEN value <= 0 THEN 0 WHEN value <= 500 THEN 1 WHEN value <= 2000 THEN 2 WHEN value <= 5000 THEN 3
-          WHEN value <= 7500 THEN 4 WHEN value <= 16000 THEN 5 ELSE 6 END AS INTEGER) AS class FROM v""",
+        SELECT cell_x, cell_y, points, round(value, 4) AS value, CAST(CASE WHEN v9 <= 0 THEN 0 WHEN v9 <= 500 THEN 1 WHEN v9 <= 2000 THEN 2 WHEN v9 <= 5000 THEN 3
+          WHEN v9 <= 7500 THEN 4 WHEN v9 <= 16000 THEN 5 ELSE 6 END AS INTEGER) AS class FROM (SELECT *, round(value, 9) AS v9 FROM v)""",
 )
 def _(t):
     out = spatial.idw_grid(

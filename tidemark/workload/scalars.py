@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, nulls, rounding, stats, text
 from ..operators.windows import rescale_min
-from .bindings import LANDINGS, SURVEY, WEEK_SQL, landings, r, survey
+from .bindings import LANDINGS, SURVEY, WEEK_SQL, landings, r, sql_round_even, survey
 from .registry import query
 
 AREA_OF_ZONE = {"CG": "Central Gulf", "WG": "Western Gulf", "SE": "Eastern Gulf", "EY": "Eastern Gulf", "WY": "Eastern Gulf"}
@@ -220,7 +220,7 @@ def _(t):
 
 @query(
     "fn_ratio_pct",
-    f"""WITH {LANDINGS} SELECT year, zone, 100.0::DOUBLE * round_even(1 - sum(CASE WHEN type = 'D' THEN tons ELSE 0 END) / sum(tons), 2) AS pct,
+    f"""WITH {LANDINGS} SELECT year, zone, 100.0::DOUBLE * {sql_round_even("1 - sum(CASE WHEN type = 'D' THEN tons ELSE 0 END) / sum(tons)", 2)} AS pct,
         round(sum(CASE WHEN type = 'D' THEN tons ELSE 0 END) / sum(tons), 2) AS prop FROM landings GROUP BY ALL""",
 )
 def _(t):
@@ -237,7 +237,7 @@ def _(t):
 
 @query(
     "fn_round_by_size",
-    """SELECT event_id, CASE WHEN v < 1 THEN round_even(v, 2) WHEN v > 1 THEN round_even(v, 0) ELSE v END AS shown
+    f"""SELECT event_id, CASE WHEN v < 1 THEN {sql_round_even('v', 2)} WHEN v > 1 THEN round_even(v, 0) ELSE v END AS shown
        FROM (SELECT event_id, value / 50 AS v FROM events)""",
 )
 def _(t):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import cv
 from ..plans import apportion, scenarios as sc, smoothing
-from .bindings import CATCH_RUN, DRAWS, LANDINGS, SUMMARY, SURVEY, catch_run, draws, landings, r, scenario_summary, survey
+from .bindings import CATCH_RUN, DRAWS, LANDINGS, SUMMARY, SURVEY, catch_run, draws, landings, r, scenario_summary, sql_round_even, survey
 from .registry import query
 
 Y1, Y2 = 2005, 2006
@@ -25,7 +25,7 @@ def _(t):
 @query(
     "scen_mean_table_f",
     f"WITH {SUMMARY} SELECT year, "
-    + ", ".join(f"max(round_even(value, 3)) FILTER (alt = {a}) AS scenario_{a}" for a in range(1, 8))
+    + ", ".join(f"max({sql_round_even('value', 3)}) FILTER (alt = {a}) AS scenario_{a}" for a in range(1, 8))
     + " FROM summary WHERE metric = 'F_Mean' GROUP BY year",
 )
 def _(t):
@@ -49,7 +49,7 @@ REF = f"""{SUMMARY}, {CATCH_RUN}, u AS (
   items(metric, ord, label, unit, digits) AS (VALUES ('TotBiom', 1, 'Projected total (3+) biomass (t)', 1000, 0), ('SSBMean', 2, 'Projected Female spawning biomass (t)', 1000, 0),
     ('SSBF100', 3, 'B100%', 1000, 0), ('SSBFabc', 4, 'B40%', 1000, 0), ('SSBFofl', 5, 'B35%', 1000, 0), ('Fofl', 6, 'FOFL', 1, 2), ('Fabc', 7, 'maxFABC', 1, 2), ('Fabc', 8, 'FABC', 1, 2),
     ('OFL', 9, 'OFL (t)', 1000, 0), ('ABC', 10, 'maxABC (t)', 1000, 0), ('ABC', 11, 'ABC (t)', 1000, 0)),
-  ref AS (SELECT ord, label, metric, CASE WHEN digits = 0 THEN round_even(a * unit, 0) ELSE round_even(a, 2) END AS y{Y1}, CASE WHEN digits = 0 THEN round_even(b * unit, 0) ELSE round_even(b, 2) END AS y{Y2}
+  ref AS (SELECT ord, label, metric, CASE WHEN digits = 0 THEN round_even(a * unit, 0) ELSE {sql_round_even('a', 2)} END AS y{Y1}, CASE WHEN digits = 0 THEN round_even(b * unit, 0) ELSE {sql_round_even('b', 2)} END AS y{Y2}
     FROM w JOIN items USING (metric))"""
 
 
@@ -177,6 +177,35 @@ def _(t):
     return _smoothed(t)
 
 
+# Filter forward, then smooth backward, as two recursions over the years.
+FIXED = -1.5
+SMOOTH_SQL = f"""WITH RECURSIVE {SURVEY},
+  obs AS (SELECT area, year, ln(biomass) AS y, ln(1 + variance / (biomass * biomass)) AS v FROM survey WHERE year % 3 <> 0),
+  span AS (SELECT area, min(year) AS y0, 2003 AS y1 FROM obs GROUP BY 1),
+  fwd AS (
+    SELECT s.area, s.y0 AS year, o.y AS a, o.v AS p, 0.0::DOUBLE AS ap, 0.0::DOUBLE AS pp, 0.0::DOUBLE AS nll
+    FROM span s JOIN obs o ON o.area = s.area AND o.year = s.y0
+    UNION ALL
+    SELECT area, year, ap + coalesce(g * (y - ap), 0), (1 - coalesce(g, 0)) * pp, ap, pp,
+           nll + coalesce(0.5 * (ln(2 * pi() * (pp + v)) + (y - ap) * (y - ap) / (pp + v)), 0)
+    FROM (SELECT f.area, f.year + 1 AS year, f.a AS ap, f.p + exp(2 * {FIXED}::DOUBLE) AS pp, f.nll, o.y, o.v, (f.p + exp(2 * {FIXED}::DOUBLE)) / (f.p + exp(2 * {FIXED}::DOUBLE) + o.v) AS g
+          FROM fwd f JOIN span s ON f.area = s.area AND f.year < s.y1 LEFT JOIN obs o ON o.area = f.area AND o.year = f.year + 1)),
+  bwd AS (
+    SELECT f.area, f.year, f.a AS m, f.p AS c FROM fwd f WHERE f.year = 2003
+    UNION ALL
+    SELECT f.area, f.year, f.a + f.p / n.pp * (b.m - n.ap), f.p + (f.p / n.pp) * (f.p / n.pp) * (b.c - n.pp)
+    FROM bwd b JOIN fwd n ON n.area = b.area AND n.year = b.year JOIN fwd f ON f.area = b.area AND f.year = b.year - 1)
+  SELECT b.area AS strata, CAST(b.year AS INTEGER) AS year, round(b.m, 6) AS log_est, round(sqrt(b.c), 6) AS log_sd, round(t.nll, 5) AS nll
+  FROM bwd b JOIN (SELECT area, nll FROM fwd WHERE year = 2003) t USING (area)"""
+
+
+@query("smooth_fixed_sigma", SMOOTH_SQL)
+def _(t):
+    s = survey(t).where("year % 3 <> 0").select(F.col("area").alias("strata"), "year", "biomass", cv("variance", "biomass").alias("cv"))
+    out = smoothing.smooth_random_walk(s, ["strata"], end_year=2003, log_sigma=FIXED)
+    return out.select("strata", "year", r("log_est").alias("log_est"), r("log_sd").alias("log_sd"), r("nll", 5).alias("nll"))
+
+
 SHARES = f"""{SURVEY}, sh AS (SELECT year, area AS strata, biomass / sum(biomass) OVER (PARTITION BY year) AS share FROM survey WHERE year = 2000),
    fr AS (SELECT sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / count(*) AS w FROM orders),
    parts AS (SELECT year, strata, share FROM sh WHERE strata <> 'ASIA' UNION ALL SELECT year, 'West ASIA', share * w FROM sh, fr WHERE strata = 'ASIA'
@@ -198,7 +227,7 @@ def _(t):
 @query(
     "apportion_round_remainder",
     f"""WITH {SHARES}, a AS (SELECT year, strata, y AS year_limit, abc, share, round_even(share * abc, 0) AS part FROM parts, (VALUES (2001, 40503.0::DOUBLE), (2002, 41258.0::DOUBLE)) v(y, abc))
-        SELECT CAST(year_limit AS INTEGER) AS year_limit, strata, abc, round_even(share * 100, 2) AS percent,
+        SELECT CAST(year_limit AS INTEGER) AS year_limit, strata, abc, {sql_round_even('share * 100', 2)} AS percent,
                part + CASE WHEN row_number() OVER (PARTITION BY year_limit ORDER BY share DESC, strata) = 1 THEN abc - sum(part) OVER (PARTITION BY year_limit) ELSE 0 END AS area_abc FROM a""",
 )
 def _(t):

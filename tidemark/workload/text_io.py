@@ -64,6 +64,21 @@ def _(t):
     return j.select(F.col("c_custkey").alias("area_id"), F.col("c_mktsegment").alias("area_type"), "o_orderkey", "o_totalprice")
 
 
+SEARCHED = {"orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["user_id"]}
+
+
+@query(
+    "src_catalog_search",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, lower(any_value(typeof({c}))) AS data_type, count({c}) AS n_values FROM {t}"
+        for t, cs in SEARCHED.items()
+        for c in cs
+    ),
+)
+def _(t):
+    return tables.column_search({name: getattr(t, name) for name in SEARCHED}, "key$|^user")
+
+
 @query("src_table_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1")
 def _(t):
     return tables.preview(t.orders, 1, ["o_orderkey"])
