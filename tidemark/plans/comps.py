@@ -44,7 +44,8 @@ def length_frequencies(
 
 
 def length_frequencies_wide_source(
-    df: DataFrame, year: str, length_mm: str, males: str, females: str, bins: list[int] | None = None, full_range: bool = True
+    df: DataFrame, year: str, length_mm: str, males: str, females: str, bins: list[int] | None = None, full_range: bool = True,
+    by: list[str] = (),
 ) -> DataFrame:
     """The same from a table with one number column per sex and lengths in mm.
 
@@ -53,21 +54,23 @@ def length_frequencies_wide_source(
     """
     bins = bins or length_bins()
     step = bins[1] - bins[0]
+    keys = [*by, "year"]
     binned = df.select(
+        *by,
         F.col(year).alias("year"),
         length_bin(F.col(length_mm) / 10.0, bins[0], bins[-1], step).alias("bin"),
         F.col(males).alias("MALES"),
         F.col(females).alias("FEMALES"),
     )
-    sums = binned.groupBy("year", "bin").agg(F.sum("MALES").alias("MALES"), F.sum("FEMALES").alias("FEMALES"))
-    long = unpivot_long(sums, ["year", "bin"], ["MALES", "FEMALES"], "variable", "nobs")
+    sums = binned.groupBy(*keys, "bin").agg(F.sum("MALES").alias("MALES"), F.sum("FEMALES").alias("FEMALES"))
+    long = unpivot_long(sums, [*keys, "bin"], ["MALES", "FEMALES"], "variable", "nobs")
     if full_range:
-        steps = full_sequence(long, ["year", "variable"], "bin", step)
-        long = steps.join(long, ["year", "variable", "bin"], "left").fillna({"nobs": 0.0})
-    shares = share_of_total(long, ["year"], "nobs", "freq").select(
-        "year", F.when(F.col("variable") == "FEMALES", FEMALE).otherwise(MALE).alias("sex"), "bin", "freq"
+        steps = full_sequence(long, [*keys, "variable"], "bin", step)
+        long = steps.join(long, [*keys, "variable", "bin"], "left").fillna({"nobs": 0.0})
+    shares = share_of_total(long, keys, "nobs", "freq").select(
+        *keys, F.when(F.col("variable") == "FEMALES", FEMALE).otherwise(MALE).alias("sex"), "bin", "freq"
     )
-    return complete_grid(shares, ["year"], {"sex": [FEMALE, MALE], "bin": bins}, {"freq": 0.0})
+    return complete_grid(shares, keys, {"sex": [FEMALE, MALE], "bin": bins}, {"freq": 0.0})
 
 
 def with_front_matter(
@@ -98,6 +101,7 @@ def caal_long(
     weight: Column,
     lbins: list[int] | None = None,
     abins: list[int] | None = None,
+    by: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Counts of aged fish by year, model sex, length bin and age bin.
 
@@ -110,27 +114,31 @@ def caal_long(
     fish = df.where(
         (sex != SURVEY_UNSEXED) & age.isNotNull() & weight.isNotNull() & length_mm.isNotNull()
     )
+    by = by or {}
     counts = fish.groupBy(
+        *[c.alias(n) for n, c in by.items()],
         year.alias("year"),
         F.when(sex == SURVEY_FEMALE, F.lit(FEMALE)).when(sex == SURVEY_MALE, F.lit(MALE)).alias("sex"),
         length_bin(F.bround(length_mm / 10.0, 0), lbins[0], lbins[-1], lbins[1] - lbins[0]).alias("lbin"),
         age_bin(age, abins[0], abins[-1]).alias("abin"),
     ).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("sex").isNotNull())
-    return complete_grid(counts, ["year", "sex", "lbin"], {"abin": abins}, {"n": 0})
+    return complete_grid(counts, [*by, "year", "sex", "lbin"], {"abin": abins}, {"n": 0})
 
 
 def caal_rows(
-    long: DataFrame, abins: list[int] | None = None, fleet: int = 2, month: int = 7, first_year: int = FIRST_YEAR
+    long: DataFrame, abins: list[int] | None = None, fleet: int = 2, month: int = 7, first_year: int = FIRST_YEAR,
+    by: list[str] = (),
 ) -> DataFrame:
     """Model rows of conditional ages: Nsamp is the row total, the vector stands twice."""
     abins = abins or age_bins()
     cells = [f"a{a}" for a in abins]
     key = F.concat(F.lit("a"), F.col("abin").cast("string"))
-    wide = pivot_wide(long, ["year", "sex", "lbin"], key, "n", cells, combine="sum", fill=0)
+    wide = pivot_wide(long, [*by, "year", "sex", "lbin"], key, "n", cells, combine="sum", fill=0)
     total = "+".join(cells)
     flagged = wide.withColumn("_fleet", fleet_flag(F.lit(fleet), (F.col("year") < first_year, -fleet)))
     return flagged.where(F.expr(f"{total} > 0")).selectExpr(
+        *by,
         "year AS yr",
         f"{month} AS month",
         "_fleet AS fleet",
@@ -145,28 +153,32 @@ def caal_rows(
 
 
 def age_marginal(
-    df: DataFrame, year: Column, sex: Column, age: Column, number: Column, abins: list[int] | None = None
+    df: DataFrame, year: Column, sex: Column, age: Column, number: Column, abins: list[int] | None = None,
+    by: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Proportions by year over both blocks; sex 1 is male, every other code female."""
     abins = abins or age_bins()
-    rows = df.select(year.alias("year"), sex.alias("_s"), age_bin(age, abins[0], abins[-1]).alias("bin"), number.alias("_n"))
+    by = by or {}
+    keys = [*by, "year"]
+    rows = df.select(*[c.alias(n) for n, c in by.items()], year.alias("year"), sex.alias("_s"), age_bin(age, abins[0], abins[-1]).alias("bin"), number.alias("_n"))
     rows = rows.dropna(subset=["year", "_s", "bin", "_n"])
     sums = rows.groupBy(
-        "year", F.when(F.col("_s") == SURVEY_MALE, F.lit(MALE)).otherwise(F.lit(FEMALE)).alias("sex"), "bin"
+        *keys, F.when(F.col("_s") == SURVEY_MALE, F.lit(MALE)).otherwise(F.lit(FEMALE)).alias("sex"), "bin"
     ).agg(F.sum("_n").alias("nobs"))
-    shares = share_of_total(sums, ["year"], "nobs", "freq").drop("nobs")
-    return complete_grid(shares, ["year"], {"sex": [FEMALE, MALE], "bin": abins}, {"freq": 0.0})
+    shares = share_of_total(sums, keys, "nobs", "freq").drop("nobs")
+    return complete_grid(shares, keys, {"sex": [FEMALE, MALE], "bin": abins}, {"freq": 0.0})
 
 
-def age_marginal_rows(freq: DataFrame, hauls: DataFrame, abins: list[int] | None = None, fleet: int = -2, month: int = 7) -> DataFrame:
+def age_marginal_rows(freq: DataFrame, hauls: DataFrame, abins: list[int] | None = None, fleet: int = -2, month: int = 7, by: list[str] = ()) -> DataFrame:
     """Model rows of marginal ages: female ages as 1.., male ages as 101.. columns."""
     abins = abins or age_bins()
     male = F.when(F.col("sex") == MALE, F.lit("p10")).otherwise(F.lit("p"))
     levels = [f"p{a}" for a in abins] + [f"p10{a}" for a in abins]
     wide = pivot_wide(
-        freq, ["year"], F.concat(male, F.col("bin").cast("string")), "freq", levels, combine="sum", fill=0.0
+        freq, [*by, "year"], F.concat(male, F.col("bin").cast("string")), "freq", levels, combine="sum", fill=0.0
     )
-    return wide.join(hauls, "year").selectExpr(
+    return wide.join(hauls, [*by, "year"]).selectExpr(
+        *by,
         "year AS yr",
         f"{month} AS month",
         f"{fleet} AS fleet",
@@ -180,15 +192,16 @@ def age_marginal_rows(freq: DataFrame, hauls: DataFrame, abins: list[int] | None
     )
 
 
-def sample_sizes(sources: dict[str, DataFrame]) -> DataFrame:
+def sample_sizes(sources: dict[str, DataFrame], by: list[str] = ()) -> DataFrame:
     """Total sample size by year, fleet, sex and model source; fleet -2 is left out."""
     out = None
     for name, df in sources.items():
-        one = df.select("year", "fleet", "sex", "nsamp", F.lit(name).alias("src"))
+        one = df.select(*by, "year", "fleet", "sex", "nsamp", F.lit(name).alias("src"))
         out = one if out is None else out.unionByName(one)
     return (
         out.where(F.col("fleet") != -2)
         .groupBy(
+            *by,
             "year",
             F.when(F.col("fleet") == 1, "Fishery").otherwise("Survey").alias("fleet"),
             F.when(F.col("sex") == 1, "Female").otherwise("Male").alias("sex"),

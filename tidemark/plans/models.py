@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.rounding import round_by_size, round_even, value_sd_text
 from ..operators.filters import beyond
 from ..operators.reshape import pivot_wide, unpivot_long
+from ..operators.windows import rescale_min
 
 
 def compare_wide(
-    df: DataFrame, item: str, value: str, models: list[str], threshold: float | None = None
+    df: DataFrame, item: str, value: str, models: list[str], threshold: float | None = None, by: list[str] = ()
 ) -> DataFrame:
     """Items by model run: likelihood parts, index values, parameters."""
     rows = beyond(df, value, threshold) if threshold is not None else df
-    return pivot_wide(rows, [item], "model", value, models)
+    return pivot_wide(rows, [*by, item], "model", value, models)
 
 
 def parameter_counts(df: DataFrame, patterns: dict[str, str], by: list[str] = ("model",)) -> DataFrame:
@@ -26,7 +27,7 @@ def parameter_counts(df: DataFrame, patterns: dict[str, str], by: list[str] = ("
     )
 
 
-def parameter_table(df: DataFrame, labels: dict[str, str], models: list[str], digits: int = 3) -> DataFrame:
+def parameter_table(df: DataFrame, labels: dict[str, str], models: list[str], digits: int = 3, by: list[str] = ()) -> DataFrame:
     """Chosen parameters by model with printed names, in the order given."""
     pairs = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     order = F.create_map(*[F.lit(x) for i, k in enumerate(labels) for x in (k, i + 1)])
@@ -36,10 +37,10 @@ def parameter_table(df: DataFrame, labels: dict[str, str], models: list[str], di
         .withColumn("ord", F.try_element_at(order, F.col("label")))
         .withColumn("_v", round_even("value", digits))
     )
-    return pivot_wide(rows, ["ord", "_name"], "model", "_v", models).withColumnRenamed("_name", "parameter")
+    return pivot_wide(rows, [*by, "ord", "_name"], "model", "_v", models).withColumnRenamed("_name", "parameter")
 
 
-def labelled_series(df: DataFrame, quantities: dict[str, str]) -> DataFrame:
+def labelled_series(df: DataFrame, quantities: dict[str, str], by: list[str] = ()) -> DataFrame:
     """Quantities labelled PREFIX_YEAR -> (model, quantity, year, value, sd).
 
     quantities = {printed name: pattern of the whole prefix}. Labels whose tail
@@ -51,11 +52,12 @@ def labelled_series(df: DataFrame, quantities: dict[str, str]) -> DataFrame:
         name = F.when(prefix.rlike(f"^(?:{pattern})$"), F.lit(printed)).otherwise(name)
     rows = df.withColumn("quantity", name).withColumn("year", F.regexp_extract("label", r"_([^_]*)$", 1).try_cast("int"))
     return rows.where(F.col("quantity").isNotNull() & F.col("year").isNotNull()).select(
-        "model", "quantity", "year", "value", "sd"
+        *by, "model", "quantity", "year", "value", "sd"
     )
 
 
-def timeseries_table(series: DataFrame, models: list[str], quantities: list[str], after: int | None = None) -> DataFrame:
+def timeseries_table(series: DataFrame, models: list[str], quantities: list[str], after: int | None = None, by: list[str] = ()
+) -> DataFrame:
     """Year by quantity and model, each cell "value (sd)" with size-dependent decimals."""
 
     def shown(c: str) -> Column:
@@ -67,22 +69,24 @@ def timeseries_table(series: DataFrame, models: list[str], quantities: list[str]
         "_key", F.concat_ws(" | ", "model", "quantity")
     )
     levels = [f"{m} | {q}" for q in quantities for m in models]
-    return pivot_wide(rows, ["year"], "_key", "_cell", levels)
+    return pivot_wide(rows, [*by, "year"], "_key", "_cell", levels)
 
 
-def biomass_ratio(df: DataFrame, virgin: str = "SSB_Virgin", share: float = 0.35, before: int | None = None) -> DataFrame:
+def biomass_ratio(df: DataFrame, virgin: str = "SSB_Virgin", share: float = 0.35, before: int | None = None, by: list[str] = ()
+) -> DataFrame:
     """SSB and its one-SD limits with SSB / (share of unfished SSB), per model.
 
     df: (model, label, value, sd). Only the SSB series gets a ratio.
     """
-    base = df.where(F.col("label") == virgin).groupBy("model").agg((F.lit(share) * F.max("value")).alias("b35"))
+    base = df.where(F.col("label") == virgin).groupBy(*by, "model").agg((F.lit(share) * F.max("value")).alias("b35"))
     kind = F.split_part(F.col("label"), F.lit("_"), F.lit(1))
     year = F.split_part(F.col("label"), F.lit("_"), F.lit(2)).try_cast("int")
     rows = df.where(F.col("label").rlike("^(SSB|Bratio)_")).withColumn("quantity", kind).withColumn("year", year)
     rows = rows.where(F.col("year").isNotNull())
     if before is not None:
         rows = rows.where(F.col("year") < before)
-    return rows.join(base, "model").select(
+    return rows.join(base, [*by, "model"]).select(
+        *by,
         "model",
         "quantity",
         "year",
@@ -93,27 +97,33 @@ def biomass_ratio(df: DataFrame, virgin: str = "SSB_Virgin", share: float = 0.35
     )
 
 
-def index_fit(df: DataFrame) -> DataFrame:
+def index_fit(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """(model, year, obs, exp, se) -> long with limits value -/+ value * se."""
-    long = unpivot_long(df.select("model", "year", "se", "obs", "exp"), ["model", "year", "se"], ["obs", "exp"])
+    long = unpivot_long(
+        df.select(*by, "model", "year", "se", "obs", "exp"), [*by, "model", "year", "se"], ["obs", "exp"]
+    )
     return long.withColumn("lwr", F.col("value") - F.col("value") * F.col("se")).withColumn(
         "upr", F.col("value") + F.col("value") * F.col("se")
     )
 
 
-def selectivity_long(df: DataFrame, ages: list[str], factor: str, year: int | None = None) -> DataFrame:
+def selectivity_long(df: DataFrame, ages: list[str], factor: str, year: int | None = None, by: list[str] = ()
+) -> DataFrame:
     """Selectivity by age as rows, one factor, one year (the latest per model by default).
 
     df: (model, factor, year, fleet, sex, one column per age).
     """
     rows = df.where(F.col("factor") == factor)
     if year is None:
-        last = rows.groupBy("model").agg(F.max("year").alias("_last"))
-        rows = rows.join(last, "model").where(F.col("year") == F.col("_last"))
+        last = rows.groupBy(*by, "model").agg(F.max("year").alias("_last"))
+        rows = rows.join(last, [*by, "model"]).where(F.col("year") == F.col("_last"))
     else:
         rows = rows.where(F.col("year") == year)
-    long = unpivot_long(rows.select("model", "fleet", "sex", *ages), ["model", "fleet", "sex"], ages, "age", "value")
+    long = unpivot_long(
+        rows.select(*by, "model", "fleet", "sex", *ages), [*by, "model", "fleet", "sex"], ages, "age", "value"
+    )
     return long.select(
+        *by,
         "model",
         F.when(F.col("fleet") == 1, "Fishery").otherwise("Survey").alias("fleet"),
         F.when(F.col("sex") == 1, "Females").otherwise("Males").alias("sex"),
@@ -122,33 +132,33 @@ def selectivity_long(df: DataFrame, ages: list[str], factor: str, year: int | No
     )
 
 
-def profile_best(df: DataFrame, runs: list[str], grid: dict[str, float] | None = None) -> DataFrame:
+def profile_best(df: DataFrame, runs: list[str], grid: dict[str, float] | None = None, by: list[str] = ()
+) -> DataFrame:
     """Best run per likelihood component from a table with one column per run.
 
     grid gives the profiled value of each run.
     """
-    long = unpivot_long(df, ["label"], runs, "run", "value").where(F.col("value").isNotNull())
+    long = unpivot_long(df, [*by, "label"], runs, "run", "value").where(F.col("value").isNotNull())
     if grid:
         values = F.create_map(*[F.lit(x) for k, v in grid.items() for x in (k, float(v))])
         long = long.withColumn("at", F.try_element_at(values, F.col("run")))
     else:
         long = long.withColumn("at", F.lit(None).cast("double"))
     best = F.min_by(F.struct("run", "at"), F.struct("value", "run"))
-    return long.groupBy("label").agg(best.alias("_b"), F.min("value").alias("value")).select(
-        "label", F.col("_b.run").alias("run"), F.col("_b.at").alias("at"), "value"
+    return long.groupBy(*by, "label").agg(best.alias("_b"), F.min("value").alias("value")).select(
+        *by, "label", F.col("_b.run").alias("run"), F.col("_b.at").alias("at"), "value"
     )
 
 
-def profile_surface(likelihoods: DataFrame, x: str, y: str, cut: float) -> DataFrame:
+def profile_surface(likelihoods: DataFrame, x: str, y: str, cut: float, by: list[str] = ()) -> DataFrame:
     """Total likelihood over a 2-D grid, rescaled to its minimum.
 
-    likelihoods: (label, x, y, value). `best` marks the minimum (ties kept),
+    likelihoods: (by..., label, x, y, value). `best` marks the minimum (ties kept),
     `inside` the points within `cut` of it.
     """
     total = likelihoods.where(F.col("label") == "TOTAL")
-    low = total.agg(F.min("value").alias("low"))
-    out = total.withColumn("delta", F.col("value") - low.scalar())
-    return out.select(x, y, "delta", (F.col("delta") == 0).alias("best"), (F.col("delta") <= cut).alias("inside"))
+    out = rescale_min(total, list(by), "value", "delta")
+    return out.select(*by, x, y, "delta", (F.col("delta") == 0).alias("best"), (F.col("delta") <= cut).alias("inside"))
 
 
 def mohns_rho(df: DataFrame, by: list[str] = ("quantity",)) -> DataFrame:

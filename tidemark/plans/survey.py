@@ -65,26 +65,28 @@ def index_by_area_long(
     older_before: int = 1990,
     names: dict[str, str] = AREA_NAMES,
     drop_year: int | None = None,
+    by: list[str] = (),
 ) -> DataFrame:
     """(strata, year, biomass, cv), early years taken from an older run, names unified.
 
     current: (area, year, biomass, variance); older: (strata, year, biomass, cv).
     """
-    out = current.select(F.col("area").alias("strata"), "year", "biomass", cv("variance", "biomass").alias("cv"))
+    out = current.select(*by, F.col("area").alias("strata"), "year", "biomass", cv("variance", "biomass").alias("cv"))
     if older is not None:
         out = out.unionByName(
-            older.where(F.col("year") < older_before).select("strata", "year", "biomass", "cv")
+            older.where(F.col("year") < older_before).select(*by, "strata", "year", "biomass", "cv")
         )
     out = out.withColumn("strata", recode("strata", names, keep_unmapped=True)).where(F.col("biomass").isNotNull())
     return out.where(F.col("year") != drop_year) if drop_year is not None else out
 
 
-def index_by_depth(df: DataFrame, bands: list[str]) -> DataFrame:
+def index_by_depth(df: DataFrame, bands: list[str], by: list[str] = ()) -> DataFrame:
     """(year, area, band, biomass) -> one row per area and year, one column per band."""
-    return pivot_wide(df, ["area", "year"], "band", "biomass", bands)
+    return pivot_wide(df, [*by, "area", "year"], "band", "biomass", bands)
 
 
-def stack_sources(design: DataFrame, model: DataFrame, k_design: float = 1.0, k_model: float = 1.0) -> DataFrame:
+def stack_sources(design: DataFrame, model: DataFrame, k_design: float = 1.0, k_model: float = 1.0, by: list[str] = ()
+) -> DataFrame:
     """Design-based and model-based indices in one table with limits.
 
     design: (year, value, cv); model: (year, value, se) with se as a share of
@@ -93,13 +95,13 @@ def stack_sources(design: DataFrame, model: DataFrame, k_design: float = 1.0, k_
 
     def one(df: DataFrame, rel: str, k: float, label: str) -> DataFrame:
         lo, hi = limits("value", rel, k)
-        return df.select("year", "value", lo.alias("lci"), hi.alias("uci"), F.lit(label).alias("src"))
+        return df.select(*by, "year", "value", lo.alias("lci"), hi.alias("uci"), F.lit(label).alias("src"))
 
     both = one(model, "se", k_model, "model-based").unionByName(one(design, "cv", k_design, "design-based"))
     return both.where(F.col("value") > 0)
 
 
-def hauls_per_year(sources: dict[str, DataFrame], drop_areas: list[int] = ()) -> DataFrame:
+def hauls_per_year(sources: dict[str, DataFrame], drop_areas: list[int] = (), by: list[str] = ()) -> DataFrame:
     """Distinct hauls per year and source, joined by year.
 
     Each source is (year, haul, area). Hauls without an id are not counted.
@@ -107,8 +109,8 @@ def hauls_per_year(sources: dict[str, DataFrame], drop_areas: list[int] = ()) ->
     out = None
     for name, df in sources.items():
         rows = df.where(~F.coalesce(F.col("area").isin(list(drop_areas)), F.lit(False))) if drop_areas else df
-        n = rows.groupBy("year").agg(F.count_distinct("haul").alias(f"hauls_{name}"))
-        out = n if out is None else out.join(n, "year", "full_outer")
+        n = rows.groupBy(*by, "year").agg(F.count_distinct("haul").alias(f"hauls_{name}"))
+        out = n if out is None else out.join(n, [*by, "year"], "full_outer")
     return out
 
 

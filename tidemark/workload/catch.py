@@ -166,7 +166,7 @@ REMOVALS = """rem AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CASE WHE
 
 @query(
     "catch_noncommercial_top",
-    f"WITH {REMOVALS} SELECT year, agency, source, {sql_round_even('sum(kg) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL",
+    f"WITH {REMOVALS} SELECT year, agency, source, {sql_round_even('round(sum(kg), 6) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL",
 )
 def _(t):
     return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "GOA")
@@ -174,7 +174,7 @@ def _(t):
 
 @query(
     "catch_noncommercial_wide",
-    f"""WITH {REMOVALS}, s AS (SELECT year, agency || '_' || source AS k, {sql_round_even('sum(kg) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL)
+    f"""WITH {REMOVALS}, s AS (SELECT year, agency || '_' || source AS k, {sql_round_even('round(sum(kg), 6) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL)
         SELECT year, max(tons) FILTER (k = 'ADFG_Other') AS adfg_other, max(tons) FILTER (k = 'IPHC_S0') AS iphc_s0, max(tons) FILTER (k = 'IPHC_S5') AS iphc_s5 FROM s GROUP BY year""",
 )
 def _(t):

@@ -59,7 +59,7 @@ def _(t):
 
 
 def _printed(c):
-    return f"CASE WHEN ord <= 5 OR ord >= 9 THEN printf('%,d', CAST({c} AS BIGINT)) ELSE printf('%.2f', {c}) END"
+    return f"CASE WHEN ord <= 5 OR ord >= 9 THEN printf('%,d', CAST({c} AS BIGINT)) ELSE format('{{:,.2f}}', {c}) END"
 
 
 @query(
