@@ -1,11 +1,12 @@
 """Compare chosen queries (all by default) and print findings: run_compare.py [folder] [name ...]."""
 
+import os
 import sys
 import time
 import traceback
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from compare import connect, differences  # noqa: E402
 

@@ -54,8 +54,29 @@ def arg_min(df: DataFrame, by: list[str], value: str, at: list[str]) -> DataFram
     return out.select(*by, value, *[F.col(f"_at.{a}").alias(a) for a in at])
 
 
+def _value_band(v: Column, resolution: int) -> Column:
+    """Index of a narrow band of values; it never falls as v grows."""
+    # ln of any positive double lies in (-746, 710), so the offset keeps bands positive.
+    magnitude = F.floor(F.log(F.abs(v)) * resolution) + F.lit(1000 * resolution)
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, magnitude).otherwise(-magnitude)
+
+
+def _same(by: list[str]) -> Column:
+    """Null-safe match of key columns with their _k_ copies."""
+    match = F.lit(True)
+    for i, b in enumerate(by):
+        term = F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+        match = term if i == 0 else match & term
+    return match
+
+
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], resolution: int = 256
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    probs: dict[str, float],
+    resolution: int = 256,
+    max_band_rows: int = 5_000_000,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of groups of any size.
 
@@ -64,43 +85,56 @@ def exact_quantiles(
     which shuffles only partial counts. The counts tell which bands hold the
     wanted ranks; rows of other bands are dropped before anything else is
     shuffled, equal values are counted, and the few left are ranked inside
-    their band. The answer is exact for every resolution.
+    their band. While a wanted band has more than max_band_rows rows it is cut
+    into 4096 finer ones in the same way. The answer does not depend on the
+    band settings.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
-    # ln of any positive double lies in (-746, 710), so the offset keeps bands positive.
-    magnitude = F.floor(F.log(F.abs("_v")) * resolution) + F.lit(1000 * resolution)
-    rows = rows.withColumn(
-        "_band",
-        F.when(F.col("_v") == 0, F.lit(0).cast("long")).when(F.col("_v") > 0, magnitude).otherwise(-magnitude),
-    )
+    rows = rows.withColumn("_band", _value_band(F.col("_v"), resolution))
 
-    running = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
-    bands = rows.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_size"))
-    bands = bands.select(
-        *by,
-        "_band",
-        F.sum("_size").over(running).alias("_end"),
-        (F.sum("_size").over(running) - F.col("_size")).alias("_start"),
-        (F.sum("_size").over(Window.partitionBy(*by)) - 1).alias("_last"),
-    )
-    wanted = []
-    for i, p in enumerate(probs.values()):
+    # Wanted places: (id, rank from 0, weight of the upper neighbour), from the last rank.
+    ranks = []
+    for p in probs.values():
         at = F.col("_last").cast("double") * F.lit(float(p))
         low = F.floor(at)
-        for side, rank in ((0, low), (1, F.least(low + 1, F.col("_last")))):
-            wanted.append(
-                F.struct(F.lit(2 * i + side).alias("id"), rank.alias("rank"), (at - low).alias("frac"))
-            )
-    inside = lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end"))
-    bands = bands.withColumn("_need", F.filter(F.array(*wanted), inside)).where(F.size("_need") > 0)
-    # At most two bands per quantile and group.
-    keys = [F.col(b).alias(f"_k_{b}") for b in [*by, "_band"]]
-    bands = measured(bands.select(*keys, "_start", "_need"))
-    match = None
-    for b in [*by, "_band"]:
-        term = F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-        match = term if match is None else match & term
+        ranks += [(low, at - low), (F.least(low + 1, F.col("_last")), at - low)]
+    held = F.lit(False)
+    for rank, _ in ranks:
+        held = held | ((rank >= F.col("_start")) & (rank < F.col("_end")))
+
+    def keep(bands: DataFrame) -> DataFrame:
+        """Bands that hold a wanted rank: at most two per quantile and group."""
+        keys = [F.col(b).alias(f"_k_{b}") for b in [*by, "_band"]]
+        return measured(bands.where(held).select(*keys, "_start", "_last", (F.col("_end") - F.col("_start")).alias("_size")))
+
+    running = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n"))
+    bands = keep(
+        counts.select(
+            *by,
+            "_band",
+            F.sum("_n").over(running).alias("_end"),
+            (F.sum("_n").over(running) - F.col("_n")).alias("_start"),
+            (F.sum("_n").over(Window.partitionBy(*by)) - 1).alias("_last"),
+        )
+    )
+    match = _same([*by, "_band"])
+    # Three cuts reach the spacing of doubles; beyond it a band is one repeated value.
+    for _ in range(3):
+        largest = bands.agg(F.max("_size")).first()[0]
+        if largest is None or largest <= max_band_rows:
+            break
+        resolution *= 4096
+        outer = bands.select(*[f"_k_{b}" for b in [*by, "_band"]], F.col("_start").alias("_base"), "_last")
+        rows = rows.join(outer, match).select(
+            *by, "_v", F.col("_band").alias("_outer"), "_base", "_last", _value_band(F.col("_v"), resolution).alias("_band")
+        )
+        within = Window.partitionBy(*by, "_outer").orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
+        counts = rows.groupBy(*by, "_outer", "_base", "_last", "_band").agg(F.count(F.lit(1)).alias("_n"))
+        end = F.col("_base") + F.sum("_n").over(within)
+        bands = keep(counts.select(*by, "_band", end.alias("_end"), (end - F.col("_n")).alias("_start"), "_last"))
+        rows = rows.select(*by, "_v", "_band")
 
     counted = rows.join(bands, match, "left_semi").groupBy(*by, "_band", "_v").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*by, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -109,9 +143,14 @@ def exact_quantiles(
         .withColumn("_to", F.col("_start") + F.sum("_n").over(order))
         .withColumn("_from", F.col("_to") - F.col("_n"))
     )
-    covers = lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to"))
-    hit = hit.withColumn("_r", F.explode(F.filter("_need", covers)))
-    found = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_r.id", F.struct("_v", "_r.frac")))).alias("_m"))
+    wanted = F.array(
+        *[F.struct(F.lit(i).alias("id"), rank.alias("rank"), frac.alias("frac")) for i, (rank, frac) in enumerate(ranks)]
+    )
+    covered = F.filter(wanted, lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to")))
+    hit = hit.withColumn("_r", F.explode(covered))
+    found = hit.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("_r.id", F.struct("_v", "_r.frac")))).alias("_m")
+    )
     out = found
     for i, name in enumerate(probs):
         lo, hi = F.col("_m")[2 * i], F.col("_m")[2 * i + 1]

@@ -109,23 +109,46 @@ def complete_grid(
 ) -> DataFrame:
     """Add the missing combinations of `by` with each level column.
 
-    A list gives the levels and fans out in place; None takes the levels met in
-    the data. Only distinct keys are combined, never the facts. `fill` sets
-    values for added (and null) cells.
+    A list states the levels; None takes the levels met in the data. `fill`
+    sets values for added (and null) cells. With stated levels only, `df` has
+    one row per combination and is read once: the cells of a key (at most the
+    product of the levels) are gathered and looked up while the levels fan out.
+    Otherwise the distinct keys are combined and joined to `df`.
     """
-    grid = (spine if spine is not None else df).select(*by).distinct()
-    for name, values in levels.items():
-        if values is None:
-            grid = all_combinations(grid, df.select(name).where(F.col(name).isNotNull()).distinct())
-        else:
-            typed = F.array(*[F.lit(v) for v in values]).cast(f"array<{df.schema[name].dataType.simpleString()}>")
-            grid = grid.withColumn(name, F.explode(typed))
-    out = grid.join(df, [*by, *levels], "left")
+    if spine is None and all(v is not None for v in levels.values()):
+        out = _complete_in_place(df, by, levels)
+    else:
+        grid = (spine if spine is not None else df).select(*by).distinct()
+        for name, values in levels.items():
+            if values is None:
+                grid = all_combinations(grid, df.select(name).where(F.col(name).isNotNull()).distinct())
+            else:
+                grid = grid.withColumn(name, F.explode(_level_array(df, name, values)))
+        out = grid.join(df, [*by, *levels], "left")
     for col, value in (fill or {}).items():
         out = out.withColumn(col, F.coalesce(F.col(col), F.lit(value)))
     return out
 
 
+def _level_array(df: DataFrame, name: str, values: list) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{df.schema[name].dataType.simpleString()}>")
+
+
+def _complete_in_place(df: DataFrame, by: list[str], levels: dict[str, list]) -> DataFrame:
+    rest = [c for c in df.columns if c not in by and c not in levels]
+    listed = None
+    for name, values in levels.items():
+        test = F.col(name).isin(list(values))
+        listed = test if listed is None else listed & test
+    entry = F.struct(F.struct(*levels).alias("k"), F.struct(*rest).alias("v"))
+    # collect_list skips nulls, so a key without any listed cell still gets its row.
+    cells = df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(listed, entry))).alias("_cells"))
+    for name, values in levels.items():
+        cells = cells.withColumn(name, F.explode(_level_array(df, name, values)))
+    found = cells.withColumn("_cell", F.try_element_at("_cells", F.struct(*levels)))
+    return found.select(*by, *levels, *[F.col(f"_cell.{c}").alias(c) for c in rest])
+
+
 def full_sequence(df: DataFrame, by: list[str], col: str, step: int) -> DataFrame:
     """Every value between a group's minimum and maximum at a fixed step."""
     ends = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))

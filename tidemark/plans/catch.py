@@ -13,7 +13,7 @@ from ..functions.text import comma_number, paste
 from ..operators.aggregates import target_share
 from ..operators.columns import snake_name
 from ..operators.filters import groups_with_a_value
-from ..operators.joins import relabel_unlisted
+from ..operators.joins import measured, relabel_unlisted
 from ..operators.reshape import pivot_wide, unpivot_long
 from ..operators.windows import top_with_ties
 
@@ -231,14 +231,14 @@ def noncommercial_top(
     of highest mean weight (ties kept); the ranking uses all areas, the table
     only `area`. With `levels` the result is wide, else long.
     """
-    # Facts are summed to (year, agency, source) first; ranks and labels use the sums.
+    # Facts are read once, into sums by (year, agency, source); ranks and labels use the sums.
     here = F.lit(True) if area is None else F.col("area") == area
-    pre = df.groupBy("year", "agency", "source").agg(
+    pre = measured(df.groupBy("year", "agency", "source").agg(
         F.sum("kg").alias("_all"),
         F.count("kg").alias("_n"),
         F.sum(F.when(here, F.col("kg"))).alias("kg"),
         F.count_if(here).alias("_here"),
-    )
+    ))
     own = pre.where(F.col("agency") == collapse_agency)
     means = own.groupBy("agency", "source").agg(F.try_divide(F.sum("_all"), F.sum("_n")).alias("_m"))
     top = top_with_ties(means, ["agency"], "_m", keep)

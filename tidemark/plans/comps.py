@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import age_bin, age_bins, length_bin, length_bins
 from ..operators.filters import fleet_flag
-from ..operators.reshape import complete_grid, full_sequence, pivot_wide, unpivot_long
+from ..operators.reshape import complete_grid, pivot_wide, unpivot_long
 from ..operators.windows import share_of_total
 
 # Model sex codes: females first (fixed values).
@@ -44,13 +44,12 @@ def length_frequencies(
 
 
 def length_frequencies_wide_source(
-    df: DataFrame, year: str, length_mm: str, males: str, females: str, bins: list[int] | None = None, full_range: bool = True,
+    df: DataFrame, year: str, length_mm: str, males: str, females: str, bins: list[int] | None = None,
     by: list[str] = (),
 ) -> DataFrame:
     """The same from a table with one number column per sex and lengths in mm.
 
-    Unsexed numbers are left out. The bin sequence of a year and sex is filled
-    from its first to its last bin, then to all bins.
+    Unsexed numbers are left out. All bins are present for both sexes.
     """
     bins = bins or length_bins()
     step = bins[1] - bins[0]
@@ -64,9 +63,6 @@ def length_frequencies_wide_source(
     )
     sums = binned.groupBy(*keys, "bin").agg(F.sum("MALES").alias("MALES"), F.sum("FEMALES").alias("FEMALES"))
     long = unpivot_long(sums, [*keys, "bin"], ["MALES", "FEMALES"], "variable", "nobs")
-    if full_range:
-        steps = full_sequence(long, [*keys, "variable"], "bin", step)
-        long = steps.join(long, [*keys, "variable", "bin"], "left").fillna({"nobs": 0.0})
     shares = share_of_total(long, keys, "nobs", "freq").select(
         *keys, F.when(F.col("variable") == "FEMALES", FEMALE).otherwise(MALE).alias("sex"), "bin", "freq"
     )

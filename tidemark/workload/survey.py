@@ -128,7 +128,7 @@ def _fishery(t):
 
 
 def _round_bins(df, digits=8):
-    return df.select(*[r(c, digits).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
+    return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if k == "double" else c for c, k in df.dtypes])
 
 
 @query(
