@@ -155,3 +155,24 @@ def test_caal_invariants(spark):
         females = [r[f"f{a}"] for a in range(1, 30)]
         assert females == [r[f"m{a}"] for a in range(1, 30)] and sum(females) == r.nsamp > 0
     assert {r.sex for r in wide} == {1, 2}
+
+
+def test_percent_can_be_rounded_twice(spark):
+    shares = spark.createDataFrame([("W", 0.123454996), ("C", 0.876545004)], "strata string, share double")
+    once = {r.strata: r.percent for r in apportion.rounded_parts(shares, {2024: 100.0}).collect()}
+    twice = {r.strata: r.percent for r in apportion.rounded_parts(shares, {2024: 100.0}, percent_digits=(3, 2)).collect()}
+    assert once["W"] == 12.35 and twice["W"] in (12.34, 12.35) and once["C"] == 87.65
+
+
+def test_canonical_names(spark):
+    from tidemark.sources.schemas import canonical
+
+    df = spark.sql("select 2001 as YEAR, 'WG' as FMP_SUBAREA, 1.5 as WEIGHT_POSTED, 7 as Other")
+    assert canonical(df).columns == ["year", "zone", "tons", "other"]
+
+
+def test_approximate_hauls_are_close(spark):
+    df = spark.range(20000).selectExpr("2001 as year", "id % 5000 as haul")
+    exact = comps.haul_counts(df, F.col("year"), F.col("haul")).first().hauls
+    near = comps.haul_counts(df, F.col("year"), F.col("haul"), approx=True).first().hauls
+    assert exact == 5000 and abs(near - exact) < 500

@@ -155,7 +155,7 @@ def test_preamble_files(spark, tmp_path, tiny_splits):
         _file(
             tmp_path, f"{y}.csv",
             ["Report of the week", "as of, today", "", "ACCOUNT.NAME,WEEK.END.DATE,METRIC.TONS"]
-            + [f'"Sole, Flathead {i}",{1 + i % 12}/{1 + i % 28}/{y},{i}.25' for i in range(30)],
+            + [f'"Sole, rock {i}",{1 + i % 12}/{1 + i % 28}/{y},{i}.25' for i in range(30)],
         )
     w = text.weekly_catch(spark, str(tmp_path), glob="*.csv")
     assert w.count() == 60 and w.where("date is null or catch is null").count() == 0
@@ -165,13 +165,13 @@ def test_preamble_files(spark, tmp_path, tiny_splits):
 def test_key_value_report(spark, tmp_path, tiny_splits):
     path = _file(
         tmp_path, "sara.dat",
-        ["#Stock results file", "#prose line about fields", "#STOCK - short code", '"FLATHEAD"', "#STOCK_NAME - name", '"Flathead sole - Gulf"',
+        ["#Stock results file", "#prose line about fields", "#STOCK - short code", '"ROCKSOLE"', "#STOCK_NAME - name", '"Rock sole - Gulf"',
          "#FISHERYYEAR -list years", "1978 1979\t1980", "#B_MSY - level", "32404"],
     )
     got = {}
     for r in text.key_value_report(spark, path).orderBy("section", "pos").collect():
         got.setdefault(r.tag, []).append(r.value)
-    assert got == {"STOCK": ["FLATHEAD"], "STOCK_NAME": ["Flathead sole - Gulf"], "FISHERYYEAR": ["1978", "1979", "1980"], "B_MSY": ["32404"]}
+    assert got == {"STOCK": ["ROCKSOLE"], "STOCK_NAME": ["Rock sole - Gulf"], "FISHERYYEAR": ["1978", "1979", "1980"], "B_MSY": ["32404"]}
 
 
 def test_ordered_text_round_trip(spark):

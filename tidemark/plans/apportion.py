@@ -33,14 +33,16 @@ def split_area(
 
 
 def rounded_parts(
-    shares: DataFrame, limits: DataFrame | dict[int, float], by: list[str] = (), adjust_area: str | None = None
+    shares: DataFrame, limits: DataFrame | dict[int, float], by: list[str] = (), adjust_area: str | None = None,
+    percent_digits: tuple[int, ...] = (2,),
 ) -> DataFrame:
     """Area limits as whole tons that add up to the total.
 
     shares: (by..., strata, share); limits: (by..., year_limit, abc), or
     {year: abc} when one set of limits holds for all rows. Parts are rounded
     half to even; the difference goes to `adjust_area`, or to the area with the
-    largest share when none is named.
+    largest share when none is named. The printed percent is rounded to each of
+    percent_digits in turn, so (3, 2) rounds twice.
     """
     keys = [*by, "year_limit"]
     if isinstance(limits, dict):
@@ -48,8 +50,10 @@ def rounded_parts(
             *[F.struct(F.lit(y).alias("year_limit"), F.lit(float(v)).alias("abc")) for y, v in limits.items()]
         )
         rows = shares.withColumn("_l", F.explode(pairs)).select(*shares.columns, "_l.year_limit", "_l.abc")
-    else:
+    elif by:
         rows = shares.join(limits, list(by))
+    else:
+        raise ValueError("a table of limits needs key columns to join on; give {year: abc} otherwise")
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("_part", round_even(F.col("share") * F.col("abc"), 0))
     rows = rows.withColumn("_diff", F.col("abc") - F.sum("_part").over(w))
@@ -59,10 +63,13 @@ def rounded_parts(
         rank = F.row_number().over(w.orderBy(F.col("share").desc_nulls_last(), F.col("strata")))
         rows = rows.withColumn("_rank", rank)
         chosen = F.col("_rank") == 1
+    percent = F.col("share") * 100
+    for digits in percent_digits:
+        percent = round_even(percent, digits)
     return rows.select(
         *keys,
         "strata",
         "abc",
-        round_even(F.col("share") * 100, 2).alias("percent"),
+        percent.alias("percent"),
         (F.col("_part") + F.when(chosen, F.col("_diff")).otherwise(F.lit(0.0))).alias("area_abc"),
     )

@@ -274,7 +274,11 @@ def multinomial_fit(df: DataFrame, by: list[str], delta: float = 1e-5) -> DataFr
     return df.groupBy(*by).agg(F.sum(term).alias("loglik"))
 
 
-def haul_counts(df: DataFrame, year: Column, haul: Column, by: dict[str, Column] | None = None) -> DataFrame:
-    """(by..., year, hauls): distinct hauls."""
+def haul_counts(
+    df: DataFrame, year: Column, haul: Column, by: dict[str, Column] | None = None, approx: bool = False
+) -> DataFrame:
+    """(by..., year, hauls): distinct hauls, exact unless approx is asked for."""
     keys = [c.alias(n) for n, c in (by or {}).items()]
-    return df.groupBy(*keys, year.alias("year")).agg(F.count_distinct(haul).alias("hauls"))
+    return df.groupBy(*keys, year.alias("year")).agg(
+        (F.approx_count_distinct(haul) if approx else F.count_distinct(haul)).alias("hauls")
+    )

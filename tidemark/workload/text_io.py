@@ -108,7 +108,7 @@ def _weekly_files(t: Tables) -> str:
         F.lit(1).alias("part"),
         (F.dayofyear("end") * 10 + F.substring("species", 1, 1).cast("int")).cast("double").alias("place"),
         F.concat(
-            F.lit('"Flathead, '), "species", F.lit('",'), F.date_format("end", "MM/dd/yyyy"), F.lit(","), F.col("c").cast("string")
+            F.lit('"Sole, '), "species", F.lit('",'), F.date_format("end", "MM/dd/yyyy"), F.lit(","), F.col("c").cast("string")
         ).alias("value"),
     )
     head = _fixed_lines(
@@ -120,11 +120,11 @@ def _weekly_files(t: Tables) -> str:
 
 @query(
     "src_multi_csv_preamble",
-    f"""SELECT 'Flathead, ' || o_orderpriority AS species, CAST(year(o_orderdate) AS INTEGER) AS year, {WEEK_SQL.format(d='o_orderdate')} AS week, round(sum(o_totalprice), 2) AS catch FROM orders GROUP BY ALL""",
+    f"""SELECT 'Sole, ' || o_orderpriority AS species, CAST(year(o_orderdate) AS INTEGER) AS year, {WEEK_SQL.format(d='o_orderdate')} AS week, round(sum(o_totalprice), 2) AS catch FROM orders GROUP BY ALL""",
 )
 def _(t):
     w = text.weekly_catch(t.spark, _weekly_files(t))
-    return w.where(F.col("species").rlike("Flathead")).select("species", "year", "week", "catch")
+    return w.where(F.col("species").rlike("^Sole")).select("species", "year", "week", "catch")
 
 
 @query(
