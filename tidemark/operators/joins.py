@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import scratch_dir
+from ..session import stored
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -21,9 +21,7 @@ def measured(df: DataFrame) -> DataFrame:
     otherwise. The estimate of an aggregate over large facts is always too
     high, and the facts would be shuffled before run-time statistics exist.
     """
-    path = scratch_dir(df.sparkSession, "measured")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, "measured")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Scratch folders of this process.
+_MADE: list[str] = []
 
 # Runtime re-planning does the size-checked work: it turns a join into a
 # broadcast only when the finished map stage is below the threshold, splits
@@ -46,23 +49,38 @@ def local_session(cpus: str | int = "*", memory: str = "16g") -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediates: spark.checkpoint.dir, else below the warehouse.
 
-    A local temporary folder is used only when no shared one is named and the
-    session runs in a single process.
+    Both are named by the session and seen by the driver and all executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return os.path.join(root, f"tidemark-{label}-{uuid.uuid4().hex}")
-
-
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives executor loss."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared root, deleted when the driver process ends."""
+    path = os.path.join(scratch_root(spark), f"tidemark-{label}-{uuid.uuid4().hex}")
+    if not _MADE:
+        atexit.register(_delete_made)
+    _MADE.append(path)
+    return path
+
+
+def _delete_made() -> None:
+    """Delete the folders handed out, while a session is still there to do it."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in _MADE:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to a fresh scratch folder and read it back: cuts lineage and
+    survives lost executors."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
