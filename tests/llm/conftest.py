@@ -3,7 +3,7 @@ import pytest
 ODD = [
     (1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\n", None, None), (4, "one", "en", None),
     (5, "one two", "en", "a"), (6, "one  two\t", "en", "a"), (7, None, None, "b"),
-    (8, "mail a.b@c-d.example.org, 10.0.0.256 10.1.2.3 +1 (555) 555-0100 4111 1111-1111 1111 é 4111111111111112.", "en", "a"),
+    (8, "mail a.b@c-d.example.org, 10.0.0.256 10.1.2.3 +1 (555) 555-0100; 4111 1111-1111 1111 é 4111111111111112.", "en", "a"),
     (9, "Dr. Ann Lee token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" 1.2.3.4.5.6.7.8 x@y x@y.z_q@r.s", "de", "a"),
     (10, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22 tail é", "fr", "c"),
     (11, "head w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22", "fr", "c"),
