@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -44,39 +48,87 @@ def in_batches(frames: Iterator[pa.RecordBatch], size: int = 1 << 22, text: str
             at = to
 
 
+# Printable ASCII and Latin-1 letters: composed, and lowered letter by letter.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+# The word-end vocabulary's split pattern (fixed value), and the same over _PLAIN once lowered.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies' letter for each byte: printable bytes stand for themselves,
+    the others take the code points from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class CachedTokenizer:
     """A tokenizer whose words are delimited by spaces and newlines, with a bounded word cache.
 
     It gives what encode() gives for the whole text: the vocabulary must drop
     white space and never join characters across it (as word-end vocabularies
     do). A word is encoded once while it stays in the cache, which is emptied
-    when it holds `limit` words.
+    when it holds `limit` words. Plain words of a lower-casing vocabulary with
+    the usual split go to the merge model at once, others through the library's
+    normaliser and splitter.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit, self.cache = limit, {"": b""}
+        self.limit, self.cache, self.parts = limit, {"": b""}, {}
+        form = json.loads(Path(path).read_text(encoding="utf-8"))
+        norm = form["normalizer"] or {}
+        split = (form["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.plain = (
+            [n["type"] for n in norm.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
+            and split[0].get("pattern") == {"Regex": _SPLIT}
+            and not any(_PLAIN.fullmatch(t["content"]) and "<|" not in t["content"] for t in form["added_tokens"])
+        )
+        self.letters, self.model = byte_letters(), self.tokenizer.model
+
+    def _plain_word(self, word: str) -> bytes:
+        out = []
+        for part in _PLAIN_SPLIT.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.cache)) if split else []
+        new = set().union(*split).difference(self.cache)
         if len(self.cache) + len(new) > self.limit:
-            self.cache = {"": b""}
-            new = list(set().union(*split).difference(self.cache))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+            self.cache, self.parts = {"": b""}, {}
+            new = set().union(*split)
+        hard = []
+        for w in new:
+            if self.plain and _PLAIN.fullmatch(w) and "<|" not in w:
+                self.cache[w] = self._plain_word(w)
+            else:
+                hard.append(w)
+        for at in range(0, len(hard), 10_000):
+            part = hard[at : at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
         get = self.cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
+@functools.lru_cache(maxsize=2)
+def cached_tokenizer(path: str) -> CachedTokenizer:
+    """One tokenizer, with its cache, for all tasks of a Python worker."""
+    return CachedTokenizer(path)
+
+
 def word_tokenizer_path() -> str:
     import public_tokenizers
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CachedTokenizer, in_batches
+from .common import cached_tokenizer, in_batches
 
 CAPACITY, OPEN_BINS = 4096, 1024
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
@@ -25,7 +25,7 @@ PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = CachedTokenizer(path), np.array([end_id], "<u4").tobytes()
+        tok, end = cached_tokenizer(path), np.array([end_id], "<u4").tobytes()
         for b in in_batches(batches):
             out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32", "ids")}
             for i, ids in zip(b.column("id").to_pylist(), tok.encode(b.column("text").to_pylist())):
