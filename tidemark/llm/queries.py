@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import common, exact, packing, pii, quality, simhash
+from . import common, exact, packing, pii, quality, simhash, wavelet, wordtable
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +14,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_wavelet_tokens(spark, folder):
+    return wavelet.round_trip(documents(spark, folder), common.word_tokenizer_path())
+
+
+def op3_word_table_bpe(spark, folder):
+    return wordtable.round_trip(documents(spark, folder), common.byte_tokenizer_path())
+
+
 def op2_robust_outliers(spark, folder):
     return quality.judge(documents(spark, folder))
 
@@ -34,7 +42,7 @@ def op9_anchor_simhash(spark, folder):
     return simhash.near_duplicates(documents(spark, folder))
 
 
-_ALL = [op2_robust_outliers, op4_best_fit_packing, op5_weak_supervision_pii, op7_minimal_perfect_hash_dedup, op9_anchor_simhash]
+_ALL = [op1_wavelet_tokens, op3_word_table_bpe, op2_robust_outliers, op4_best_fit_packing, op5_weak_supervision_pii, op7_minimal_perfect_hash_dedup, op9_anchor_simhash]
 LLM_QUERIES = {f.__name__: f for f in _ALL}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
