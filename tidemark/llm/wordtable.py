@@ -184,15 +184,15 @@ def _digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
-def _assemble(path: str, held, cache_limit: int = 300_000):
+def _assemble(path: str, held, cache_limit: int = 500_000):
     """Documents -> their digests where every word is in the head; else packed ids with holes, and the holes' words.
 
     A hole is the id 2**32 - 1; its words are listed in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, head = splitter(path), _cached_head(held)
-        memo: dict[str, tuple] = {}
+        cut = splitter(path)
+        head, memo = _cached_head(held)
 
         def learn(chunks: set[str]) -> None:
             split = {c: cut.words(c) for c in chunks}
@@ -237,15 +237,15 @@ def _assemble(path: str, held, cache_limit: int = 300_000):
     return run
 
 
-_HEADS: dict[str, Head] = {}
+_HEADS: dict[str, tuple[Head, dict]] = {}
 
 
-def _cached_head(held) -> Head:
-    """The head of a broadcast (key, blobs, pieces), unpacked once per Python worker."""
+def _cached_head(held) -> tuple[Head, dict]:
+    """The head of a broadcast (key, blobs, pieces) and a cache of chunks, kept for a Python worker's tasks."""
     key, blobs, piece_bytes = held.value
     if key not in _HEADS:
         _HEADS.clear()
-        _HEADS[key] = Head(blobs, piece_bytes)
+        _HEADS[key] = Head(blobs, piece_bytes), {}
     return _HEADS[key]
 
 
