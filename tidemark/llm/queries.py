@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import common, exact, packing, pii, quality, simhash, wavelet, wordtable
+from . import common, exact, lines, packing, phrases, pii, quality, simhash, substring, wavelet, wordtable
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +42,19 @@ def op9_anchor_simhash(spark, folder):
     return simhash.near_duplicates(documents(spark, folder))
 
 
-_ALL = [op1_wavelet_tokens, op3_word_table_bpe, op2_robust_outliers, op4_best_fit_packing, op5_weak_supervision_pii, op7_minimal_perfect_hash_dedup, op9_anchor_simhash]
+def op6_interval_substrings(spark, folder):
+    return substring.dedup(documents(spark, folder))
+
+
+def op8_phrase_automata(spark, folder):
+    return phrases.dedup(documents(spark, folder))
+
+
+def op10_segment_line_join(spark, folder):
+    return lines.dedup(documents(spark, folder))
+
+
+_ALL = [op1_wavelet_tokens, op3_word_table_bpe, op2_robust_outliers, op4_best_fit_packing, op5_weak_supervision_pii, op6_interval_substrings, op7_minimal_perfect_hash_dedup, op8_phrase_automata, op9_anchor_simhash, op10_segment_line_join]
 LLM_QUERIES = {f.__name__: f for f in _ALL}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
