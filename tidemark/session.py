@@ -82,5 +82,5 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to a fresh scratch folder and read it back: cuts lineage and
     survives lost executors."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
