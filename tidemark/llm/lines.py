@@ -140,7 +140,8 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     ends = near.select(F.col("b").alias("pos"), F.lit(1).alias("late")).union(near.select("a", F.lit(0)))
     per = ends.groupBy("pos").agg(F.count(F.lit(1)).alias("near"), F.max("late").alias("late"))
     digest = [F.xxhash64("line").alias("k"), F.md5("line").alias("m")]
-    first = lines.join(per, "pos", "left").select(*digest, F.col("pos").alias("first"), F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("late", F.lit(0)).alias("late"))
+    # Digests first: the join then moves no texts.
+    first = lines.select(*digest, "pos").join(per, "pos", "left").select("k", "m", F.col("pos").alias("first"), F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("late", F.lit(0)).alias("late"))
     rows = occ.select("id", "tie", "line_no", "pos", *digest).distinct()
     gone = (F.col("pos") != F.col("first")) | (F.col("late") == 1)
     found = rows.join(first, ["k", "m"]).groupBy("id", "tie").agg(
