@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import strict_sum
 from ..functions.rounding import round_away
-from .joins import measured
+from .joins import measured, null_safe_join
 
 
 def sum_by(df: DataFrame, by: list, value, out: str, strict: bool = False) -> DataFrame:
@@ -58,7 +58,8 @@ def _value_band(v: Column, resolution: int) -> Column:
     """Index of a narrow band of values; it never falls as v grows."""
     # ln of any positive double lies in (-746, 710), so the offset keeps bands positive.
     magnitude = F.floor(F.log(F.abs(v)) * resolution) + F.lit(1000 * resolution)
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, magnitude).otherwise(-magnitude)
+    finite = F.when(F.abs(v) == float("inf"), F.lit(2000 * resolution).cast("long")).otherwise(magnitude)
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, finite).otherwise(-finite)
 
 
 def _same(by: list[str]) -> Column:
@@ -76,7 +77,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     resolution: int = 256,
-    max_band_rows: int = 5_000_000,
+    cuts: int = 1,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of groups of any size.
 
@@ -85,9 +86,10 @@ def exact_quantiles(
     which shuffles only partial counts. The counts tell which bands hold the
     wanted ranks; rows of other bands are dropped before anything else is
     shuffled, equal values are counted, and the few left are ranked inside
-    their band. While a wanted band has more than max_band_rows rows it is cut
-    into 4096 finer ones in the same way. The answer does not depend on the
-    band settings.
+    their band. Each of `cuts` further rounds cuts the wanted bands into 4096
+    finer ones in the same way, at every size of table. The answer does not
+    depend on the band settings. Nulls and NaN are left out; a group with
+    nothing else has null quantiles.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
@@ -106,7 +108,7 @@ def exact_quantiles(
     def keep(bands: DataFrame) -> DataFrame:
         """Bands that hold a wanted rank: at most two per quantile and group."""
         keys = [F.col(b).alias(f"_k_{b}") for b in [*by, "_band"]]
-        return measured(bands.where(held).select(*keys, "_start", "_last", (F.col("_end") - F.col("_start")).alias("_size")))
+        return measured(bands.where(held).select(*keys, "_start", "_last"))
 
     running = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("_n"))
@@ -120,11 +122,8 @@ def exact_quantiles(
         )
     )
     match = _same([*by, "_band"])
-    # Three cuts reach the spacing of doubles; beyond it a band is one repeated value.
-    for _ in range(3):
-        largest = bands.agg(F.max("_size")).first()[0]
-        if largest is None or largest <= max_band_rows:
-            break
+    # Three cuts would reach the spacing of doubles; beyond it a band is one repeated value.
+    for _ in range(cuts):
         resolution *= 4096
         outer = bands.select(*[f"_k_{b}" for b in [*by, "_band"]], F.col("_start").alias("_base"), "_last")
         rows = rows.join(outer, match).select(
@@ -151,8 +150,10 @@ def exact_quantiles(
     found = hit.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("_r.id", F.struct("_v", "_r.frac")))).alias("_m")
     )
-    out = found
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    out = null_safe_join(groups, found, by, "left") if by else found
     for i, name in enumerate(probs):
         lo, hi = F.col("_m")[2 * i], F.col("_m")[2 * i + 1]
-        out = out.withColumn(name, lo["_v"] + lo["frac"] * (hi["_v"] - lo["_v"]))
+        between = lo["_v"] + lo["frac"] * (hi["_v"] - lo["_v"])
+        out = out.withColumn(name, F.when((lo["_v"] == hi["_v"]) | (lo["frac"] == 0), lo["_v"]).otherwise(between))
     return out.drop("_m")

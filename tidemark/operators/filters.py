@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import member
@@ -49,8 +51,10 @@ def drop_listed(df: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
 def groups_with_a_value(df: DataFrame, by: list[str], col: str, raw: bool = True) -> DataFrame:
     """Keep groups that hold at least one non-null value."""
     if raw:
-        keep = df.where(F.col(col).isNotNull()).select(*by).distinct()
-        return df.join(keep, by, "left_semi")
+        keep = df.where(F.col(col).isNotNull()).select(*[F.col(b).alias(f"_k_{b}") for b in by]).distinct()
+        # A missing key is a group like any other.
+        match = functools.reduce(lambda a, b: a & b, [df[b].eqNullSafe(keep[f"_k_{b}"]) for b in by])
+        return df.join(keep, match, "left_semi")
     return group_value(df, by, F.count(col), "_n", raw=False).where("_n > 0").drop("_n")
 
 

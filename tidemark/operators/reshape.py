@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # when the cell is unique.
 _COMBINE = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}
 
+from .joins import null_safe_join
+
 
 def pivot_wide(
     df: DataFrame,
@@ -124,7 +126,7 @@ def complete_grid(
                 grid = all_combinations(grid, df.select(name).where(F.col(name).isNotNull()).distinct())
             else:
                 grid = grid.withColumn(name, F.explode(_level_array(df, name, values)))
-        out = grid.join(df, [*by, *levels], "left")
+        out = null_safe_join(grid, df, [*by, *levels], "left")
     for col, value in (fill or {}).items():
         out = out.withColumn(col, F.coalesce(F.col(col), F.lit(value)))
     return out

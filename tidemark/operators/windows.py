@@ -10,6 +10,8 @@ window, one shuffle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import measured
@@ -74,8 +76,11 @@ def carry_forward_chunked(
     )
     before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     tails = tails.withColumns({f"_pre_{c}": F.last(f"_tail_{c}", ignorenulls=True).over(before) for c in cols})
-    tails = tails.select(*by, chunk, *[f"_pre_{c}" for c in cols])
-    out = filled.join(tails, [*by, chunk], "left")
+    keys = [*by, chunk]
+    tails = tails.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_pre_{c}" for c in cols])
+    # Missing keys match each other, as they do in a window.
+    match = functools.reduce(lambda a, b: a & b, [filled[k].eqNullSafe(tails[f"_k_{k}"]) for k in keys])
+    out = filled.join(tails, match, "left")
     return out.select(
         *[F.coalesce(F.col(f"_in_{c}"), F.col(f"_pre_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
     )

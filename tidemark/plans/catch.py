@@ -202,20 +202,22 @@ def weekly_by_zone(
     """Weekly reports summed by zone, the zone read off the species label.
 
     zones maps the label left after removing `strip` and blanks to an output
-    column. Eastern is every mapped zone that is neither central nor western.
+    column; several labels may share one. Eastern is every mapped zone that is neither central nor western.
     """
     zone = F.regexp_replace(F.regexp_replace("species", strip, ""), " ", "")
     rows = weekly.withColumn("_zone", zone)
     if year is not None:
         rows = rows.where(F.col("year") == year)
+    names = list(dict.fromkeys(zones.values()))
+    labels = {n: [k for k, v in zones.items() if v == n] for n in names}
     sums = rows.groupBy(*by, "year").agg(
-        *[F.sum(F.when(F.col("_zone") == label, F.col("catch"))).alias(name) for label, name in zones.items()]
+        *[F.sum(F.when(F.col("_zone").isin(labels[n]), F.col("catch"))).alias(n) for n in names]
     )
-    east = [n for n in zones.values() if n not in (central, western)]
+    east = [n for n in names if n not in (central, western)]
     return sums.select(
         *by,
         "year",
-        row_sum(*zones.values()).alias("total_catch"),
+        row_sum(*names).alias("total_catch"),
         F.col(western).alias("WG"),
         F.col(central).alias("CG"),
         row_sum(*east).alias("EG"),

@@ -28,12 +28,13 @@ def length_frequencies(
 ) -> DataFrame:
     """Frequencies by year, sex (1 female, 2 other) and bin; they sum to 1 over a year.
 
-    All bins are present for both sexes, 0 where nothing was seen.
+    All bins are present for both sexes, 0 where nothing was seen. Fish without
+    a length are in no bin and not in the year's total.
     """
     bins = bins or length_bins()
     by = by or {}
     keys = [*by, "year"]
-    counts = df.groupBy(
+    counts = df.where(length.isNotNull()).groupBy(
         *[c.alias(n) for n, c in by.items()],
         year.alias("year"),
         F.when(sex == "F", F.lit(FEMALE)).otherwise(F.lit(MALE)).alias("sex"),
@@ -49,12 +50,13 @@ def length_frequencies_wide_source(
 ) -> DataFrame:
     """The same from a table with one number column per sex and lengths in mm.
 
-    Unsexed numbers are left out. All bins are present for both sexes.
+    Unsexed numbers are left out, and rows without a length. All bins are
+    present for both sexes.
     """
     bins = bins or length_bins()
     step = bins[1] - bins[0]
     keys = [*by, "year"]
-    binned = df.select(
+    binned = df.where(F.col(length_mm).isNotNull()).select(
         *by,
         F.col(year).alias("year"),
         length_bin(F.col(length_mm) / 10.0, bins[0], bins[-1], step).alias("bin"),

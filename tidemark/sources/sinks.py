@@ -77,9 +77,11 @@ def replace_after_marker(
 
     `lines` has (n, value) with n the line number from 1; `new_rows` has
     (n, value) with its own order. The result is ordered by (part, n).
+    A file without the marker is an error.
     """
     at = lines.where(F.col("value").rlike(marker)).agg(F.min("n").alias("at"))
-    head = lines.withColumn("_at", at.scalar()).where(F.col("n") <= F.col("_at")).drop("_at")
+    absent = F.raise_error(F.lit(f"no line matches {marker}")).cast("int")
+    head = lines.withColumn("_at", F.coalesce(at.scalar(), absent)).where(F.col("n") <= F.col("_at")).drop("_at")
     bumped = F.when(
         F.col("n") == count_line, (F.col("value").try_cast("int") + count_step).cast("string")
     ).otherwise(F.col("value"))

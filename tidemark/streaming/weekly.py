@@ -17,10 +17,15 @@ def stream_files(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
     return reader.load(folder)
 
 
-def weekly_totals(df: DataFrame, ts: Column, zone: Column, catch: Column, late: str = "28 days") -> DataFrame:
-    """Catch by week and zone. On a stream, corrections up to `late` are merged in."""
+def weekly_totals(df: DataFrame, ts: Column, zone: Column, catch: Column, late: str | None = None) -> DataFrame:
+    """Catch by week and zone.
+
+    On a stream every correction is merged in, however late: the state is one
+    row per week and zone. `late` bounds that state, at the price of dropping
+    corrections older than it.
+    """
     rows = df.select(ts.cast("timestamp").alias("ts"), zone.alias("zone"), catch.alias("catch"))
-    if df.isStreaming:
+    if df.isStreaming and late is not None:
         rows = rows.withWatermark("ts", late)
     week = F.window("ts", "7 days", startTime=WEEK_START)
     out = rows.groupBy(week.alias("w"), "zone").agg(F.sum("catch").alias("catch"), F.count(F.lit(1)).alias("reports"))

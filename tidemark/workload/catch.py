@@ -131,20 +131,17 @@ def _(t):
     return catch.limits_with_catch(printed, model, extra)
 
 
-ZONE_LABELS = ["W Gulf", "C Gulf", "Gulf West Yakutat", "Gulf SE Outside", "C Gulf"]
-
-
 @query(
     "catch_weekly_by_zone",
-    f"""WITH w AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, {sql_pick(ZONE_LABELS, 'o_orderkey % 5')} AS z, sum(o_totalprice) AS c FROM orders GROUP BY ALL)
-        SELECT year, round(sum(c), 2) AS total_catch, round(sum(c) FILTER (z = 'W Gulf'), 2) AS WG, round(sum(c) FILTER (z = 'C Gulf'), 2) AS CG,
-               round(sum(c) FILTER (z IN ('Gulf West Yakutat', 'Gulf SE Outside')), 2) AS EG FROM w GROUP BY year""",
+    """WITH w AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS z, sum(o_totalprice) AS c FROM orders GROUP BY ALL)
+        SELECT year, round(sum(c), 2) AS total_catch, round(sum(c) FILTER (z = '1-URGENT'), 2) AS WG, round(sum(c) FILTER (z IN ('2-HIGH', '5-LOW')), 2) AS CG,
+               round(sum(c) FILTER (z IN ('3-MEDIUM', '4-NOT SPECIFIED')), 2) AS EG FROM w GROUP BY year""",
 )
 def _(t):
-    label = F.concat(pick(ZONE_LABELS, F.col("o_orderkey") % 5), F.lit(" Rock Sole"))
+    label = F.concat("o_orderpriority", F.lit(" orders"))
     w = catch.weekly_from_dates(t.orders, F.col("o_orderdate"), F.col("o_totalprice"), {"species": label})
-    zones = {"WGulf": "west", "CGulf": "central", "GulfWestYakutat": "yakutat", "GulfSEOutside": "southeast"}
-    out = catch.weekly_by_zone(w, None, " Rock Sole", zones, "central", "west")
+    zones = {"1-URGENT": "west", "2-HIGH": "central", "3-MEDIUM": "yakutat", "4-NOTSPECIFIED": "southeast", "5-LOW": "central"}
+    out = catch.weekly_by_zone(w, None, " orders", zones, "central", "west")
     return out.select("year", *[r(c, 2).alias(c) for c in ("total_catch", "WG", "CG", "EG")])
 
 
@@ -153,15 +150,15 @@ def _removals(t):
         F.year("l_shipdate").alias("year"),
         F.when(F.col("l_returnflag") == "A", "ADFG").otherwise("IPHC").alias("agency"),
         F.concat(F.lit("S"), (F.col("l_suppkey") % 6).cast("string")).alias("source"),
-        F.when(F.col("l_linestatus") == "F", "Gulf").otherwise("Sea").alias("area"),
+        F.col("l_linestatus").alias("area"),
         F.col("l_extendedprice").alias("kg"),
     )
 
 
 REMOVALS = """rem AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CASE WHEN l_returnflag = 'A' THEN 'ADFG' ELSE 'IPHC' END AS agency, 'S' || (l_suppkey % 6) AS source,
-          CASE WHEN l_linestatus = 'F' THEN 'Gulf' ELSE 'Sea' END AS area, l_extendedprice AS kg FROM lineitem),
+          l_linestatus AS area, l_extendedprice AS kg FROM lineitem),
         top AS (SELECT source FROM (SELECT source, avg(kg) AS m FROM rem WHERE agency = 'ADFG' GROUP BY 1) QUALIFY rank() OVER (ORDER BY m DESC) <= 3),
-        lab AS (SELECT year, agency, CASE WHEN agency = 'ADFG' AND source NOT IN (SELECT source FROM top) THEN 'Other' ELSE source END AS source, kg FROM rem WHERE area = 'Gulf')"""
+        lab AS (SELECT year, agency, CASE WHEN agency = 'ADFG' AND source NOT IN (SELECT source FROM top) THEN 'Other' ELSE source END AS source, kg FROM rem WHERE area = 'F')"""
 
 
 @query(
@@ -169,7 +166,7 @@ REMOVALS = """rem AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CASE WHE
     f"WITH {REMOVALS} SELECT year, agency, source, {sql_round_even('round(sum(kg), 6) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL",
 )
 def _(t):
-    return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "Gulf")
+    return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "F")
 
 
 @query(
@@ -179,7 +176,7 @@ def _(t):
 )
 def _(t):
     levels = [("IPHC", "S5"), ("ADFG", "Other"), ("IPHC", "S0")]
-    return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "Gulf", levels)
+    return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "F", levels)
 
 
 @query(

@@ -9,13 +9,13 @@ from ..operators.windows import rescale_min
 from .bindings import LANDINGS, SURVEY, WEEK_SQL, landings, r, sql_round_even, survey
 from .registry import query
 
-AREA_OF_ZONE = {"CG": "Central Gulf", "WG": "Western Gulf", "SE": "Eastern Gulf", "EY": "Eastern Gulf", "WY": "Eastern Gulf"}
+AREA_OF_ZONE = {"CG": "centre", "WG": "west", "SE": "east", "EY": "east", "WY": "east"}
 
 
 @query(
     "fn_case_recode",
-    f"""WITH {LANDINGS} SELECT CASE WHEN zone = 'CG' THEN 'Central Gulf' WHEN zone = 'WG' THEN 'Western Gulf'
-        WHEN zone IN ('SE','EY','WY') THEN 'Eastern Gulf' END AS area, CASE type WHEN 'D' THEN 'Discarded' ELSE type END AS fate,
+    f"""WITH {LANDINGS} SELECT CASE WHEN zone = 'CG' THEN 'centre' WHEN zone = 'WG' THEN 'west'
+        WHEN zone IN ('SE','EY','WY') THEN 'east' END AS area, CASE type WHEN 'D' THEN 'Discarded' ELSE type END AS fate,
         sum(tons) AS tons FROM landings GROUP BY ALL""",
 )
 def _(t):

@@ -164,8 +164,8 @@ def _(t):
 
 
 SETUP = [
-    "#_SETUP_FILE", "#_Number_of_years with specified catch", "3", "# Number of runs", "1", "1999 note before the marker",
-    "#\tCatch\tin\teach\tfuture\tyear",
+    "settings", "# how many", "3", "# how often", "1", "1999 note before the marker",
+    "#\there\tbegin\tthe\trows",
 ]
 
 
@@ -179,7 +179,7 @@ def _catch_files(t: Tables) -> str:
 @query("src_skip_lines", f"WITH {LANDINGS}, s AS (SELECT zone, year, sum(tons) AS catch FROM landings GROUP BY ALL) SELECT year, catch FROM s")
 def _(t):
     return text.rows_after_marker(
-        t.spark, f"{_catch_files(t)}/*", r"future\s+year", r"^\d{4}\s+\S+$", "year int, catch double"
+        t.spark, f"{_catch_files(t)}/*", r"begin\s+the", r"^\d{4}\s+\S+$", "year int, catch double"
     )
 
 
@@ -220,10 +220,10 @@ def _(t):
     s = survey(t).select(F.col("area").alias("file"), "year", r("biomass", 2).alias("b"))
     keys = s.select("file").distinct()
     body = s.select("file", F.lit(1).alias("part"), F.col("year").cast("double").alias("place"), F.concat_ws(" ", "year", F.col("b").cast("string")).alias("value"))
-    pre = _fixed_lines(keys, "file", 0, ["Preface 1 2", "Reader Age CV SD Expected age"])
-    post = _fixed_lines(keys, "file", 2, ["Estimated age-structure by data set", "2001 99999", "1999 5"])
+    pre = _fixed_lines(keys, "file", 0, ["Preface 1 2", "columns year value"])
+    post = _fixed_lines(keys, "file", 2, ["end of columns", "2001 99999", "1999 5"])
     path = _report_files(t, pre.unionByName(body).unionByName(post), "between")
-    lines = text.lines_between(t.spark, f"{path}/*", "^Reader Age CV", "^Estimated age-structure")
+    lines = text.lines_between(t.spark, f"{path}/*", "^columns year", "^end of columns")
     w = text.words("value")
     area = F.replace(F.regexp_extract("path", "file=([^/]*)/", 1), F.lit("%20"), F.lit(" "))
     return lines.select(
@@ -340,7 +340,7 @@ def _(t):
     lines = text.running_count(text.read_lines(t.spark, f"{_catch_files(t)}/file=WG"), F.lit(True), "n").select("n", "value")
     new = landings(t).where("zone = 'WG'").groupBy((F.col("year") + 1).cast("long").alias("n")).agg(F.sum("tons").alias("c"))
     new = new.select("n", F.concat_ws(" ", F.col("n").cast("string"), F.col("c").cast("string")).alias("value"))
-    out = sinks.replace_after_marker(lines, new, r"future\s+year", count_line=3)
+    out = sinks.replace_after_marker(lines, new, r"begin\s+the", count_line=3)
     path = sinks.ordered_text(out, scratch_dir(t.spark, "template"), ["part", "n"])
     back = text.running_count(text.read_lines(t.spark, path), F.lit(True), "n")
     kind = F.when(F.col("value").rlike(r"^\d{4} \d"), "row").when(F.col("n") == 3, "count")
