@@ -67,3 +67,20 @@ def test_within(spark):
     for t in (1, 2, 3):
         for r in df.select("a", "b", lines.within(F.col("a"), F.col("b"), t).alias("w")).collect():
             assert r.w == (edits(r.a, r.b) <= t), r
+
+
+def test_crowded_segments(spark):
+    """Many variants of one line: numbered templates, one-word changes, insertions at the cell ends."""
+    rng = random.Random(3)
+    base = "the quick brown fox jumps over the lazy dog and runs away from the river bank"
+    words = base.split(" ")
+    docs = [(i, f"order no {i % 60:04d} was shipped to the customer") for i in range(70)]
+    for i in range(70, 150):
+        k = rng.randrange(len(words))
+        docs.append((i, " ".join([*words[:k], rng.choice(["aa", "ab", "abc", "b" + words[k], words[k][1:], "é"]), *words[k + 1 :]])))
+    docs += [(150 + i, base[:i] + "x" + base[i:]) for i in range(len(base) + 1)]
+    docs += [(300 + i, base[:i] + base[i + 1 :]) for i in range(len(base))]
+    docs.append((400, base))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in lines.dedup(df).collect()}
+    assert got == brute(docs, 1, lines.MIN_CHARS)

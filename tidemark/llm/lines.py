@@ -3,19 +3,26 @@
 Distinct lines are cut into threshold + 1 segments. Two lines within the
 threshold share a segment at nearly the same place, so a line looks up its own
 substrings, at the starts that its length difference and the segment's number
-allow, in an index keyed by (length, segment number, segment). Candidate pairs
-are verified by a bit-parallel automaton over the band of 2 * threshold + 1
+allow, in an index keyed by (length, segment number, segment). Segments that
+many lines share are cut finer before anything is paired: the part that holds
+the edit is cut into cells, level by level, and lines meet when they agree outside one
+small cell (threshold 1; larger thresholds pair all lines of a segment).
+Candidate pairs are verified by a bit-parallel automaton over the band of 2 * threshold + 1
 diagonals, whose states are the bits of one integer per number of errors.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
 from .common import SPACES
 
 THRESHOLD, MIN_CHARS = 1, 10
+# Probes of one key that are paired at once, and how crowded keys are cut: cells per level, levels.
+CROWD, CELLS, LEVELS = 8, 16, 3
 _SHIFT = "4611686018427387904BD"
 
 
@@ -43,19 +50,22 @@ def _key(length: Column, i: int, part: Column) -> Column:
 
 
 def index_keys(line: Column, n: Column, threshold: int) -> Column:
+    """(key, seg): what a line is found under."""
     k = threshold + 1
-    return F.array(*[_key(n, i, F.substring(line, *_cuts(n, k, i))) for i in range(1, k + 1)])
+    one = lambda i: F.struct(_key(n, i, F.substring(line, *_cuts(n, k, i))).alias("key"), F.lit(i).alias("seg"))
+    return F.array(*[one(i) for i in range(1, k + 1)])
 
 
 def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys under which lines of this length or up to `threshold` shorter may be found."""
+    """(key, seg, less) under which lines of this length or `less` shorter may be found."""
     k, out = threshold + 1, []
     for less in range(threshold + 1):
         for i in range(1, k + 1):
             start, size = _cuts(n - less, k, i)
             for shift in range(-(i - 1), i):
                 if abs(shift - less) <= k - i:
-                    out.append(_key(n - less, i, F.substring(line, start + shift, size)))
+                    key = _key(n - less, i, F.substring(line, start + shift, size))
+                    out.append(F.struct(key.alias("key"), F.lit(i).alias("seg"), F.lit(less).alias("less")))
     return F.array_distinct(F.array(*out))
 
 
@@ -105,6 +115,57 @@ def _may_be_one_edit(a: Column, b: Column) -> Column:
     return out
 
 
+def _cells(line: Column, less: Column, start: Column, end: Column) -> Column:
+    """(key, start, end) of the cells of [start, end), a range of the shorter line, where a
+    key holds all characters outside its cell. An index row has `less` -1."""
+    wider = F.greatest(less, F.lit(0))
+    size = end - start
+    many = F.least(F.lit(CELLS), size)
+
+    def cell(i: Column) -> Column:
+        a = (start + F.floor(size * i / many)).cast("int")
+        b = (start + F.floor(size * (i + 1) / many)).cast("int")
+        rest = F.substring(line, b + wider + 1, F.char_length(line))
+        key = F.xxhash64(F.char_length(line) - wider, a, b, F.left(line, a), rest)
+        return F.struct(key.alias("key"), a.alias("start"), b.alias("end"))
+
+    return F.transform(F.sequence(F.lit(0), many - 1), cell)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(pos, less, key) -> pairs of an index row and a probe of one key."""
+    index = rows.where("less < 0").select("key", "pos")
+    probe = rows.where("less >= 0").select("key", F.col("pos").alias("by"))
+    met = index.join(probe, "key").where(F.col("pos") != F.col("by"))
+    return met.select(F.least("pos", "by").alias("a"), F.greatest("pos", "by").alias("b"))
+
+
+def _crowded_pairs(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of crowded segments (threshold 1): (pos, less, seg) rows are cut into finer
+    cells, level by level, until few lines share one or the cell is one character.
+
+    Distinct lines that agree outside one character are at most as many as there
+    are characters, so the last level pairs what is left.
+    """
+    texts = stored(lines.join(rows.select("pos").distinct(), "pos", "left_semi").select("pos", "line"), "crowded-texts")
+    n = F.char_length("line") - F.greatest(F.col("less"), F.lit(0))
+    half = F.floor(n / 2).cast("int")
+    # The edit lies in the half that is not shared.
+    cell = [F.when(F.col("seg") == 1, half).otherwise(0).alias("start"), F.when(F.col("seg") == 1, n).otherwise(half).alias("end")]
+    rows, out = rows.join(texts, "pos").select("pos", "less", *cell), []
+    for level in range(LEVELS):
+        cut = F.inline(_cells(F.col("line"), F.col("less"), F.col("start"), F.col("end")))
+        fine = stored(rows.join(texts, "pos").select("pos", "less", cut), "cells")
+        met = fine.groupBy("key").agg(
+            F.count_if(F.col("less") >= 0).alias("probes"), F.count_if(F.col("less") < 0).alias("found"), F.max(F.col("end") - F.col("start")).alias("size")
+        )
+        met = stored(met.where("found > 0 and probes > 1").select("key", ((F.col("probes") > CROWD) & (F.col("size") > 1)).alias("more")), "met")
+        last = level == LEVELS - 1
+        out.append(_pairs(fine.join(met if last else met.where("not more"), "key", "left_semi")))
+        rows = fine.join(met.where("more"), "key", "left_semi").select("pos", "less", "start", "end")
+    return functools.reduce(DataFrame.union, out)
+
+
 def links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(pos, line) of distinct lines -> pairs (a, b) with a < b whose edit distance is at most `threshold`.
 
@@ -112,10 +173,16 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
     """
     n = F.char_length("line")
     fit = lines.where(n >= max(min_chars, threshold + 1))
-    index = fit.select("pos", F.explode(index_keys(F.col("line"), n, threshold)).alias("key"))
-    probe = fit.select(F.col("pos").alias("by"), F.explode(probe_keys(F.col("line"), n, threshold)).alias("key"))
-    met = index.join(probe, "key").where(F.col("pos") != F.col("by"))
-    pairs = stored(met.select(F.least("pos", "by").alias("a"), F.greatest("pos", "by").alias("b")).distinct(), "pairs")
+    index = fit.select("pos", F.inline(index_keys(F.col("line"), n, threshold))).withColumn("less", F.lit(-1))
+    probe = fit.select("pos", F.inline(probe_keys(F.col("line"), n, threshold)))
+    # A line probes its own keys too, so a key with one probe joins nothing.
+    shared = stored(probe.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    rows = stored(index.unionByName(probe).join(shared, "key").select("pos", "less", "seg", "key", "n"), "keys")
+    if threshold == 1:
+        met = _pairs(rows.where(F.col("n") <= CROWD)).union(_crowded_pairs(fit, rows.where(F.col("n") > CROWD)))
+    else:
+        met = _pairs(rows)
+    pairs = stored(met.distinct(), "pairs")
     need = pairs.select(F.col("a").alias("pos")).union(pairs.select("b")).distinct()
     texts = stored(fit.join(need, "pos", "left_semi").select("pos", "line"), "texts")
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
