@@ -23,6 +23,8 @@ from .common import SPACES
 THRESHOLD, MIN_CHARS = 1, 10
 # Probes of one key that are paired at once, and how crowded keys are cut: cells per level, levels.
 CROWD, CELLS, LEVELS = 8, 16, 3
+# Bits of the filter of wanted lines: 16 MB.
+FILTER_BITS = 1 << 27
 _SHIFT = "4611686018427387904BD"
 
 
@@ -140,6 +142,23 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("pos", "by").alias("a"), F.greatest("pos", "by").alias("b"))
 
 
+def _texts(lines: DataFrame, need: DataFrame) -> DataFrame:
+    """(pos, line) of the wanted lines.
+
+    A bitmap of the wanted places, never above FILTER_BITS / 8 bytes and so
+    broadcast, drops most other lines before their texts are shuffled; where it
+    is full, more texts move and the join decides all the same.
+    """
+    need = stored(need.distinct(), "need")
+    bit = F.pmod(F.xxhash64("pos"), F.lit(FILTER_BITS))
+    maps = need.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    at = (F.col("bit") % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    some = lines.select("pos", "line", bit.alias("bit")).withColumn("part", F.shiftright("bit", 15)).join(F.broadcast(maps), "part")
+    some = some.where(F.call_function("shiftright", byte, at % 8) % 2 == 1).select("pos", "line")
+    return some.join(need, "pos", "left_semi")
+
+
 def _crowded_pairs(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs of crowded segments (threshold 1): (pos, less, seg) rows are cut into finer
     cells, level by level, until few lines share one or the cell is one character.
@@ -147,7 +166,7 @@ def _crowded_pairs(lines: DataFrame, rows: DataFrame) -> DataFrame:
     Distinct lines that agree outside one character are at most as many as there
     are characters, so the last level pairs what is left.
     """
-    texts = stored(lines.join(rows.select("pos").distinct(), "pos", "left_semi").select("pos", "line"), "crowded-texts")
+    texts = stored(_texts(lines, rows.select("pos")), "crowded-texts")
     n = F.char_length("line") - F.greatest(F.col("less"), F.lit(0))
     half = F.floor(n / 2).cast("int")
     # The edit lies in the half that is not shared.
@@ -183,8 +202,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
     else:
         met = _pairs(rows)
     pairs = stored(met.distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("pos")).union(pairs.select("b")).distinct()
-    texts = stored(fit.join(need, "pos", "left_semi").select("pos", "line"), "texts")
+    texts = stored(_texts(fit, pairs.select(F.col("a").alias("pos")).union(pairs.select("b"))), "texts")
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     if threshold == 1:
         both = both.where(_may_be_one_edit(F.col("x"), F.col("y")))
