@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import count_identical
 from ..operators.filters import drop_known, require_values
-from ..operators.reshape import pivot_wide, unpivot_pairs
 
 # Code for "not read by this reader" (fixed value).
 NO_READ = -999
@@ -20,21 +19,19 @@ def usable_reads(df: DataFrame, bad_ids=()) -> DataFrame:
 def reads_by_reader(df: DataFrame, readers: list[str], bad_ids=(), min_count: int = 2, pooled: bool = False) -> DataFrame:
     """Identical read patterns with their counts.
 
-    df: (fish_id, read_age, test_age, reader_name, tester_name). One column per
-    reader holds the age, NO_READ where it did not read; pooled=True uses the
+    df, one row per fish: (fish_id, read_age, test_age, reader_name, tester_name). One column per
+    reader holds the age, NO_READ where it did not read and the higher age where
+    both reads of a fish are by one reader; pooled=True uses the
     two read positions instead. min_count=2 leaves out patterns seen once.
     """
-    long = unpivot_pairs(
-        usable_reads(df, bad_ids),
-        ["fish_id"],
-        {
-            "reader1": {"age": "read_age", "name": "reader_name"},
-            "reader2": {"age": "test_age", "name": "tester_name"},
-        },
-        "reader",
-    )
-    levels = ["reader1", "reader2"] if pooled else readers
-    wide = pivot_wide(long, ["fish_id"], "reader" if pooled else "name", "age", levels, fill=None if pooled else NO_READ)
+    reads = usable_reads(df, bad_ids)
+    if pooled:
+        levels = ["reader1", "reader2"]
+        wide = reads.select(F.col("read_age").alias("reader1"), F.col("test_age").alias("reader2"))
+    else:
+        levels = readers
+        age = lambda r: F.greatest(F.when(F.col("reader_name") == r, F.col("read_age")), F.when(F.col("tester_name") == r, F.col("test_age")))
+        wide = reads.select(*[F.coalesce(age(r), F.lit(NO_READ)).alias(r) for r in readers])
     return count_identical(wide, levels, min_count)
 
 

@@ -36,7 +36,7 @@ def rounded_parts(
     shares: DataFrame, limits: DataFrame | dict[int, float], by: list[str] = (), adjust_area: str | None = None,
     percent_digits: tuple[int, ...] = (2,),
 ) -> DataFrame:
-    """Area limits as whole tons that add up to the total.
+    """Area limits as whole tons that add up to the total, itself rounded to whole tons.
 
     shares: (by..., strata, share); limits: (by..., year_limit, abc), or
     {year: abc} when one set of limits holds for all rows. Parts are rounded
@@ -56,7 +56,7 @@ def rounded_parts(
         raise ValueError("a table of limits needs key columns to join on; give {year: abc} otherwise")
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("_part", round_even(F.col("share") * F.col("abc"), 0))
-    rows = rows.withColumn("_diff", F.col("abc") - F.sum("_part").over(w))
+    rows = rows.withColumn("_diff", round_even(F.col("abc"), 0) - F.sum("_part").over(w))
     if adjust_area is not None:
         chosen: Column = F.col("strata") == adjust_area
     else:

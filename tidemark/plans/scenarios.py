@@ -86,7 +86,8 @@ def reference_table(
 
     def shown(col: str) -> Column:
         scaled = F.col(col) * F.col("unit")
-        return F.when(F.col("digits") == 0, round_even(scaled, 0)).otherwise(round_even(scaled, 2))
+        rounded = [F.when(F.col("digits") == d, round_even(scaled, d)) for d in sorted({i[3] for i in items})]
+        return F.coalesce(*rounded)
 
     return keyed.select(*by, "ord", "label", "metric", shown(f"y{first}").alias(f"y{first}"), shown(f"y{second}").alias(f"y{second}"))
 

@@ -106,12 +106,12 @@ def _limits(t):
 
 @query(
     "catch_retention_table",
-    f"""WITH {LANDINGS}, {LIMITS}, d AS (SELECT year, sum(tons) AS disc FROM landings WHERE type = 'D' AND zone = 'WG' GROUP BY 1),
+    f"""WITH {LANDINGS}, {LIMITS}, d AS (SELECT year, sum(tons) AS disc FROM landings WHERE type = 'D' GROUP BY 1),
         w AS (SELECT year, max(value) FILTER (kind = 'OFL') AS OFL, max(value) FILTER (kind = 'ABC') AS ABC, max(value) FILTER (kind = 'TAC') AS TAC, max(value) FILTER (kind = 'Catch') AS c FROM limits GROUP BY 1)
         SELECT year, OFL, ABC, TAC, round_even(c, 0) AS total_catch, 100.0::DOUBLE * {sql_round_even('1 - disc / c', 2)} AS percent_retained FROM d JOIN w USING (year)""",
 )
 def _(t):
-    d = landings(t).where("type = 'D' and zone = 'WG'").groupBy("year").agg(F.sum("tons").alias("discarded"))
+    d = landings(t).where("type = 'D'").groupBy("year").agg(F.sum("tons").alias("discarded"))
     return catch.retention_table(d, _limits(t))
 
 

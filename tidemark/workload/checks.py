@@ -25,18 +25,24 @@ def _(t):
 
 @query(
     "dq_keys_align",
-    """WITH a AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), b AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem WHERE year(l_shipdate) < 2001)
+    """WITH a AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), b AS (SELECT DISTINCT year(l_shipdate) + 2 AS y FROM lineitem)
        SELECT count(*) FILTER (a.y IS NOT NULL AND b.y IS NOT NULL) AS both, count(*) FILTER (b.y IS NULL) AS only_left, count(*) FILTER (a.y IS NULL) AS only_right FROM a FULL JOIN b ON a.y = b.y""",
 )
 def _(t):
     a = t.orders.select(F.year("o_orderdate").alias("year"))
-    b = t.lineitem.select(F.year("l_shipdate").alias("year")).where("year < 2001")
+    b = t.lineitem.select((F.year("l_shipdate") + 2).alias("year"))
     return quality.keys_align(a, b, ["year"])
 
 
-@query("dq_nonempty_query", "SELECT count(*) AS rows, count(*) > 0 AS ok FROM lineitem WHERE l_quantity > 49")
+@query(
+    "dq_nonempty_query",
+    """SELECT 'all' AS source, count(*) AS rows, count(*) > 0 AS ok FROM lineitem
+       UNION ALL SELECT 'negative', count(*), count(*) > 0 FROM lineitem WHERE l_quantity < 0""",
+)
 def _(t):
-    return quality.nonempty(t.lineitem.where("l_quantity > 49"))
+    named = {"all": t.lineitem, "negative": t.lineitem.where("l_quantity < 0")}
+    one, other = (quality.nonempty(d).select(F.lit(n).alias("source"), "rows", "ok") for n, d in named.items())
+    return one.union(other)
 
 
 @query("dq_sums_to_one", f"WITH {SURVEY} SELECT year, 1.0::DOUBLE AS total, true AS ok FROM survey GROUP BY year")
