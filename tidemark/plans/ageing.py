@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.aggregates import count_identical
 from ..operators.filters import drop_known, require_values
+from ..operators.reshape import pivot_wide
 
 # Code for "not read by this reader" (fixed value).
 NO_READ = -999
@@ -50,6 +51,22 @@ def read_offsets(df: DataFrame, bad_ids=()) -> DataFrame:
     )
 
 
+def reads_and_tests(df: DataFrame, bad_ids=()) -> DataFrame:
+    """Per person: usable fish read as reader and as tester."""
+    parts = F.array(
+        F.struct(F.col("reader_name").alias("name"), F.lit(1).alias("read")),
+        F.struct(F.col("tester_name").alias("name"), F.lit(0).alias("read")),
+    )
+    each = usable_reads(df, bad_ids).select(F.inline(parts))
+    return each.groupBy("name").agg(F.sum("read").alias("reads"), F.sum(1 - F.col("read")).alias("tests"))
+
+
+def reader_tester_crosstab(df: DataFrame, people: list[str], bad_ids=()) -> DataFrame:
+    """Usable fish per reader (rows) and tester (columns), zero where they never met."""
+    one = usable_reads(df, bad_ids).select("reader_name", "tester_name", F.lit(1).alias("n"))
+    return pivot_wide(one, ["reader_name"], "tester_name", "n", people, combine="sum", fill=0)
+
+
 def cells_read(wide: DataFrame, readers: list[str]) -> DataFrame:
     """Number of cells that hold a read."""
     out = wide.agg(*[F.count_if(F.col(f"`{r}`") != NO_READ).alias(r) for r in readers])

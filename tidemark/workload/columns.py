@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls
 from ..operators import columns as cols, filters as flt
-from .bindings import FISH, LANDINGS, YEARS, fish, landings
+from .bindings import FISH, GEARS, LANDINGS, YEARS, fish, landings
 from .registry import query
 
 
@@ -77,14 +77,16 @@ def _(t):
 
 @query(
     "proj_add_missing_cols",
-    f"""WITH {LANDINGS} SELECT year, sum(CASE WHEN gear = 'NPT' THEN tons END) AS NPT,
-        sum(CASE WHEN gear = 'POT' THEN tons END) AS POT, 0.0::DOUBLE AS DIV FROM landings GROUP BY year""",
+    f"WITH {LANDINGS} SELECT year, "
+    + ", ".join(f"sum(CASE WHEN gear = '{g}' THEN tons END) AS {g}" for g in sorted(set(GEARS)))
+    + ", 0.0::DOUBLE AS DIV FROM landings GROUP BY year",
 )
 def _(t):
     from ..operators.reshape import pivot_wide
 
-    wide = pivot_wide(landings(t), ["year"], "gear", "tons", ["POT", "NPT"], combine="sum")
-    return cols.with_expected_columns(wide, ["NPT", "POT", "DIV"], ["year"])
+    gears = sorted(set(GEARS))
+    wide = pivot_wide(landings(t), ["year"], "gear", "tons", gears, combine="sum")
+    return cols.with_expected_columns(wide, [*gears, "DIV"], ["year"])
 
 
 @query(

@@ -9,6 +9,7 @@ from ..functions.rounding import round_away
 from ..operators import aggregates as agg, joins, reshape, windows as win
 from ..plans import scenarios
 from .bindings import (
+    GEARS,
     AREAS,
     LANDINGS,
     PRIORITIES,
@@ -143,13 +144,11 @@ def _(t):
               sum(l_quantity) AS tons FROM lineitem GROUP BY 1""",
 )
 def _(t):
-    rows = t.lineitem.select(
-        "l_suppkey", "l_quantity", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source")
-    )
-    means = rows.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"))
-    top = win.top_with_ties(means.withColumn("g", F.lit(1)), ["g"], "q", 3)
-    # Lines are summed per source first, so relabelling handles few rows.
-    sums = rows.groupBy("l_suppkey", "source").agg(F.sum("l_quantity").alias("q"))
+    # One summary per supplier gives both the means and the totals to relabel.
+    name = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source")
+    per = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.avg("l_quantity").alias("mean"))
+    top = win.top_with_ties(per.select("l_suppkey", "mean", F.lit(1).alias("g")), ["g"], "mean", 3)
+    sums = per.select("l_suppkey", name, "q")
     named = joins.relabel_unlisted(sums, top, ["l_suppkey"], "source", "Other")
     return named.groupBy("source").agg(F.sum("q").alias("tons"))
 
@@ -295,14 +294,15 @@ def _(t):
 
 @query(
     "agg_row_sums",
-    f"""WITH {LANDINGS} SELECT year, zone, coalesce(sum(CASE WHEN gear IN ('NPT', 'POT', 'HAL') THEN tons END), 0.0) AS nsamp
+    f"""WITH {LANDINGS} SELECT year, zone, coalesce(sum(tons), 0.0) AS nsamp
         FROM landings GROUP BY ALL""",
 )
 def _(t):
     from ..functions.nulls import row_sum
 
-    wide = reshape.pivot_wide(landings(t), ["year", "zone"], "gear", "tons", ["NPT", "POT", "HAL"], combine="sum")
-    return wide.select("year", "zone", row_sum("NPT", "POT", "HAL", skip_null=True).alias("nsamp"))
+    gears = sorted(set(GEARS))
+    wide = reshape.pivot_wide(landings(t), ["year", "zone"], "gear", "tons", gears, combine="sum")
+    return wide.select("year", "zone", row_sum(*gears, skip_null=True).alias("nsamp"))
 
 
 @query(
@@ -501,8 +501,7 @@ def _(t):
     + " FROM s GROUP BY year",
 )
 def _(t):
-    s = landings(t).groupBy("year", "zone").agg(F.sum("tons").alias("tons"))
-    return s.groupBy("year").pivot("zone", ZONES).agg(F.first("tons"))
+    return reshape.pivot_wide(landings(t), ["year"], "zone", "tons", ZONES, combine="sum")
 
 
 @query(

@@ -334,6 +334,25 @@ def _(t):
     return ageing.reads_by_reader(_reads(t), [], bad_ids=[55], pooled=True)
 
 
+@query(
+    "age_reads_and_tests",
+    f"""WITH {READS} SELECT name, CAST(sum(r) AS BIGINT) AS reads, CAST(sum(1 - r) AS BIGINT) AS tests
+        FROM (SELECT reader_name AS name, 1 AS r FROM reads UNION ALL SELECT tester_name, 0 FROM reads) GROUP BY 1""",
+)
+def _(t):
+    return ageing.reads_and_tests(_reads(t), [55])
+
+
+@query(
+    "age_reader_crosstab",
+    f"WITH {READS} SELECT reader_name, "
+    + ", ".join(f"count(*) FILTER (tester_name = '{p}') AS \"{p}\"" for p in PRIORITIES)
+    + " FROM reads GROUP BY 1",
+)
+def _(t):
+    return ageing.reader_tester_crosstab(_reads(t), PRIORITIES, [55])
+
+
 @query(
     "age_reads_agreement",
     f"""WITH {READS} SELECT reader_name, count(*) AS reads, round(avg(read_age - test_age), 6) AS mean_offset, round(stddev_samp(read_age - test_age), 6) AS sd_offset,
