@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import reference_rules as R
 
@@ -79,7 +80,10 @@ def test_sliding_argmin():
         assert anchors.sliding_argmin(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(len(h) - w + 1)]
 
 
-def test_positions_sort():
-    ids, tie, at = np.array([-(2**62), -5, 0, 2**62]), np.array([7, 2**31 - 1, 0, 1]), np.array([0, 2**31 - 1, 3, 9])
+def test_positions_sort(spark):
+    ids, tie, at = np.array([-(2**62), -5, 0, 2**62, 2**62]), np.array([7, 2**31 - 1, 0, 1, 2**31 - 1]), np.array([0, 2**31 - 1, 3, 9, 2**31 - 1])
     got = [int(x) for x in anchors.position(ids, tie, at).to_pylist()]
     assert got == [int(i) * 2**62 + int(t) * 2**31 + int(a) for i, t, a in zip(ids, tie, at)]
+    df = spark.createDataFrame(pa.table({"pos": anchors.position(ids, tie, at)}))
+    back = df.select(*[v.alias(k) for k, v in anchors.placed(df["pos"]).items()]).collect()
+    assert [tuple(r) for r in back] == list(zip(ids.tolist(), tie.tolist(), at.tolist()))

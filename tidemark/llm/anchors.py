@@ -3,12 +3,13 @@ substring and phrase operators.
 
 A window of L units is anchored at the least-hashed gram of k units that lies
 in it (the leftmost of equal ones), so equal windows have equal anchors at equal
-places. All windows with one anchor make a segment. Segments whose anchor gram
-is rare in the corpus cannot repeat and are left out; equal segments are
-aggregated to their first occurrence before they meet; different segments of
-one anchor are handed, in bounded batches of whole anchors, to the operator's
-own method, which finds equal windows exactly. Anchors never depend on how the
-table is cut.
+places. All windows with one anchor make a segment; no two of them are equal.
+Segments whose anchor gram occurs once in the corpus cannot repeat and are left
+out. The others travel as 128-bit digests: equal segments are aggregated to
+their first occurrence, the rest of them repeat as a whole. Only where segments
+of one anchor differ are their first occurrences cut from the texts and handed,
+in bounded batches of whole anchors, to the operator's own method, which finds
+equal windows exactly. Anchors never depend on how the table is cut.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
 from .common import buffered_groups, in_batches
@@ -30,11 +31,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Units:
-    """What the units are: `grams` gives one hash per k-gram start and the number of
-    units; `content` gives the bytes of units [a, b)."""
+    """What the units are: `parse` gives the units of a text, `grams` one hash per
+    k-gram start beside them; `content` gives the bytes of units [a, b)."""
 
     window: int
     gram: int
+    parse: Callable[[str], object]
     grams: Callable[[str], tuple[np.ndarray, object]]
     content: Callable[[object, int, int], bytes]
 
@@ -93,14 +95,16 @@ def position(ids: np.ndarray, tie: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(38, 0), len(ids), [None, pa.py_buffer(both.tobytes())])
 
 
-OCC = "h long, content binary, lead int, starts int, id long, tie int, at int, pos decimal(38,0)"
+OCC = "h long, d binary, starts int, id long, tie int, at int, pos decimal(38,0)"
 
 
 def _occurrences(units: Units, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         bits = np.frombuffer(held.value, np.uint8)
         for b in in_batches(batches):
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for i, tie, t in zip(b.column("id").to_pylist(), b.column("tie").to_pylist(), b.column("text").to_pylist()):
                 s = segments(units, t)
                 if not s:
@@ -111,18 +115,50 @@ def _occurrences(units: Units, held):
                 if not len(some):
                     continue
                 lo, hi = lo[some], hi[some]
-                n = len(some)
-                values = (h[some].view(np.int64), None, at[some] - lo, hi - lo + 1, np.full(n, i), np.full(n, tie), lo)
-                for c, v in zip(cols, values):
-                    if v is not None:
-                        c.append(v)
-                cols[1] += [units.content(parsed, x, y + units.window) for x, y in zip(lo.tolist(), hi.tolist())]
+                n, lead = len(some), (at[some] - lo).tolist()
+                # The place of the anchor belongs to a segment; its length follows from the content.
+                cols[1] += [
+                    xxhash.xxh3_128_digest(units.content(parsed, x, y + units.window), seed=k)
+                    for x, y, k in zip(lo.tolist(), hi.tolist(), lead)
+                ]
+                for c, v in zip([cols[0], *cols[2:]], (h[some].view(np.int64), hi - lo + 1, np.full(n, i), np.full(n, tie), lo)):
+                    c.append(v)
             if not cols[0]:
                 continue
             flat = [c if k == 1 else np.concatenate(c) for k, c in enumerate(cols)]
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             arrays = [pa.array(v, k) for v, k in zip(flat, kinds)]
-            yield pa.RecordBatch.from_arrays([*arrays, position(flat[4], flat[5], flat[6])], names=[c.split()[0] for c in OCC.split(", ")])
+            yield pa.RecordBatch.from_arrays([*arrays, position(*flat[3:])], names=[c.split()[0] for c in OCC.split(", ")])
+
+    return run
+
+
+def placed(pos: Column) -> dict[str, Column]:
+    """The id, tie and place that `position` holds."""
+    rest = F.pmod(pos, F.lit(2**62).cast("decimal(19,0)"))
+    low = rest.cast("long")
+    # Without the rest the division has no fraction to round.
+    whole = (pos - rest) / F.lit(2**62).cast("decimal(19,0)")
+    return {"id": F.floor(whole).cast("long"), "tie": F.shiftright(low, 31).cast("int"), "at": low.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")}
+
+
+CUT = "h long, content binary, starts int, id long, tie int, at int"
+
+
+def _cut(units: Units):
+    """Texts and the places wanted of them -> the content of these segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_batches(batches, 1 << 20):
+            cols: list[list] = [[] for _ in range(6)]
+            for i, tie, t, places in zip(*(b.column(c).to_pylist() for c in ("id", "tie", "text", "places"))):
+                parsed = units.parse(t)
+                for p in places:
+                    content = units.content(parsed, p["at"], p["at"] + p["starts"] - 1 + units.window)
+                    for c, v in zip(cols, (p["h"], content, p["starts"], i, tie, p["at"])):
+                        c.append(v)
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=[c.split()[0] for c in CUT.split(", ")])
 
     return run
 
@@ -177,18 +213,17 @@ def covered(docs: DataFrame, units: Units, method: Callable, filter_bits: int =
     held = spark.sparkContext.broadcast(bytes(packed))
     occ = docs.select("id", "tie", "text").mapInArrow(_occurrences(units, held), OCC)
     occ = stored(occ, "segments")
-    key = F.xxhash64("content", "lead", "starts").alias("k")
-    first = occ.groupBy("h", "content", "lead", "starts").agg(F.min("pos").alias("pos"))
-    first = stored(first.select("h", "content", "lead", "starts", "pos", key), "first")
-    place = first.select(
-        "h", "content", "lead", "starts",
-        F.expr("cast(floor(pos / 4611686018427387904BD) as bigint)").alias("id"),
-        F.expr("cast(pmod(pos, 4611686018427387904BD) as bigint)").alias("_rest"),
-    ).withColumns({"tie": F.shiftright("_rest", 31).cast("int"), "at": F.col("_rest").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")}).drop("_rest")
-    dealt = place.repartition("h").sortWithinPartitions("h")
+    first = stored(occ.groupBy("h", "d", "starts").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")), "first")
+    differ = first.groupBy("h").count().where("count > 1").select("h")
+    place = placed(F.col("pos"))
+    need = first.join(differ, "h", "left_semi").select("h", "starts", *[v.alias(k) for k, v in place.items()])
+    need = need.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", "starts")).alias("places"))
+    cut = docs.select("id", "tie", "text").join(need, ["id", "tie"]).mapInArrow(_cut(units), CUT)
+    dealt = cut.repartition("h").sortWithinPartitions("h")
     fresh = dealt.mapInPandas(_resolve(method, units.window, batch), "id long, tie int, start int, end int")
-    again = occ.select("h", key, "id", "tie", "at", "starts", "pos").join(first.select("h", "k", F.col("pos").alias("_first")), ["h", "k"])
-    again = again.where(F.col("pos") != F.col("_first")).select("id", "tie", F.col("at").alias("start"), (F.col("at") + F.col("starts") - 1 + units.window).alias("end"))
+    lead = first.where("n > 1").select("d", *[v.alias(f"_{k}") for k, v in place.items()])
+    again = occ.select("d", "id", "tie", "at", "starts").join(lead, "d").where("id != _id or tie != _tie or at != _at")
+    again = again.select("id", "tie", F.col("at").alias("start"), (F.col("at") + F.col("starts") - 1 + units.window).alias("end"))
     return fresh.union(again).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 

@@ -54,7 +54,7 @@ def _grams(k: int):
 
 
 def units(window: int = WINDOW, gram: int = GRAM) -> anchors.Units:
-    return anchors.Units(window, gram, _grams(gram), lambda words, a, b: " ".join(words[a:b]).encode())
+    return anchors.Units(window, gram, split, _grams(gram), lambda words, a, b: " ".join(words[a:b]).encode())
 
 
 def automaton(phrases: list[str]):

@@ -54,7 +54,7 @@ def _grams(k: int):
 
 
 def units(window: int = MIN_BYTES, gram: int = GRAM) -> anchors.Units:
-    return anchors.Units(window, gram, _grams(gram), lambda raw, a, b: raw[a:b])
+    return anchors.Units(window, gram, str.encode, _grams(gram), lambda raw, a, b: raw[a:b])
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
