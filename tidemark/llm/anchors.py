@@ -142,6 +142,29 @@ def placed(pos: Column) -> dict[str, Column]:
     return {"id": F.floor(whole).cast("long"), "tie": F.shiftright(low, 31).cast("int"), "at": low.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")}
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """The rows with `text` as `z`, packed better than the shuffle does."""
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in in_batches(batches):
+            z = pa.array([pack(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], z], names=[*others, "z"])
+
+    return docs.mapInArrow(run, docs.drop("text").schema.add("z", "binary"))
+
+
+def restored(column: pa.Array) -> Iterator[str]:
+    """The texts, one at a time."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(z.as_py()).decode() for z in column)
+
+
 CUT = "h long, content binary, starts int, id long, tie int, at int"
 
 
@@ -149,9 +172,10 @@ def _cut(units: Units):
     """Texts and the places wanted of them -> the content of these segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_batches(batches, 1 << 20):
+        for b in in_batches(batches, 1 << 18, "z"):
             cols: list[list] = [[] for _ in range(6)]
-            for i, tie, t, places in zip(*(b.column(c).to_pylist() for c in ("id", "tie", "text", "places"))):
+            ids, ties, places_of = (b.column(c).to_pylist() for c in ("id", "tie", "places"))
+            for i, tie, t, places in zip(ids, ties, restored(b.column("z")), places_of):
                 parsed = units.parse(t)
                 for p in places:
                     content = units.content(parsed, p["at"], p["at"] + p["starts"] - 1 + units.window)
@@ -218,7 +242,7 @@ def covered(docs: DataFrame, units: Units, method: Callable, filter_bits: int =
     place = placed(F.col("pos"))
     need = first.join(differ, "h", "left_semi").select("h", "starts", *[v.alias(k) for k, v in place.items()])
     need = need.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", "starts")).alias("places"))
-    cut = docs.select("id", "tie", "text").join(need, ["id", "tie"]).mapInArrow(_cut(units), CUT)
+    cut = compressed(docs.select("id", "tie", "text")).join(need, ["id", "tie"]).mapInArrow(_cut(units), CUT)
     dealt = cut.repartition("h").sortWithinPartitions("h")
     fresh = dealt.mapInPandas(_resolve(method, units.window, batch), "id long, tie int, start int, end int")
     lead = first.where("n > 1").select("d", *[v.alias(f"_{k}") for k, v in place.items()])
@@ -236,15 +260,15 @@ def rows_of(docs: DataFrame, id_col: str) -> DataFrame:
 
 def finish(rows: DataFrame, marks: DataFrame, work: Callable, schema: str, id_col: str) -> DataFrame:
     """Bring each row its ranges and let `work` make the result columns from (text, ranges)."""
-    joined = rows.join(marks, ["id", "tie"], "left").select("id0", "text", "ranges")
+    joined = compressed(rows).join(marks, ["id", "tie"], "left").select("id0", "z", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_batches(batches):
+        for b in in_batches(batches, 1 << 20, "z"):
             col = b.column("ranges")
             at, flat = col.offsets.to_numpy(), col.flatten()
             base = at[0] if len(at) else 0
             starts, ends = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            out = [work(t, starts[x - base : y - base], ends[x - base : y - base]) for t, x, y in zip(b.column("text").to_pylist(), at, at[1:])]
+            out = [work(t, starts[x - base : y - base], ends[x - base : y - base]) for t, x, y in zip(restored(b.column("z")), at, at[1:])]
             names = [c.split()[0] for c in schema.split(", ")]
             cols = list(zip(*out)) or [()] * len(names)
             kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
