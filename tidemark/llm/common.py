@@ -30,6 +30,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
+def text_digest(text: Column) -> Column:
+    """A digest that tells texts apart in the key of a row; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further ones of any name do no harm."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -220,6 +220,12 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows that dedup() marks kept, with all their columns.
+
+    Rows are told apart by id and text: a dropped copy takes no other text of
+    its id (or of a null id) with it.
+    """
+    gone = dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_gone_text"))
+    keyed = docs.withColumn("_text_key", F.unhex(F.sha2(normalised(F.col("`text`")), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_text_key") == F.col("_gone_text"))
+    return keyed.join(gone, same, "left_anti").drop("_text_key")

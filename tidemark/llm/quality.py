@@ -10,12 +10,13 @@ result does not depend on the order of rows or on partitions.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .common import SPACES, let, words
+from .common import SPACES, let, text_digest, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -221,8 +222,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", tail: float = TAIL, min_group
     Repeated ids are judged row by row. Empty tables give no rows; empty and
     null texts fail the base rules. Extra columns are left out.
     """
+    return _judged(docs, id_col, tail, min_group).select(
+        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+def _judged(docs: DataFrame, id_col: str = "doc_id", tail: float = TAIL, min_group: int = MIN_GROUP, with_key: bool = False) -> DataFrame:
+    """judge() with the columns _id, _lang and _src, and _key, the text's digest, where asked for."""
     q = lambda c: F.col(f"`{c}`")
-    base = with_base(docs.select(q(id_col).alias("_id"), q("text").alias("text"), q("lang").alias("_lang"), q("source").alias("_src")))
+    key = [text_digest(q("text")).alias("_key")] if with_key else []
+    base = with_base(docs.select(q(id_col).alias("_id"), q("text").alias("text"), q("lang").alias("_lang"), q("source").alias("_src"), *key))
     base = stored(base.drop("text"), "quality")
     fine = F.to_json(F.struct(F.col("_lang").alias("l"), F.col("_src").alias("s")))
     coarse = F.to_json(F.struct(F.col("_lang").alias("l")))
@@ -237,13 +246,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", tail: float = TAIL, min_group
     d2 = F.when(~F.col("base_failed") & F.col("l_length_length").isNotNull(), _distance())
     out = base.withColumns(transformed()).join(groups, same, "left").join(at, "grp", "left").withColumn("distance", d2)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2_quantile(1 - tail, len(NAMES)))
-    return out.select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        kept.alias("kept"), "distance",
-    )
+    return out.withColumn("kept", kept)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that judge() keeps, with all their columns. doc_id must be unique."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_keep"]), "left_semi")
+    """The rows that judge() keeps, with all their columns.
+
+    Rows are told apart by id, text, language and source, on which the verdict
+    depends, so ids may repeat or be null.
+    """
+    names = {"_id": "doc_id", "_key": "_text_key", "_lang": "lang", "_src": "source"}
+    good = _judged(docs, with_key=True).where("kept").select(*[F.col(k).alias(f"_good{k}") for k in names])
+    keyed = docs.withColumn("_text_key", text_digest(F.col("`text`")))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_good{k}")) for k, c in names.items()])
+    return keyed.join(good, same, "left_semi").drop("_text_key")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .common import buffered_groups, let, words
+from .common import buffered_groups, let, text_digest, words
 
 SHINGLE, THRESHOLD = 3, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,13 +61,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         h = b.column("h")
         values = np.ascontiguousarray(h.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
         fp = majority(values, np.diff(h.offsets.to_numpy()))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], names=["id", "fp"])
+        keep = [n for n in b.schema.names if n != "h"]
+        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(fp)], names=[*keep, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp) of each document; a text without words, or null, has fingerprint zero."""
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), shingle_hashes(F.col("`text`")).alias("h"))
-    return d.mapInArrow(_fingerprints, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", with_key: bool = False) -> DataFrame:
+    """(id, fp) of each document, or (id, key, fp) with the text's digest; a text without words, or null, has fingerprint zero."""
+    key = [text_digest(F.col("`text`")).alias("key")] if with_key else []
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *key, shingle_hashes(F.col("`text`")).alias("h"))
+    return d.mapInArrow(_fingerprints, "id long, key binary, fp long" if with_key else "id long, fp long")
 
 
 def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +172,15 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _in_components(fps: DataFrame, threshold: int) -> DataFrame:
+    """Fingerprints with their component_id."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    roots = components(stored(links(distinct, threshold), "links"))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(named.join(least, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (least id reachable).
 
@@ -177,16 +188,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     Repeated rows share a component; null ids never name one unless all are
     null. An empty table gives no rows; further columns are left out.
     """
-    fps = stored(fingerprints(docs, id_col), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    roots = components(stored(links(distinct, threshold), "links"))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _in_components(stored(fingerprints(docs, id_col), "fingerprints"), threshold)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, with all its columns."""
-    gone = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows with the least id of each component, with all their columns.
+
+    Rows are told apart by id and text, so a row of one component takes no row
+    of the same (or a null) id in another with it.
+    """
+    found = _in_components(stored(fingerprints(docs, with_key=True), "fingerprints"), THRESHOLD)
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone"), F.col("key").alias("_gone_text"))
+    keyed = docs.withColumn("_text_key", text_digest(F.col("`text`")))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_text_key") == F.col("_gone_text"))
+    return keyed.join(gone, same, "left_anti").drop("_text_key")
