@@ -71,22 +71,24 @@ def tagged_lines(
 
 
 def replace_after_marker(
-    lines: DataFrame, new_rows: DataFrame, marker: str, count_line: int, count_step: int = 1
+    lines: DataFrame, new_rows: DataFrame, marker: str, count_line: int, count_step: int = 1, by: list[str] = ()
 ) -> DataFrame:
     """Keep a file up to its marker line, raise the number on one line, add new rows.
 
     `lines` has (n, value) with n the line number from 1; `new_rows` has
     (n, value) with its own order. The result is ordered by (part, n).
-    A file without the marker is an error.
+    A file without the marker is an error. With `by`, both hold many files,
+    named by these columns.
     """
-    at = lines.where(F.col("value").rlike(marker)).agg(F.min("n").alias("at"))
+    at = lines.where(F.col("value").rlike(marker)).groupBy(*by).agg(F.min("n").alias("_at"))
     absent = F.raise_error(F.lit(f"no line matches {marker}")).cast("int")
-    head = lines.withColumn("_at", F.coalesce(at.scalar(), absent)).where(F.col("n") <= F.col("_at")).drop("_at")
+    placed = lines.join(at.withColumnRenamed("_at", "_first"), [*by], "left") if by else lines.withColumn("_first", at.scalar())
+    head = placed.withColumn("_at", F.coalesce("_first", absent)).where(F.col("n") <= F.col("_at")).drop("_at", "_first")
     bumped = F.when(
         F.col("n") == count_line, (F.col("value").try_cast("int") + count_step).cast("string")
     ).otherwise(F.col("value"))
-    head = head.select(F.lit(0).alias("part"), "n", bumped.alias("value"))
-    return head.unionByName(new_rows.select(F.lit(1).alias("part"), "n", "value"))
+    head = head.select(*by, F.lit(0).alias("part"), "n", bumped.alias("value"))
+    return head.unionByName(new_rows.select(*by, F.lit(1).alias("part"), "n", "value"))
 
 
 def composition_lines(wide: DataFrame, front: list[str], bins: list[str], sep: str = "\t") -> DataFrame:

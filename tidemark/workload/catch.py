@@ -45,6 +45,20 @@ def _(t):
     return catch.splice_history(c, o, 1999)
 
 
+@query(
+    "catch_history_splice_whole",
+    f"""WITH {LANDINGS}, c AS (SELECT year, sum(tons) AS catch FROM landings GROUP BY 1),
+        o AS (SELECT CAST(year(o_orderdate) - 1 AS INTEGER) AS year, sum(o_totalprice) / 1000 AS catch FROM orders GROUP BY 1)
+        SELECT coalesce(c.year, o.year) AS year, 1 AS seas, 1 AS fleet, {sql_round_even('coalesce(c.catch, o.catch)', 2)} AS catch_mt, 0.01::DOUBLE AS catch_se
+        FROM c FULL JOIN (SELECT * FROM o WHERE year < 1999) o ON c.year = o.year""",
+)
+def _(t):
+    # The older series is a year earlier, so each series has a year of its own.
+    c = landings(t).groupBy("year").agg(F.sum("tons").alias("catch"))
+    o = t.orders.groupBy((F.year("o_orderdate") - 1).alias("year")).agg((F.sum("o_totalprice") / 1000).alias("catch"))
+    return catch.splice_history(c, o, 1999)
+
+
 def _to_date(t):
     return weekly(t).where((F.col("year") == AS_OF.year) & (F.col("week") <= AS_OF_WEEK)).groupBy("species").agg(
         F.sum("catch").alias("catch")

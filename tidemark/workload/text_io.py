@@ -236,6 +236,35 @@ def _(t):
     f"""WITH {FISHERY} SELECT CAST(year AS DOUBLE) AS yr, CASE WHEN sex = 1 THEN 'F' ELSE 'M' END AS bin_sex, bin, round(freq, 8) AS freq FROM freq""",
 )
 def _(t):
+    cells = text.composition_block(_data_blocks(t), 1, COMP_FRONT, LB)
+    return cells.select("yr", "bin_sex", "bin", r("freq", 8).alias("freq"))
+
+
+CATCH_FIELDS, COMP_FRONT = ["yr", "seas", "fleet", "catch", "catch_se"], ["yr", "month", "fleet", "sex", "part", "nsamp"]
+
+
+@query(
+    "src_terminated_blocks_whole",
+    f"""WITH {LANDINGS}, {FISHERY}, k AS (SELECT CAST(year AS DOUBLE) AS yr, sum(tons) AS catch FROM landings GROUP BY 1), y AS (SELECT DISTINCT CAST(year AS DOUBLE) AS yr FROM freq)
+        SELECT 0 AS block, yr, unnest(['seas', 'fleet', 'catch', 'catch_se']) AS field, unnest([1.0::DOUBLE, 1.0, catch, 0.01]) AS value FROM k
+        UNION ALL SELECT 1, yr, unnest(['month', 'fleet', 'sex', 'part', 'nsamp']), unnest([7.0::DOUBLE, 1.0, 3.0, 0.0, 100.0]) FROM y
+        UNION ALL SELECT 1, CAST(year AS DOUBLE), (CASE WHEN sex = 1 THEN 'F' ELSE 'M' END) || bin, round(freq, 8) FROM freq""",
+)
+def _(t):
+    blocks = _data_blocks(t)
+
+    def long(df, block, fields):
+        each = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields]))
+        return df.select(F.lit(block).alias("block"), "yr", each)
+
+    catch = text.numeric_rows(blocks, 0, CATCH_FIELDS)
+    cells = text.composition_block(blocks, 1, COMP_FRONT, LB)
+    bins = cells.select(F.lit(1).alias("block"), "yr", F.concat("bin_sex", F.col("bin").cast("string")).alias("field"), r("freq", 8).alias("value"))
+    return long(catch, 0, CATCH_FIELDS[1:]).unionByName(long(cells.select(COMP_FRONT).distinct(), 1, COMP_FRONT[1:])).unionByName(bins)
+
+
+def _data_blocks(t: Tables) -> DataFrame:
+    """A data file of a catch block and a composition block, read back as blocks."""
     freq = _fishery(t).withColumn("freq", F.format_string("%.12f", "freq"))
     wide = freq.groupBy("year").agg(
         *[F.max(F.when((F.col("sex") == s) & (F.col("bin") == b), F.col("freq"))).alias(f"{p}{b}") for s, p in ((1, "f"), (2, "m")) for b in LB]
@@ -259,10 +288,7 @@ def _(t):
         .unionByName(_fixed_lines(keys, "file", 4, ["-9999 0 0 0"]))
     )
     path = _report_files(t, out, "blocks")
-    blocks = text.terminated_blocks(t.spark, f"{path}/*")
-    front = ["yr", "month", "fleet", "sex", "part", "nsamp"]
-    cells = text.composition_block(blocks, 1, front, LB)
-    return cells.select("yr", "bin_sex", "bin", r("freq", 8).alias("freq"))
+    return text.terminated_blocks(t.spark, f"{path}/*")
 
 
 @query(
@@ -270,8 +296,21 @@ def _(t):
     f"""WITH {SURVEY} SELECT area, 'SURVEYBIOMASS' AS tag, CAST(row_number() OVER (PARTITION BY area ORDER BY year) - 1 AS BIGINT) AS pos, round(biomass, 2) AS value FROM survey""",
 )
 def _(t):
+    return _survey_report(t).where("tag = 'SURVEYBIOMASS'")
+
+
+@query(
+    "src_kv_report_whole",
+    f"""WITH {SURVEY}, s AS (SELECT area, year, round(biomass, 2) AS b, CAST(row_number() OVER (PARTITION BY area ORDER BY year) - 1 AS BIGINT) AS pos FROM survey)
+        SELECT area, 'YEAR' AS tag, pos, CAST(year AS DOUBLE) AS value FROM s UNION ALL SELECT area, 'SURVEYBIOMASS', pos, b FROM s""",
+)
+def _(t):
+    return _survey_report(t)
+
+
+def _survey_report(t: Tables) -> DataFrame:
     path = _vector_files(t, [("YEAR - years of survey", "year"), ("SURVEYBIOMASS - biomass by year", "biomass")], prefix="#")
-    kv = text.key_value_report(t.spark, f"{path}/*").where("tag = 'SURVEYBIOMASS'")
+    kv = text.key_value_report(t.spark, f"{path}/*")
     area = F.replace(F.regexp_extract("path", "file=([^/]*)/", 1), F.lit("%20"), F.lit(" "))
     return kv.select(area.alias("area"), "tag", "pos", F.col("value").try_cast("double").alias("value"))
 
@@ -301,10 +340,18 @@ def _(t):
 
 @query("sink_split_by_key", f"WITH {SURVEY} SELECT area, year, round(biomass, 2) AS biomass FROM survey WHERE area <> 'ASIA'")
 def _(t):
+    return _split_areas(t).where(F.col("area") != "ASIA")
+
+
+@query("sink_split_by_key_whole", f"WITH {SURVEY} SELECT area, year, round(biomass, 2) AS biomass FROM survey")
+def _(t):
+    return _split_areas(t)
+
+
+def _split_areas(t: Tables) -> DataFrame:
     s = survey(t).select("area", "year", r("biomass", 2).alias("biomass"))
     path = sinks.split_by_key(s, scratch_dir(t.spark, "split"), ["area"])
-    back = t.spark.read.schema("year int, biomass double, area string").parquet(path)
-    return back.where(F.col("area") != "ASIA")
+    return t.spark.read.schema("year int, biomass double, area string").parquet(path)
 
 
 @query(
@@ -349,18 +396,33 @@ def _(t):
     return rows.select("kind", key.alias("n"), "value")
 
 
+_HEAD_SQL = ", ".join(f"({n}, '{'4' if n == 3 else line}')" for n, line in enumerate(SETUP, 1))
+
+
+@query(
+    "sink_template_replace_whole",
+    f"""WITH {LANDINGS}, s AS (SELECT zone, year + 1 AS year, sum(tons) AS c FROM landings GROUP BY ALL)
+        SELECT zone, CAST(n AS BIGINT) AS n, value FROM (SELECT DISTINCT zone FROM s), (VALUES {_HEAD_SQL}) h(n, value)
+        UNION ALL SELECT zone, CAST({len(SETUP)} + row_number() OVER (PARTITION BY zone ORDER BY year) AS BIGINT), year || ' ' || CAST(c AS VARCHAR) FROM s""",
+)
+def _(t):
+    zone = F.regexp_extract("path", "file=([^/]*)/", 1).alias("file")
+    lines = text.running_count(text.read_lines(t.spark, f"{_catch_files(t)}/*"), F.lit(True), "n").select(zone, "n", "value")
+    new = landings(t).groupBy(F.col("zone").alias("file"), (F.col("year") + 1).cast("long").alias("n")).agg(F.sum("tons").alias("c"))
+    new = new.select("file", "n", F.concat_ws(" ", F.col("n").cast("string"), F.col("c").cast("string")).alias("value"))
+    out = sinks.replace_after_marker(lines, new, r"begin\s+the", count_line=3, by=["file"])
+    path = _report_files(t, out.withColumnRenamed("n", "place"), "template")
+    back = text.running_count(text.read_lines(t.spark, f"{path}/*"), F.lit(True), "n")
+    return back.select(zone.alias("zone"), "n", "value")
+
+
 @query(
     "sink_comp_rows",
     f"""WITH {FISHERY}, w AS (SELECT year, {', '.join(f"max(freq) FILTER (sex = {k} AND bin = {b}) AS {p}{b}" for k, p in ((1, 'f'), (2, 'm')) for b in LB)} FROM freq GROUP BY year)
         SELECT w.year AS yr, CASE WHEN hauls < 15 THEN -1 ELSE 1 END AS fleet, hauls AS nsamp, CAST(6 + {2 * len(LB)} AS BIGINT) AS fields, round(f20 + m40, 8) AS two FROM w LEFT JOIN h ON w.year = h.year""",
 )
 def _(t):
-    hauls = comps.haul_counts(lengths(t), F.col("year"), F.col("haul"))
-    wide = comps.with_front_matter(_fishery(t), hauls, LB, fleet=1)
-    front = ["yr", "month", "fleet", "sex", "part", "nsamp"]
-    lines = sinks.composition_lines(wide, front, [f"{p}{b}" for p in "fm" for b in LB])
-    path = sinks.ordered_text(lines.select("yr", "value"), scratch_dir(t.spark, "comp"), ["yr"])
-    w = text.words("value")
+    path, w = _comp_file(t), text.words("value")
     f20, m40 = 6 + LB.index(20), 6 + len(LB) + LB.index(40)
     two = F.get(w, F.lit(f20)).try_cast("double") + F.get(w, F.lit(m40)).try_cast("double")
     return t.spark.read.text(path).select(
@@ -372,6 +434,28 @@ def _(t):
     )
 
 
+def _comp_file(t: Tables) -> str:
+    hauls = comps.haul_counts(lengths(t), F.col("year"), F.col("haul"))
+    wide = comps.with_front_matter(_fishery(t), hauls, LB, fleet=1)
+    lines = sinks.composition_lines(wide, COMP_FRONT, [f"{p}{b}" for p in "fm" for b in LB])
+    return sinks.ordered_text(lines.select("yr", "value"), scratch_dir(t.spark, "comp"), ["yr"])
+
+
+@query(
+    "sink_comp_rows_whole",
+    f"""WITH {FISHERY} SELECT freq.year AS yr, 7 AS month, CASE WHEN hauls < 15 THEN -1 ELSE 1 END AS fleet, 3 AS sex, 0 AS part, hauls AS nsamp, CAST(6 + {2 * len(LB)} AS BIGINT) AS fields,
+          (CASE WHEN freq.sex = 1 THEN 'f' ELSE 'm' END) || bin AS bin, round(freq, 8) AS freq FROM freq LEFT JOIN h ON freq.year = h.year""",
+)
+def _(t):
+    w = text.words("value")
+    front = [F.get(w, F.lit(i)).try_cast("bigint" if c == "nsamp" else "int").alias(c) for i, c in enumerate(COMP_FRONT)]
+    names = F.array(*[F.lit(f"{p}{b}") for p in "fm" for b in LB])
+    cells = t.spark.read.text(_comp_file(t)).select(
+        *front, F.size(w).cast("long").alias("fields"), F.posexplode(F.slice(w, len(COMP_FRONT) + 1, F.size(w))).alias("_i", "_v")
+    )
+    return cells.select(*COMP_FRONT, "fields", F.get(names, F.col("_i")).alias("bin"), r(F.col("_v").try_cast("double"), 8).alias("freq"))
+
+
 @query(
     "sink_kv_report",
     f"""WITH {LANDINGS}, s0 AS (SELECT zone, year, sum(tons) AS c FROM landings GROUP BY ALL), s AS (SELECT *, CAST(row_number() OVER (PARTITION BY zone ORDER BY year) - 1 AS BIGINT) AS pos FROM s0)
