@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import common, exact, lines, packing, phrases, pii, quality, simhash, substring, wavelet, wordtable
+from . import classifier, common, exact, lines, packing, periods, phrases, pii, quality, repair, simhash, substring, wavelet, wordtable
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +54,33 @@ def op10_segment_line_join(spark, folder):
     return lines.dedup(documents(spark, folder))
 
 
-_ALL = [op1_wavelet_tokens, op3_word_table_bpe, op2_robust_outliers, op4_best_fit_packing, op5_weak_supervision_pii, op6_interval_substrings, op7_minimal_perfect_hash_dedup, op8_phrase_automata, op9_anchor_simhash, op10_segment_line_join]
+def op11_periodic_runs(spark, folder):
+    return periods.detect(documents(spark, folder), damaged=True)
+
+
+def op12_conversation_repair(spark, folder):
+    return repair.damage_and_repair(configure(spark).read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op13_hashed_gram_classifier(spark, folder):
+    return classifier.classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+_ALL = [
+    op1_wavelet_tokens,
+    op2_robust_outliers,
+    op3_word_table_bpe,
+    op4_best_fit_packing,
+    op5_weak_supervision_pii,
+    op6_interval_substrings,
+    op7_minimal_perfect_hash_dedup,
+    op8_phrase_automata,
+    op9_anchor_simhash,
+    op10_segment_line_join,
+    op11_periodic_runs,
+    op12_conversation_repair,
+    op13_hashed_gram_classifier,
+]
 LLM_QUERIES = {f.__name__: f for f in _ALL}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
