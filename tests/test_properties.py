@@ -61,12 +61,6 @@ def test_unpivot_undoes_pivot(spark):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
-def test_all_combinations_is_a_full_product(spark):
-    a, b = spark.range(37).withColumnRenamed("id", "a"), spark.range(53).withColumnRenamed("id", "b")
-    out = reshape.all_combinations(a, b, buckets=5)
-    assert out.count() == 37 * 53 and out.distinct().count() == 37 * 53
-
-
 def test_group_value_plans_agree(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0), (None, 4.0)], "k string, v double")
     raw = sorted(map(str, windows.group_value(df, ["k"], F.sum("v"), "t", raw=True).collect()))

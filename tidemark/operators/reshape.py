@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# How several long rows for one wide cell combine. "max" is exact and repeatable
-# when the cell is unique.
-_COMBINE = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}
+# How several long rows for one wide cell combine. "unique" fails on a second row.
+_COMBINE = {"unique": F.max, "max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}
 
+from ..session import stored
 from .joins import null_safe_join
 
 
+def _cell_name(text: str, parts: list[Column]) -> Column:
+    """`text` and the key of a cell, missing parts shown as null."""
+    shown = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.concat(F.lit(f"{text} ("), F.concat_ws(", ", *shown), F.lit(")"))
+
+
 def pivot_wide(
     df: DataFrame,
     ids: list[str],
@@ -18,22 +24,40 @@ def pivot_wide(
     values: dict[str, str] | str,
     levels: list,
     label: str = "{level}",
-    combine: str = "max",
+    combine: str = "unique",
     fill=None,
 ) -> DataFrame:
     """Long to wide with the levels stated, so the plan needs no extra job.
 
     `values` is one value column, or {label part: column} for several; `label`
-    may use {level} and {value}. `fill` replaces absent cells. Cells are first
-    combined per (ids, level), which is partial before the shuffle.
+    may use {level} and {value}. `fill` replaces absent cells. A cell with more
+    than one row is an error that names it, unless `combine` says how its rows
+    count together (max, min, sum, mean). Values and row counts per cell come from
+    one pass: partial sums, then one exchange by `ids`. Rows of other levels
+    (null too) keep their ids and fill no cell.
     """
     many = values if isinstance(values, dict) else {"": values}
     agg = _COMBINE[combine]
     key = F.col(name) if isinstance(name, str) else name
     rows = df.select(*ids, key.alias("_level"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(many.values())])
-    wide = rows.groupBy(*ids).pivot("_level", levels).agg(*[agg(f"_v{i}").alias(f"_v{i}") for i in range(len(many))])
-    names = [label.format(level=level, value=part) for level in levels for part in many]
-    wide = wide.toDF(*ids, *names)
+    cells, names = [], []
+    for k, level in enumerate(levels):
+        here = F.col("_level") == F.lit(level)
+        if combine == "unique":
+            cells.append(F.count_if(here).alias(f"_n{k}"))
+        for i, part in enumerate(many):
+            cells.append(agg(F.when(here, F.col(f"_v{i}"))).alias(f"_c{k}_{i}"))
+            names.append(label.format(level=level, value=part))
+    wide = rows.groupBy(*ids).agg(*cells) if cells else rows.select(*ids).distinct()
+    out = []
+    for k, level in enumerate(levels):
+        for i in range(len(many)):
+            cell = F.col(f"_c{k}_{i}")
+            if combine == "unique":
+                told = _cell_name("more than one row for cell", [*[F.col(f"`{c}`") for c in ids], F.lit(str(level))])
+                cell = F.when(F.col(f"_n{k}") > 1, F.raise_error(told).cast(wide.schema[f"_c{k}_{i}"].dataType)).otherwise(cell)
+            out.append(cell)
+    wide = wide.select(*[F.col(f"`{c}`") for c in ids], *[c.alias(n) for c, n in zip(out, names)])
     return wide if fill is None else wide.fillna(fill, subset=names)
 
 
@@ -90,16 +114,13 @@ def missing_from_spine(spine: DataFrame, df: DataFrame, keys: list[str]) -> Data
     return spine.join(df.select(*keys).distinct(), keys, "left_anti")
 
 
-def all_combinations(left: DataFrame, right: DataFrame, buckets: int = 32) -> DataFrame:
-    """Every left row with every right row for two data-derived level tables.
-
-    Right rows are hashed to buckets and left rows copied once per bucket, so
-    the work is an equi-join over `buckets` keys, with no broadcast and no
-    single task that holds a whole side.
-    """
-    a = left.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    b = right.withColumn("_bucket", F.pmod(F.xxhash64(*right.columns), F.lit(buckets)).cast("int"))
-    return a.join(b, "_bucket").drop("_bucket")
+def level_dictionary(df: DataFrame, name: str, max_levels: int = 100_000) -> Column:
+    """The values of a column as one sorted array, nulls left out; more than `max_levels` are an error."""
+    found = df.select(name).where(F.col(name).isNotNull()).distinct().limit(max_levels + 1)
+    values = F.array_sort(F.collect_list(name))
+    told = F.lit(f"more than {max_levels} levels of {name}")
+    kind = f"array<{df.schema[name].dataType.simpleString()}>"
+    return found.agg(F.when(F.count("*") > max_levels, F.raise_error(told).cast(kind)).otherwise(values).alias("_levels")).scalar()
 
 
 def complete_grid(
@@ -108,47 +129,78 @@ def complete_grid(
     levels: dict[str, list | None],
     fill: dict[str, float] | None = None,
     spine: DataFrame | None = None,
+    unlisted: str = "keep",
 ) -> DataFrame:
     """Add the missing combinations of `by` with each level column.
 
-    A list states the levels; None takes the levels met in the data. `fill`
-    sets values for added (and null) cells. With stated levels only, `df` has
-    one row per combination and is read once: the cells of a key (at most the
-    product of the levels) are gathered and looked up while the levels fan out.
-    Otherwise the distinct keys are combined and joined to `df`.
+    A list states the levels; None takes the levels met in the data, gathered once
+    into a size-checked dictionary. `df` has one row per combination (two are an
+    error that names it). The cells of a key are gathered and looked up while
+    the levels fan out inside its row, so there is one exchange by key and no
+    product join; with data levels `df` is written once and not computed again.
+    Rows whose level is missing or not listed stay as they are (unlisted="keep",
+    after the grid), or fail="fail" names the first of a key, or "drop" leaves
+    them out; `unlisted_levels` counts them. `spine` adds keys that `df` lacks.
+    `fill` sets values for added (and null) cells.
     """
-    if spine is None and all(v is not None for v in levels.values()):
-        out = _complete_in_place(df, by, levels)
-    else:
-        grid = (spine if spine is not None else df).select(*by).distinct()
-        for name, values in levels.items():
-            if values is None:
-                grid = all_combinations(grid, df.select(name).where(F.col(name).isNotNull()).distinct())
-            else:
-                grid = grid.withColumn(name, F.explode(_level_array(df, name, values)))
-        out = null_safe_join(grid, df, [*by, *levels], "left")
+    if unlisted not in ("keep", "fail", "drop"):
+        raise ValueError(f"unlisted: keep, fail or drop, not {unlisted}")
+    names = list(levels)
+    if any(v is None for v in levels.values()):
+        df = stored(df, "grid-cells")
+    rest = [c for c in df.columns if c not in by and c not in levels]
+    rows = df if spine is None else df.unionByName(spine.select(*by).distinct().withColumn("_spine", F.lit(True)), allowMissingColumns=True)
+    is_cell = F.lit(True) if spine is None else F.col("_spine").isNull()
+    listed = F.lit(True)
+    for n, v in levels.items():
+        listed = listed & (F.col(n).isNotNull() if v is None else F.coalesce(F.col(n).isin(list(v)), F.lit(False)))
+    entry = F.struct(F.struct(*names).alias("k"), F.struct(*rest).alias("v"))
+    # collect_list skips nulls, so a key without any listed cell still gets its row.
+    cells = rows.groupBy(*by).agg(
+        F.collect_list(F.when(is_cell & listed, entry)).alias("_cells"),
+        F.collect_list(F.when(is_cell & ~listed, entry)).alias("_others"),
+    )
+    keys = F.transform("_cells", lambda e: e["k"])
+    twice = F.filter(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1)
+    keyed = [F.col(f"`{b}`") for b in by]
+
+    def failing(text: str, first: Column) -> Column:
+        return F.raise_error(_cell_name(text, [*keyed, *[first[n] for n in names]])).cast(cells.schema["_cells"].dataType)
+
+    checked = F.when(F.size(F.array_distinct(keys)) < F.size("_cells"), failing("more than one row for cell", twice[0])).otherwise(F.col("_cells"))
+    if unlisted == "fail":
+        checked = F.when(F.size("_others") > 0, failing("level not listed in cell", F.col("_others")[0]["k"])).otherwise(checked)
+    cells = cells.withColumn("_at", F.map_from_entries(checked))
+    for i, (n, v) in enumerate(levels.items()):
+        cells = cells.withColumn(f"_d{i}", level_dictionary(df, n) if v is None else _level_array(df, n, v))
+
+    def combinations(i: int, chosen: list[Column]) -> Column:
+        if i == len(names):
+            k = F.struct(*[c.alias(n) for n, c in zip(names, chosen)])
+            return F.array(F.struct(k.alias("k"), F.try_element_at("_at", k).alias("v")))
+        return F.flatten(F.transform(F.col(f"_d{i}"), lambda x: combinations(i + 1, [*chosen, x])))
+
+    grid = combinations(0, [])
+    every = F.concat(grid, F.col("_others")) if unlisted == "keep" else grid
+    out = cells.select(*by, F.explode(every).alias("_e"))
+    out = out.select(*by, *[F.col(f"_e.k.{n}").alias(n) for n in names], *[F.col(f"_e.v.{c}").alias(c) for c in rest])
     for col, value in (fill or {}).items():
         out = out.withColumn(col, F.coalesce(F.col(col), F.lit(value)))
     return out
 
 
-def _level_array(df: DataFrame, name: str, values: list) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{df.schema[name].dataType.simpleString()}>")
+def unlisted_levels(df: DataFrame, levels: dict[str, list | None]) -> DataFrame:
+    """(level, value, rows): rows whose level column is missing or holds a value that is not listed."""
+    parts = []
+    for n, v in levels.items():
+        other = F.col(n).isNull() if v is None else F.coalesce(~F.col(n).isin(list(v)), F.lit(True))
+        parts.append(F.when(other, F.struct(F.lit(n).alias("level"), F.col(n).cast("string").alias("value"))))
+    each = df.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
+    return each.groupBy("p.level", "p.value").agg(F.count("*").alias("rows"))
 
 
-def _complete_in_place(df: DataFrame, by: list[str], levels: dict[str, list]) -> DataFrame:
-    rest = [c for c in df.columns if c not in by and c not in levels]
-    listed = None
-    for name, values in levels.items():
-        test = F.col(name).isin(list(values))
-        listed = test if listed is None else listed & test
-    entry = F.struct(F.struct(*levels).alias("k"), F.struct(*rest).alias("v"))
-    # collect_list skips nulls, so a key without any listed cell still gets its row.
-    cells = df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(listed, entry))).alias("_cells"))
-    for name, values in levels.items():
-        cells = cells.withColumn(name, F.explode(_level_array(df, name, values)))
-    found = cells.withColumn("_cell", F.try_element_at("_cells", F.struct(*levels)))
-    return found.select(*by, *levels, *[F.col(f"_cell.{c}").alias(c) for c in rest])
+def _level_array(df: DataFrame, name: str, values: list) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{df.schema[name].dataType.simpleString()}>")
 
 
 def full_sequence(df: DataFrame, by: list[str], col: str, step: int) -> DataFrame:

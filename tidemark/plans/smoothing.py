@@ -1,152 +1,199 @@
 """Random-walk smoothing of survey biomass per stratum.
 
-Input is one row per stratum and survey year, so a group is a short series.
-Spark groups the strata; numpy filters one series inside its task.
+A stratum is one row that holds its sorted survey series as an array (one entry
+per calendar year). The Kalman filter, the smoother and the likelihood search
+are folds over that array, so the whole fit stays inside JVM expressions: one
+shuffle by stratum, no Python worker.
 """
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import Z90, Z95
 
-# Ship the helpers inside the task, so executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# Bounds of log sigma, and the search: a grid, then finer ones around the best point.
+LOW, HIGH = -7.0, 2.0
+GRID, ROUNDS = 25, 5
+# Step in log sigma of the numeric derivatives.
+H = 0.01
 
-_OUT = (
-    "year int, obs double, obs_cv double, log_est double, log_sd double, sd_conditional double, "
-    "log_sigma double, nll double"
-)
+_TWO_PI = 6.283185307179586
 
 
-def _run(y: np.ndarray, v: np.ndarray, q: np.ndarray, smooth: bool):
-    """Kalman filter of a local-level model with a diffuse start, for many process
-    variances q at once. y and v hold nan where there was no survey.
+def _filter_step(s: Column, x: Column, q: Column) -> dict[str, Column]:
+    """One year: predict, then update where there is an observation."""
+    ap, pp = s["a"], s["p"] + q
+    gap, var = x["y"] - ap, pp + x["v"]
+    gain = F.coalesce(pp / var, F.lit(0.0))
+    cost = F.lit(0.5) * (F.log(F.lit(_TWO_PI) * var) + gap * gap / var)
+    return {
+        "a": ap + F.coalesce(gain * gap, F.lit(0.0)),
+        "p": (1 - gain) * pp,
+        "ap": ap,
+        "pp": pp,
+        "nll": s["nll"] + F.coalesce(cost, F.lit(0.0)),
+    }
 
-    Returns the negative log likelihood per q and, with smooth=True, the
-    smoothed means and variances (years x q).
-    """
-    n, k = len(y), len(q)
-    a, p = np.zeros((n, k)), np.zeros((n, k))
-    a_pred, p_pred = np.zeros((n, k)), np.zeros((n, k))
-    nll, started = np.zeros(k), False
-    for t in range(n):
-        if t:
-            a_pred[t], p_pred[t] = a[t - 1], p[t - 1] + q
-        if np.isnan(y[t]):
-            a[t], p[t] = a_pred[t], p_pred[t]
-        elif not started:
-            a[t], p[t], started = y[t], v[t], True
-        else:
-            s = p_pred[t] + v[t]
-            gap = y[t] - a_pred[t]
-            nll += 0.5 * (np.log(2 * np.pi * s) + gap * gap / s)
-            gain = p_pred[t] / s
-            a[t], p[t] = a_pred[t] + gain * gap, (1 - gain) * p_pred[t]
-    if not smooth:
-        return nll, None, None
-    m, c = a.copy(), p.copy()
-    for t in range(n - 2, -1, -1):
-        g = p[t] / p_pred[t + 1]
-        m[t] = a[t] + g * (m[t + 1] - a_pred[t + 1])
-        c[t] = p[t] + g * g * (c[t + 1] - p_pred[t + 1])
-    return nll, m, c
-
-
-def _best_log_sigma(y: np.ndarray, v: np.ndarray, low: float = -7.0, high: float = 2.0) -> float:
-    """log sigma of the process: a coarse grid, then finer ones around the best point."""
-    lo, hi = low, high
-    for _ in range(5):
-        grid = np.linspace(lo, hi, 25)
-        best = float(grid[int(np.argmin(_run(y, v, np.exp(2 * grid), smooth=False)[0]))])
-        step = grid[1] - grid[0]
-        lo, hi = max(low, best - step), min(high, best + step)
-    return best
-
-
-def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("year")
-    first, last = int(pdf["year"].iloc[0]), int(pdf["_end"].iloc[0])
-    years = np.arange(first, max(last, int(pdf["year"].iloc[-1])) + 1)
-    at = pdf["year"].to_numpy() - first
-    y, v = np.full(len(years), np.nan), np.full(len(years), np.nan)
-    obs, obs_cv = y.copy(), y.copy()
-    y[at] = np.log(pdf["biomass"].to_numpy())
-    cvs = pdf["cv"].to_numpy()
-    v[at] = np.log1p(cvs * cvs)
-    obs[at], obs_cv[at] = pdf["biomass"].to_numpy(), cvs
-    fixed = pdf["_fixed"].iloc[0]
-    if np.isfinite(fixed):
-        best = float(fixed)
-    else:
-        best = _best_log_sigma(y, v) if np.isfinite(y).sum() > 1 else -7.0
-    # The reported SD also carries the uncertainty of log sigma (delta method).
-    h = 0.01
-    nll, m, c = _run(y, v, np.exp(2 * np.array([best - h, best, best + h])), smooth=True)
-    curve = (nll[2] - 2 * nll[1] + nll[0]) / (h * h)
-    slope = (m[:, 2] - m[:, 0]) / (2 * h)
-    extra = slope * slope / curve if curve > 1e-8 and not np.isfinite(fixed) else 0.0
-    out = pd.DataFrame(
-        {
-            "year": years.astype("int32"),
-            "obs": obs,
-            "obs_cv": obs_cv,
-            "log_est": m[:, 1],
-            "log_sd": np.sqrt(c[:, 1] + extra),
-            "sd_conditional": np.sqrt(c[:, 1]),
-            "log_sigma": best,
-            "nll": nll[1],
-        }
+
+def _struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def _start(series: Column) -> Column:
+    """Diffuse start: the first entry is an observation."""
+    first = series[0]
+    return _struct({"a": first["y"], "p": first["v"], "ap": F.lit(0.0), "pp": F.lit(0.0), "nll": F.lit(0.0)})
+
+
+def _later(series: Column) -> Column:
+    return F.slice(series, F.lit(2), F.size(series))
+
+
+def negative_log_likelihood(series: Column, log_sigma: Column) -> Column:
+    q = F.exp(2 * log_sigma)
+    return F.aggregate(_later(series), _start(series), lambda s, x: _struct(_filter_step(s, x, q)), lambda s: s["nll"])
+
+
+def _filtered(series: Column, log_sigma: Column) -> Column:
+    """The filter's states, one per year."""
+    q = F.exp(2 * log_sigma)
+    return F.aggregate(
+        _later(series),
+        F.array(_start(series)),
+        lambda path, x: F.concat(path, F.array(_struct(_filter_step(F.element_at(path, -1), x, q)))),
+    )
+
+
+def _smoothed(path: Column) -> Column:
+    """Smoothed mean m and variance c per year, by a fold from the last year back."""
+    last = F.element_at(path, -1)
+    end = F.array(F.struct(last["a"].alias("m"), last["p"].alias("c"), last["ap"].alias("ap"), last["pp"].alias("pp")))
+
+    def back(done: Column, s: Column) -> Column:
+        nxt = done[0]
+        g = s["p"] / nxt["pp"]
+        here = F.struct(
+            (s["a"] + g * (nxt["m"] - nxt["ap"])).alias("m"),
+            (s["p"] + g * g * (nxt["c"] - nxt["pp"])).alias("c"),
+            s["ap"].alias("ap"),
+            s["pp"].alias("pp"),
+        )
+        return F.concat(F.array(here), done)
+
+    return F.aggregate(F.reverse(F.slice(path, F.lit(1), F.size(path) - 1)), end, back)
+
+
+def _search(fits: DataFrame, log_sigma: float | None) -> DataFrame:
+    """log_sigma with the least negative log likelihood, and how it was reached (`fit`)."""
+    if log_sigma is not None:
+        return fits.withColumn("log_sigma", F.lit(float(log_sigma))).withColumn("fit", F.lit("fixed"))
+    out = fits.withColumn("_lo", F.lit(LOW)).withColumn("_hi", F.lit(HIGH))
+    for _ in range(ROUNDS):
+        step = (F.col("_hi") - F.col("_lo")) / (GRID - 1)
+        points = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda k: F.col("_lo") + step * k)
+        tried = F.transform(points, lambda s: F.struct(negative_log_likelihood(F.col("_series"), s).alias("nll"), s.alias("s")))
+        out = out.withColumn("_best", F.array_min(tried)["s"]).withColumn("_step", step)
+        out = out.withColumn("_lo", F.greatest(F.lit(LOW), F.col("_best") - F.col("_step")))
+        out = out.withColumn("_hi", F.least(F.lit(HIGH), F.col("_best") + F.col("_step")))
+    one = F.col("_surveys") < 2
+    fit = (
+        F.when(one, "one survey")
+        .when(F.col("_best") <= LOW, "low bound")
+        .when(F.col("_best") >= HIGH, "high bound")
+        .otherwise("inside")
     )
-    return out
+    return out.withColumn("log_sigma", F.when(one, F.lit(LOW)).otherwise(F.col("_best"))).withColumn("fit", fit)
 
 
 def smooth_random_walk(
-    df: DataFrame, strata: list[str], end_year: int | None = None, log_sigma: float | None = None
+    df: DataFrame,
+    strata: list[str],
+    end_year: int | None = None,
+    log_sigma: float | None = None,
+    duplicates: str = "fail",
 ) -> DataFrame:
     """Smoothed biomass for every year of each stratum with 90% and 95% limits.
 
     df: (strata..., year, biomass, cv), one row per survey year. Years without
     a survey are filled; `end_year` carries the series on. `log_sigma` fixes the
-    process error instead of fitting it.
+    process error instead of fitting it. Two rows of one stratum and year are an
+    error that names them, or with duplicates="mean" their mean counts.
+
+    Only positive biomass with a cv is an observation. Other rows keep their
+    year and `obs`; before a stratum's first observation, and in a stratum
+    without any, the estimates are null. `fit` says how log_sigma was reached:
+    inside its bounds, at the low or high bound (of LOW and HIGH), fixed, from
+    one survey (log_sigma is then LOW, not estimated), or no survey.
     """
-    end = F.lit(end_year) if end_year is not None else F.lit(0)
-    rows = (
-        df.where((F.col("biomass") > 0) & F.col("cv").isNotNull())
-        .groupBy(*strata, F.col("year").cast("int").alias("year"))
-        .agg(F.avg("biomass").alias("biomass"), F.avg("cv").alias("cv"))
-        .withColumn("_end", end)
-        .withColumn("_fixed", F.lit(float("nan") if log_sigma is None else float(log_sigma)))
+    if duplicates not in ("fail", "mean"):
+        raise ValueError(f"duplicates: fail or mean, not {duplicates}")
+    years = df.groupBy(*strata, F.col("year").cast("int").alias("year")).agg(
+        F.avg("biomass").alias("obs"), F.avg("cv").alias("obs_cv"), F.count("*").alias("_rows")
+    )
+    if duplicates == "fail":
+        told = F.concat_ws(" ", F.lit("more than one survey row for"), *[F.col(s).cast("string") for s in strata], F.col("year").cast("string"))
+        years = years.withColumn("year", F.when(F.col("_rows") > 1, F.raise_error(told).cast("int")).otherwise(F.col("year")))
+    counts = (F.col("obs") > 0) & (F.col("obs_cv") >= 0) & ~F.isnan("obs_cv")
+    entry = F.struct(
+        F.col("obs").alias("obs"),
+        F.col("obs_cv").alias("obs_cv"),
+        F.when(counts, F.log("obs")).alias("y"),
+        F.when(counts, F.log1p(F.col("obs_cv") * F.col("obs_cv"))).alias("v"),
+    )
+    fits = years.where(F.col("year").isNotNull()).groupBy(*strata).agg(
+        F.map_from_entries(F.collect_list(F.struct("year", entry.alias("e")))).alias("_at"),
+        F.min("year").alias("_first"),
+        F.max("year").alias("_last"),
+        F.min(F.when(counts, F.col("year"))).alias("_from"),
+        F.count_if(counts).alias("_surveys"),
+    )
+    fits = fits.withColumn("_last", F.greatest(F.col("_last"), F.lit(end_year).cast("int")))
+    fits = fits.withColumn("_years", F.transform(F.sequence("_first", "_last"), lambda y: F.struct(y.alias("year"), F.try_element_at("_at", y).alias("e"))))
+    fits = fits.withColumn("_series", F.transform(F.filter("_years", lambda x: x["year"] >= F.col("_from")), lambda x: x["e"]))
+    fits = fits.select(*strata, "_years", "_series", "_from", "_surveys")
+
+    some = _search(fits.where(F.col("_from").isNotNull()), log_sigma)
+    around = F.transform(F.array(F.lit(-H), F.lit(0.0), F.lit(H)), lambda d: F.col("log_sigma") + d)
+    some = some.withColumn("_nll", F.transform(around, lambda s: negative_log_likelihood(F.col("_series"), s)))
+    some = some.withColumn("_path", F.transform(around, lambda s: _smoothed(_filtered(F.col("_series"), s))))
+    # The reported SD also carries the uncertainty of log sigma (delta method).
+    nll = F.col("_nll")
+    curve = (nll[2] - 2 * nll[1] + nll[0]) / (H * H)
+    some = some.withColumn("_curve", F.when((curve > 1e-8) & (F.col("fit") != "fixed"), curve))
+
+    def year_rows(x: Column, i: Column) -> Column:
+        at = i - (F.size("_years") - F.size("_series"))
+        low, mid, high = [F.when(at >= 0, F.get(F.col("_path")[k], at)) for k in range(3)]
+        slope = (high["m"] - low["m"]) / (2 * H)
+        extra = F.coalesce(slope * slope / F.col("_curve"), F.lit(0.0))
+        return F.struct(
+            x["year"].alias("year"),
+            x["e"]["obs"].alias("obs"),
+            x["e"]["obs_cv"].alias("obs_cv"),
+            mid["m"].alias("log_est"),
+            F.sqrt(mid["c"] + extra).alias("log_sd"),
+            F.sqrt(mid["c"]).alias("sd_conditional"),
+        )
+
+    rows = some.select(*strata, F.inline(F.transform("_years", year_rows)), "log_sigma", nll[1].alias("nll"), "fit")
+    none = fits.where(F.col("_from").isNull()).select(*strata, F.explode("_years").alias("x"))
+    nothing = F.lit(None).cast("double")
+    none = none.select(
+        *strata, "x.year", "x.e.obs", "x.e.obs_cv", *[nothing.alias(c) for c in ("log_est", "log_sd", "sd_conditional", "log_sigma", "nll")], F.lit("no survey").alias("fit")
     )
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{s}` {fields[s]}" for s in strata) + ", " + _OUT
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _smooth_group(pdf)
-        for i, s in enumerate(strata):
-            out.insert(i, s, pdf[s].iloc[0])
-        return out
-
-    fit = rows.groupBy(*strata).applyInPandas(run, schema)
-    est = F.exp("log_est")
-    return fit.select(
+    limits = {"lci": -Z95, "uci": Z95, "low90": -Z90, "upp90": Z90}
+    return rows.unionByName(none).select(
         *strata,
         "year",
-        F.when(~F.isnan("obs"), F.col("obs")).alias("obs"),
-        F.when(~F.isnan("obs_cv"), F.col("obs_cv")).alias("obs_cv"),
-        est.alias("estimate"),
-        F.exp(F.col("log_est") - Z95 * F.col("log_sd")).alias("lci"),
-        F.exp(F.col("log_est") + Z95 * F.col("log_sd")).alias("uci"),
-        F.exp(F.col("log_est") - Z90 * F.col("log_sd")).alias("low90"),
-        F.exp(F.col("log_est") + Z90 * F.col("log_sd")).alias("upp90"),
+        "obs",
+        "obs_cv",
+        F.exp("log_est").alias("estimate"),
+        *[F.exp(F.col("log_est") + z * F.col("log_sd")).alias(c) for c, z in limits.items()],
         "log_est",
         "log_sd",
         "sd_conditional",
         "log_sigma",
         "nll",
+        "fit",
     )

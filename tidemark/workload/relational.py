@@ -388,7 +388,7 @@ def _(t):
 )
 def _(t):
     w = weekly(t).groupBy("year", "week").agg(F.sum("catch").alias("catch"))
-    out = win.cumulative_share(w, ["year"], ["week"], "catch")
+    out = win.ranged_running_sum(w, ["year"], ["week"], "catch", "cumulative_catch", share="cumulative_share")
     return out.select(
         "year", "week", r("cumulative_catch", 2).alias("cumulative_catch"), r("cumulative_share", 8).alias("cumulative_share")
     )
@@ -401,7 +401,8 @@ def _(t):
 )
 def _(t):
     s = t.lineitem.groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    return win.number_rows(s, ["l_returnflag"], [F.col("q").desc(), "l_suppkey"])
+    out = win.ranged_row_number(s, ["l_returnflag"], [F.col("q").desc(), "l_suppkey"])
+    return out.withColumn("row", F.col("row").cast("int"))
 
 
 LOCF_SQL = """WITH s AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL),
@@ -450,7 +451,7 @@ def _(t):
 )
 def _(t):
     s = landings(t).groupBy("zone", "year").agg(F.sum("tons").alias("tons"))
-    return win.trailing_mean(s, ["zone"], "year", "tons", 5, "mean5").select("zone", "year", r("mean5").alias("mean5"))
+    return win.ranged_trailing_mean(s, ["zone"], "year", "tons", 5, "mean5").select("zone", "year", r("mean5").alias("mean5"))
 
 
 # --- sorts, limits, reshape, sets -------------------------------------------
@@ -528,7 +529,7 @@ def _(t):
     + " FROM orders GROUP BY 1",
 )
 def _(t):
-    return reshape.pivot_wide(t.orders, ["o_custkey"], "o_orderpriority", "o_totalprice", PRIORITIES, fill=-999.0)
+    return reshape.pivot_wide(t.orders, ["o_custkey"], "o_orderpriority", "o_totalprice", PRIORITIES, combine="max", fill=-999.0)
 
 
 @query(

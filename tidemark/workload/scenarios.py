@@ -172,9 +172,55 @@ def _smoothed(t):
     return smoothing.smooth_random_walk(s.withColumnRenamed("area", "strata"), ["strata"], end_year=2003)
 
 
-@query("smooth_random_walk")
+# The same search in SQL: per round a filter over the years for every point of the grid, then the best point.
+def _filter_sql(name: str, points: str) -> str:
+    """Filter states per area and point s of the table `points`."""
+    return f"""{name} AS (
+    SELECT p.area, p.s, o.year, o.y AS a, o.v AS p, 0.0::DOUBLE AS ap, 0.0::DOUBLE AS pp, 0.0::DOUBLE AS nll FROM {points} p JOIN obs o ON o.area = p.area AND o.year = p.y0
+    UNION ALL
+    SELECT area, s, year, ap + coalesce(g * (y - ap), 0), (1 - coalesce(g, 0)) * pp, ap, pp, nll + coalesce(0.5 * (ln(2 * pi() * (pp + v)) + (y - ap) * (y - ap) / (pp + v)), 0)
+    FROM (SELECT f.area, f.s, f.year + 1 AS year, f.a AS ap, f.p + exp(2 * f.s) AS pp, f.nll, o.y, o.v, (f.p + exp(2 * f.s)) / (f.p + exp(2 * f.s) + o.v) AS g
+          FROM {name} f LEFT JOIN obs o ON o.area = f.area AND o.year = f.year + 1 WHERE f.year < 2003))"""
+
+
+def _search_sql() -> str:
+    n, low, high = smoothing.GRID - 1, smoothing.LOW, smoothing.HIGH
+    parts = [f"b0 AS (SELECT area, min(year) AS y0, {low}::DOUBLE AS lo, {high}::DOUBLE AS hi, 0.0::DOUBLE AS best FROM obs GROUP BY 1)"]
+    for k in range(smoothing.ROUNDS):
+        parts.append(f"g{k} AS (SELECT area, y0, lo, hi, lo + (hi - lo) / {n} * i AS s FROM b{k}, range({n + 1}) t(i))")
+        parts.append(_filter_sql(f"f{k}", f"g{k}"))
+        parts.append(
+            f"""b{k + 1} AS (SELECT area, y0, greatest({low}, s - (hi - lo) / {n}) AS lo, least({high}, s + (hi - lo) / {n}) AS hi, s AS best
+            FROM (SELECT g.*, f.nll FROM g{k} g JOIN f{k} f ON g.area = f.area AND g.s = f.s WHERE f.year = 2003) QUALIFY row_number() OVER (PARTITION BY area ORDER BY nll, s) = 1)"""
+        )
+    return ",\n  ".join(parts)
+
+
+_LAST = f"b{smoothing.ROUNDS}"
+SEARCH_SQL = f"""WITH RECURSIVE {SURVEY},
+  obs AS (SELECT area, year, ln(biomass) AS y, ln(1 + variance / (biomass * biomass)) AS v FROM survey),
+  {_search_sql()},
+  around AS (SELECT area, y0, best, k, best + {smoothing.H} * (k - 1) AS s FROM {_LAST}, range(3) t(k)),
+  {_filter_sql("fwd", "around")},
+  bwd AS (
+    SELECT f.area, f.s, f.year, f.a AS m, f.p AS c FROM fwd f WHERE f.year = 2003
+    UNION ALL
+    SELECT f.area, f.s, f.year, f.a + f.p / n.pp * (b.m - n.ap), f.p + (f.p / n.pp) * (f.p / n.pp) * (b.c - n.pp)
+    FROM bwd b JOIN fwd n ON n.area = b.area AND n.s = b.s AND n.year = b.year JOIN fwd f ON f.area = b.area AND f.s = b.s AND f.year = b.year - 1),
+  three AS (SELECT a.area, a.best, b.year, max(m) FILTER (k = 0) AS m0, max(m) FILTER (k = 1) AS m1, max(m) FILTER (k = 2) AS m2, max(c) FILTER (k = 1) AS c1
+            FROM around a JOIN bwd b ON a.area = b.area AND a.s = b.s GROUP BY ALL),
+  cost AS (SELECT a.area, max(nll) FILTER (k = 1) AS nll, (max(nll) FILTER (k = 2) - 2 * max(nll) FILTER (k = 1) + max(nll) FILTER (k = 0)) / ({smoothing.H} * {smoothing.H}) AS curve
+           FROM around a JOIN fwd f ON a.area = f.area AND a.s = f.s WHERE f.year = 2003 GROUP BY 1)
+  SELECT t.area AS strata, CAST(t.year AS INTEGER) AS year, round(biomass, 2) AS obs, round(m1, 4) AS log_est, round(sqrt(c1), 4) AS sd_conditional,
+         round(sqrt(c1 + CASE WHEN curve > 1e-8 THEN power((m2 - m0) / (2 * {smoothing.H}), 2) / curve ELSE 0 END), 3) AS log_sd, round(best, 3) AS log_sigma, round(nll, 5) AS nll,
+         CASE WHEN best <= {smoothing.LOW} THEN 'low bound' WHEN best >= {smoothing.HIGH} THEN 'high bound' ELSE 'inside' END AS fit
+  FROM three t JOIN cost USING (area) LEFT JOIN survey ON survey.area = t.area AND survey.year = t.year"""
+
+
+@query("smooth_random_walk", SEARCH_SQL)
 def _(t):
-    return _smoothed(t)
+    digits = {"obs": 2, "log_est": 4, "sd_conditional": 4, "log_sd": 3, "log_sigma": 3, "nll": 5}
+    return _smoothed(t).select("strata", "year", *[r(c, d).alias(c) for c, d in digits.items()], "fit")
 
 
 # Filter forward, then smooth backward, as two recursions over the years. Three
