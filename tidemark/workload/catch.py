@@ -34,19 +34,6 @@ def _(t):
 
 @query(
     "catch_history_splice",
-    f"""WITH {LANDINGS}, c AS (SELECT year, sum(tons) AS catch FROM landings WHERE year >= 1997 GROUP BY 1),
-        o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) / 1000 AS catch FROM orders GROUP BY 1)
-        SELECT coalesce(c.year, o.year) AS year, 1 AS seas, 1 AS fleet, {sql_round_even('coalesce(c.catch, o.catch)', 2)} AS catch_mt, 0.01::DOUBLE AS catch_se
-        FROM c FULL JOIN (SELECT * FROM o WHERE year < 1999) o ON c.year = o.year""",
-)
-def _(t):
-    c = landings(t).where("year >= 1997").groupBy("year").agg(F.sum("tons").alias("catch"))
-    o = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg((F.sum("o_totalprice") / 1000).alias("catch"))
-    return catch.splice_history(c, o, 1999)
-
-
-@query(
-    "catch_history_splice_whole",
     f"""WITH {LANDINGS}, c AS (SELECT year, sum(tons) AS catch FROM landings GROUP BY 1),
         o AS (SELECT CAST(year(o_orderdate) - 1 AS INTEGER) AS year, sum(o_totalprice) / 1000 AS catch FROM orders GROUP BY 1)
         SELECT coalesce(c.year, o.year) AS year, 1 AS seas, 1 AS fleet, {sql_round_even('coalesce(c.catch, o.catch)', 2)} AS catch_mt, 0.01::DOUBLE AS catch_se
@@ -183,14 +170,18 @@ def _(t):
     return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "F")
 
 
+# Every source of both agencies, named or gathered as Other.
+REMOVAL_LEVELS = [("ADFG", s) for s in ("S0", "S1", "S2", "S3", "S4", "S5", "Other")] + [("IPHC", f"S{k}") for k in range(6)]
+
+
 @query(
     "catch_noncommercial_wide",
-    f"""WITH {REMOVALS}, s AS (SELECT year, agency || '_' || source AS k, {sql_round_even('round(sum(kg), 6) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL)
-        SELECT year, max(tons) FILTER (k = 'ADFG_Other') AS adfg_other, max(tons) FILTER (k = 'IPHC_S0') AS iphc_s0, max(tons) FILTER (k = 'IPHC_S5') AS iphc_s5 FROM s GROUP BY year""",
+    f"WITH {REMOVALS}, s AS (SELECT year, agency || '_' || source AS k, {sql_round_even('round(sum(kg), 6) / 1000.0', 3)} AS tons FROM lab GROUP BY ALL) SELECT year, "
+    + ", ".join(f"max(tons) FILTER (k = '{a}_{s}') AS {a.lower()}_{s.lower()}" for a, s in REMOVAL_LEVELS)
+    + " FROM s GROUP BY year",
 )
 def _(t):
-    levels = [("IPHC", "S5"), ("ADFG", "Other"), ("IPHC", "S0")]
-    return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "F", levels)
+    return catch.noncommercial_top(_removals(t), "ADFG", "Other", 3, "F", REMOVAL_LEVELS)
 
 
 @query(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from ..functions.rounding import round_even
 from ..functions.nulls import recode
 from ..operators import quality
 from ..operators.windows import share_of_total
@@ -45,22 +46,38 @@ def _(t):
     return one.union(other)
 
 
-@query("dq_sums_to_one", f"WITH {SURVEY} SELECT year, 1.0::DOUBLE AS total, true AS ok FROM survey GROUP BY year")
+# Shares as computed, and rounded to one digit, which need not sum to one.
+@query(
+    "dq_sums_to_one",
+    f"""WITH {SURVEY}, s AS (SELECT year, biomass / sum(biomass) OVER (PARTITION BY year) AS share FROM survey),
+        k AS (SELECT 'exact' AS kind, year, share FROM s UNION ALL SELECT 'rounded', year, round(share, 1) FROM s)
+        SELECT kind, year, round(sum(share), 8) AS total, abs(sum(share) - 1) < 1e-9 AS ok FROM k GROUP BY ALL""",
+)
 def _(t):
-    s = share_of_total(survey(t), ["year"], "biomass", "share")
-    out = quality.sums_to_one(s, ["year"], "share")
-    return out.withColumn("total", r("total", 8))
+    s = share_of_total(survey(t), ["year"], "biomass", "share").select("year", "share")
+    both = s.withColumn("kind", F.lit("exact")).unionByName(s.select("year", r("share", 1).alias("share")).withColumn("kind", F.lit("rounded")))
+    return quality.sums_to_one(both, ["kind", "year"], "share").withColumn("total", r("total", 8))
 
 
+# Parts with the remainder added to one area, and as rounded, which need not add up.
 @query(
     "dq_parts_equal_total",
-    "SELECT CAST(unnest([2001, 2002]) AS INTEGER) AS year_limit, CAST(unnest([40503, 41258]) AS DOUBLE) AS parts, CAST(unnest([40503, 41258]) AS DOUBLE) AS total, true AS ok",
+    f"""WITH {SURVEY}, s AS (SELECT area, biomass / sum(biomass) OVER () AS share FROM survey WHERE year = 2000),
+        a AS (SELECT CAST(y AS INTEGER) AS year_limit, abc, round_even(share * abc, 0) AS part, row_number() OVER (PARTITION BY y ORDER BY share DESC, area) AS rank FROM s, (VALUES (2001, 40503.0::DOUBLE), (2002, 41258.0::DOUBLE)) v(y, abc)),
+        k AS (SELECT 'with remainder' AS kind, year_limit, abc, part + CASE WHEN rank = 1 THEN abc - sum(part) OVER (PARTITION BY year_limit) ELSE 0 END AS part FROM a
+              UNION ALL SELECT 'rounded', year_limit, abc, part + rank FROM a)
+        SELECT kind, year_limit, sum(part) AS parts, max(abc) AS total, sum(part) = max(abc) AS ok FROM k GROUP BY ALL""",
 )
 def _(t):
     s = survey(t).select(F.col("area").alias("strata"), "year", F.col("biomass").alias("estimate"))
     shares = apportion.area_shares(s, 2000).drop("year")
-    parts = apportion.rounded_parts(shares, {2001: 40503.0, 2002: 41258.0})
-    return quality.parts_equal_total(parts, ["year_limit"], "area_abc", "abc")
+    parts = apportion.rounded_parts(shares, {2001: 40503.0, 2002: 41258.0}).select("year_limit", "strata", "abc", "area_abc")
+    part = round_even(F.col("share") * F.col("abc"), 0)
+    place = F.row_number().over(Window.partitionBy("year_limit").orderBy(F.col("share").desc(), "strata"))
+    # The place is added so that this side never adds up.
+    rounded = parts.join(shares, "strata").select("year_limit", "strata", "abc", (part + place).alias("area_abc"))
+    both = parts.withColumn("kind", F.lit("with remainder")).unionByName(rounded.withColumn("kind", F.lit("rounded")))
+    return quality.parts_equal_total(both, ["kind", "year_limit"], "area_abc", "abc")
 
 
 @query(

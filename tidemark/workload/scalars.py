@@ -9,22 +9,21 @@ from ..operators.windows import rescale_min
 from .bindings import LANDINGS, SURVEY, WEEK_SQL, landings, r, sql_round_even, survey
 from .registry import query
 
-AREA_OF_ZONE = {"CG": "centre", "WG": "west", "SE": "east", "EY": "east", "WY": "east"}
+URGENCY = {"1-URGENT": "now", "2-HIGH": "now", "3-MEDIUM": "later", "5-LOW": "later"}
 
 
 @query(
     "fn_case_recode",
-    f"""WITH {LANDINGS} SELECT CASE WHEN zone = 'CG' THEN 'centre' WHEN zone = 'WG' THEN 'west'
-        WHEN zone IN ('SE','EY','WY') THEN 'east' END AS area, CASE type WHEN 'D' THEN 'Discarded' ELSE type END AS fate,
-        sum(tons) AS tons FROM landings GROUP BY ALL""",
+    """SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'now' WHEN o_orderpriority IN ('3-MEDIUM', '5-LOW') THEN 'later' END AS urgency,
+        CASE o_orderstatus WHEN 'F' THEN 'Filled' ELSE o_orderstatus END AS status, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY ALL""",
 )
 def _(t):
-    rows = landings(t).select(
-        nulls.recode("zone", AREA_OF_ZONE).alias("area"),
-        nulls.recode("type", {"D": "Discarded"}, keep_unmapped=True).alias("fate"),
-        "tons",
+    rows = t.orders.select(
+        nulls.recode("o_orderpriority", URGENCY).alias("urgency"),
+        nulls.recode("o_orderstatus", {"F": "Filled"}, keep_unmapped=True).alias("status"),
+        "o_totalprice",
     )
-    return rows.groupBy("area", "fate").agg(F.sum("tons").alias("tons"))
+    return rows.groupBy("urgency", "status").agg(r(F.sum("o_totalprice"), 2).alias("price"))
 
 
 @query(

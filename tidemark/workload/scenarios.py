@@ -32,6 +32,16 @@ def _(t):
     return sc.mean_table(scenario_summary(t), "F_Mean")
 
 
+@query(
+    "scen_mean_table_catch",
+    f"WITH {SUMMARY} SELECT year, "
+    + ", ".join(f"max(round_even(value * 1000, 0)) FILTER (alt = {a}) AS scenario_{a}" for a in range(1, 8))
+    + " FROM summary WHERE metric = 'CMean' GROUP BY year",
+)
+def _(t):
+    return sc.mean_table(scenario_summary(t), "CMean")
+
+
 @query(
     "scen_fan",
     f"""WITH {DRAWS}, l AS (SELECT year, alternative, 'ssb' AS metric, ssb AS v FROM draws UNION ALL SELECT year, alternative, 'tot_biom', tot_biom FROM draws)

@@ -231,20 +231,11 @@ def _(t):
     )
 
 
-@query(
-    "src_terminated_blocks",
-    f"""WITH {FISHERY} SELECT CAST(year AS DOUBLE) AS yr, CASE WHEN sex = 1 THEN 'F' ELSE 'M' END AS bin_sex, bin, round(freq, 8) AS freq FROM freq""",
-)
-def _(t):
-    cells = text.composition_block(_data_blocks(t), 1, COMP_FRONT, LB)
-    return cells.select("yr", "bin_sex", "bin", r("freq", 8).alias("freq"))
-
-
 CATCH_FIELDS, COMP_FRONT = ["yr", "seas", "fleet", "catch", "catch_se"], ["yr", "month", "fleet", "sex", "part", "nsamp"]
 
 
 @query(
-    "src_terminated_blocks_whole",
+    "src_terminated_blocks",
     f"""WITH {LANDINGS}, {FISHERY}, k AS (SELECT CAST(year AS DOUBLE) AS yr, sum(tons) AS catch FROM landings GROUP BY 1), y AS (SELECT DISTINCT CAST(year AS DOUBLE) AS yr FROM freq)
         SELECT 0 AS block, yr, unnest(['seas', 'fleet', 'catch', 'catch_se']) AS field, unnest([1.0::DOUBLE, 1.0, catch, 0.01]) AS value FROM k
         UNION ALL SELECT 1, yr, unnest(['month', 'fleet', 'sex', 'part', 'nsamp']), unnest([7.0::DOUBLE, 1.0, 3.0, 0.0, 100.0]) FROM y
@@ -293,14 +284,6 @@ def _data_blocks(t: Tables) -> DataFrame:
 
 @query(
     "src_kv_report",
-    f"""WITH {SURVEY} SELECT area, 'SURVEYBIOMASS' AS tag, CAST(row_number() OVER (PARTITION BY area ORDER BY year) - 1 AS BIGINT) AS pos, round(biomass, 2) AS value FROM survey""",
-)
-def _(t):
-    return _survey_report(t).where("tag = 'SURVEYBIOMASS'")
-
-
-@query(
-    "src_kv_report_whole",
     f"""WITH {SURVEY}, s AS (SELECT area, year, round(biomass, 2) AS b, CAST(row_number() OVER (PARTITION BY area ORDER BY year) - 1 AS BIGINT) AS pos FROM survey)
         SELECT area, 'YEAR' AS tag, pos, CAST(year AS DOUBLE) AS value FROM s UNION ALL SELECT area, 'SURVEYBIOMASS', pos, b FROM s""",
 )
@@ -338,12 +321,7 @@ def _(t):
     return back
 
 
-@query("sink_split_by_key", f"WITH {SURVEY} SELECT area, year, round(biomass, 2) AS biomass FROM survey WHERE area <> 'ASIA'")
-def _(t):
-    return _split_areas(t).where(F.col("area") != "ASIA")
-
-
-@query("sink_split_by_key_whole", f"WITH {SURVEY} SELECT area, year, round(biomass, 2) AS biomass FROM survey")
+@query("sink_split_by_key", f"WITH {SURVEY} SELECT area, year, round(biomass, 2) AS biomass FROM survey")
 def _(t):
     return _split_areas(t)
 
@@ -377,30 +355,11 @@ def _(t):
     return back.select(area.alias("area"), "tag", "pos", F.col("value").try_cast("double").alias("value"))
 
 
-@query(
-    "sink_template_replace",
-    f"""WITH {LANDINGS}, z AS (SELECT DISTINCT zone FROM landings), n AS (SELECT zone, count(*) AS lines FROM (SELECT zone, year + 1 AS year FROM landings WHERE zone = 'WG' GROUP BY ALL) GROUP BY 1)
-        SELECT 'count' AS kind, CAST(3 AS BIGINT) AS n, '4' AS value
-        UNION ALL SELECT 'row', CAST(year + 1 AS BIGINT), (year + 1) || ' ' || CAST(sum(tons) AS VARCHAR) FROM landings WHERE zone = 'WG' GROUP BY year""",
-)
-def _(t):
-    lines = text.running_count(text.read_lines(t.spark, f"{_catch_files(t)}/file=WG"), F.lit(True), "n").select("n", "value")
-    new = landings(t).where("zone = 'WG'").groupBy((F.col("year") + 1).cast("long").alias("n")).agg(F.sum("tons").alias("c"))
-    new = new.select("n", F.concat_ws(" ", F.col("n").cast("string"), F.col("c").cast("string")).alias("value"))
-    out = sinks.replace_after_marker(lines, new, r"begin\s+the", count_line=3)
-    path = sinks.ordered_text(out, scratch_dir(t.spark, "template"), ["part", "n"])
-    back = text.running_count(text.read_lines(t.spark, path), F.lit(True), "n")
-    kind = F.when(F.col("value").rlike(r"^\d{4} \d"), "row").when(F.col("n") == 3, "count")
-    rows = back.withColumn("kind", kind).where("kind is not null")
-    key = F.when(F.col("kind") == "row", F.substring("value", 1, 4).cast("long")).otherwise(F.col("n"))
-    return rows.select("kind", key.alias("n"), "value")
-
-
 _HEAD_SQL = ", ".join(f"({n}, '{'4' if n == 3 else line}')" for n, line in enumerate(SETUP, 1))
 
 
 @query(
-    "sink_template_replace_whole",
+    "sink_template_replace",
     f"""WITH {LANDINGS}, s AS (SELECT zone, year + 1 AS year, sum(tons) AS c FROM landings GROUP BY ALL)
         SELECT zone, CAST(n AS BIGINT) AS n, value FROM (SELECT DISTINCT zone FROM s), (VALUES {_HEAD_SQL}) h(n, value)
         UNION ALL SELECT zone, CAST({len(SETUP)} + row_number() OVER (PARTITION BY zone ORDER BY year) AS BIGINT), year || ' ' || CAST(c AS VARCHAR) FROM s""",
@@ -416,24 +375,6 @@ def _(t):
     return back.select(zone.alias("zone"), "n", "value")
 
 
-@query(
-    "sink_comp_rows",
-    f"""WITH {FISHERY}, w AS (SELECT year, {', '.join(f"max(freq) FILTER (sex = {k} AND bin = {b}) AS {p}{b}" for k, p in ((1, 'f'), (2, 'm')) for b in LB)} FROM freq GROUP BY year)
-        SELECT w.year AS yr, CASE WHEN hauls < 15 THEN -1 ELSE 1 END AS fleet, hauls AS nsamp, CAST(6 + {2 * len(LB)} AS BIGINT) AS fields, round(f20 + m40, 8) AS two FROM w LEFT JOIN h ON w.year = h.year""",
-)
-def _(t):
-    path, w = _comp_file(t), text.words("value")
-    f20, m40 = 6 + LB.index(20), 6 + len(LB) + LB.index(40)
-    two = F.get(w, F.lit(f20)).try_cast("double") + F.get(w, F.lit(m40)).try_cast("double")
-    return t.spark.read.text(path).select(
-        F.get(w, F.lit(0)).try_cast("int").alias("yr"),
-        F.get(w, F.lit(2)).try_cast("int").alias("fleet"),
-        F.get(w, F.lit(5)).try_cast("bigint").alias("nsamp"),
-        F.size(w).cast("long").alias("fields"),
-        r(two, 8).alias("two"),
-    )
-
-
 def _comp_file(t: Tables) -> str:
     hauls = comps.haul_counts(lengths(t), F.col("year"), F.col("haul"))
     wide = comps.with_front_matter(_fishery(t), hauls, LB, fleet=1)
@@ -442,7 +383,7 @@ def _comp_file(t: Tables) -> str:
 
 
 @query(
-    "sink_comp_rows_whole",
+    "sink_comp_rows",
     f"""WITH {FISHERY} SELECT freq.year AS yr, 7 AS month, CASE WHEN hauls < 15 THEN -1 ELSE 1 END AS fleet, 3 AS sex, 0 AS part, hauls AS nsamp, CAST(6 + {2 * len(LB)} AS BIGINT) AS fields,
           (CASE WHEN freq.sex = 1 THEN 'f' ELSE 'm' END) || bin AS bin, round(freq, 8) AS freq FROM freq LEFT JOIN h ON freq.year = h.year""",
 )
