@@ -30,6 +30,22 @@ def test_copies(clashing, keep):
     assert keep(clashing).columns == clashing.columns
 
 
+def test_any_column_names_and_repeated_rows(spark):
+    """Columns with the filters' inner names stay, and one of equal rows."""
+    rows = [(1, GOOD["a"], 1), (1, GOOD["a"], 2), (1, GOOD["a"] + " ", 3), (None, GOOD["b"], 4), (None, GOOD["b"], 5), (2, GOOD["c"], 6), (None, None, 7), (None, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").selectExpr("*", "'en' AS lang", "'s' AS source")
+    for c in ("_gone", "_gone_text", "_good_id", "_good_key", "_text_key", "_c0", "_k0", "_o0", "id", "key", "root", "kept", "digest"):
+        docs = docs.selectExpr("*", f"'{c}' AS `{c}`")
+    for keep in (exact.filter_documents, simhash.filter_documents):
+        out = keep(docs)
+        got = out.collect()
+        assert out.columns == docs.columns and all(r[c] == c for r in got for c in docs.columns if c[0] == "_")
+        assert Counter(r.doc_id for r in got) == Counter([1, 2, None, None]) and {r.n for r in got} & {1, 2, 3} and 6 in {r.n for r in got}
+    good = quality.filter_documents(docs)
+    assert good.columns == docs.columns and sorted(r.n for r in good.collect()) == [1, 2, 3, 4, 5, 6]
+    assert exact.filter_documents(docs.where("false")).collect() == simhash.filter_documents(docs.where("false")).collect() == []
+
+
 def test_quality(spark):
     rows = [(1, GOOD["a"]), (1, "too short"), (None, GOOD["b"]), (None, ""), (None, None), (2, GOOD["c"])]
     docs = spark.createDataFrame([(i, t, "en", None) for i, t in rows], SCHEMA)

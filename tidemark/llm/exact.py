@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .common import SPACE_RUN
+from .common import SPACE_RUN, matching_rows, one_of_each
 
 PER_SHARD = 1 << 17
 SLOT = np.dtype([("digest", "S32"), ("winner", "<i8"), ("has_winner", "?"), ("copies", "<i8")])
@@ -220,12 +220,15 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows that dedup() marks kept, with all their columns.
+    """The rows that dedup() marks kept, with all their columns of any names, one for each text.
 
     Rows are told apart by id and text: a dropped copy takes no other text of
-    its id (or of a null id) with it.
+    its id (or of a null id) with it. Of rows equal in id and text (up to spaces)
+    one stays, whichever; null text counts as empty, a null id loses to others.
+    An empty table stays empty.
     """
-    gone = dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_gone_text"))
-    keyed = docs.withColumn("_text_key", F.unhex(F.sha2(normalised(F.col("`text`")), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_text_key") == F.col("_gone_text"))
-    return keyed.join(gone, same, "left_anti").drop("_text_key")
+    found = stored(dedup(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"), "verdicts")
+    keys = [F.col("doc_id"), F.unhex(F.sha2(normalised(F.col("`text`")), 256))]
+    left = matching_rows(docs, keys, found.where("not kept").drop("kept").distinct(), "left_anti")
+    repeated = stored(found.where("kept").groupBy("doc_id", "digest").count().where("count > 1").drop("count"), "repeated")
+    return one_of_each(left, keys, repeated)

@@ -10,13 +10,12 @@ result does not depend on the order of rows or on partitions.
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .common import SPACES, let, text_digest, words
+from .common import SPACES, let, matching_rows, text_digest, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -255,8 +254,6 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     Rows are told apart by id, text, language and source, on which the verdict
     depends, so ids may repeat or be null.
     """
-    names = {"_id": "doc_id", "_key": "_text_key", "_lang": "lang", "_src": "source"}
-    good = _judged(docs, with_key=True).where("kept").select(*[F.col(k).alias(f"_good{k}") for k in names])
-    keyed = docs.withColumn("_text_key", text_digest(F.col("`text`")))
-    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_good{k}")) for k, c in names.items()])
-    return keyed.join(good, same, "left_semi").drop("_text_key")
+    good = _judged(docs, with_key=True).where("kept").select("_id", "_key", "_lang", "_src").distinct()
+    keys = [F.col("doc_id"), text_digest(F.col("`text`")), F.col("lang"), F.col("source")]
+    return matching_rows(docs, keys, good, "left_semi")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .common import buffered_groups, let, text_digest, words
+from .common import buffered_groups, let, matching_rows, one_of_each, text_digest, words
 
 SHINGLE, THRESHOLD = 3, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -173,12 +173,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _in_components(fps: DataFrame, threshold: int) -> DataFrame:
-    """Fingerprints with their component_id."""
+    """Fingerprints with their component_id and root, the least fingerprint of the component."""
     distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     roots = components(stored(links(distinct, threshold), "links"))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    return fps.join(named.join(least, "root").select("fp", "component_id", "root"), "fp")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
@@ -193,13 +193,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows with the least id of each component, with all their columns.
+    """One row of each component, with all its columns of any names: the least id, of its texts the least digest.
 
     Rows are told apart by id and text, so a row of one component takes no row
-    of the same (or a null) id in another with it.
+    of the same (or a null) id in another with it. Of rows equal in id and text
+    one stays, whichever; a null id loses to others. An empty table stays empty.
     """
     found = _in_components(stored(fingerprints(docs, with_key=True), "fingerprints"), THRESHOLD)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone"), F.col("key").alias("_gone_text"))
-    keyed = docs.withColumn("_text_key", text_digest(F.col("`text`")))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_text_key") == F.col("_gone_text"))
-    return keyed.join(gone, same, "left_anti").drop("_text_key")
+    found = stored(found.select("id", "key", "root"), "members")
+    # A null id comes after all others.
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("c"), F.count("*").alias("n"))
+    keys = [F.col("doc_id").cast("long"), text_digest(F.col("`text`"))]
+    groups = stored(chosen.where("n > 1").select("root", "c.id", "c.key"), "chosen")
+    of = found.join(groups.toDF("root", "_id", "_key"), "root")
+    best = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    left = matching_rows(docs, keys, of.where(~best).select("id", "key").distinct(), "left_anti")
+    repeated = of.where(best).groupBy("id", "key").count().where("count > 1").drop("count")
+    return one_of_each(left, keys, stored(repeated, "repeated"))
