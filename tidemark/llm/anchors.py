@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import stored
 from .common import buffered_groups, in_batches
 
-FILTER_BITS = 1 << 27
+# Bits of the filter of recurring anchors (16 MB), and of those of rows (8 MB each).
+FILTER_BITS, ROW_BITS = 1 << 27, 1 << 26
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,8 +37,8 @@ class Units:
 
     window: int
     gram: int
-    parse: Callable[[str], object]
-    grams: Callable[[str], tuple[np.ndarray, object]]
+    parse: Callable[[bytes], object]
+    grams: Callable[[bytes], tuple[np.ndarray, object]]
     content: Callable[[object, int, int], bytes]
 
     @property
@@ -66,9 +67,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def segments(units: Units, text: str | None) -> tuple[np.ndarray, ...] | None:
+def segments(units: Units, text: bytes) -> tuple[np.ndarray, ...] | None:
     """(hash, anchor, first start, last start, parsed) of a text's segments; None without a full window."""
-    h, parsed = units.grams(text or "")
+    h, parsed = units.grams(text)
     at = sliding_argmin(h, units.span)
     if not len(at):
         return None
@@ -80,7 +81,7 @@ def segments(units: Units, text: str | None) -> tuple[np.ndarray, ...] | None:
 def _count(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_batches(batches):
-            got = [s[0] for s in (segments(units, t) for t in b.column("text").to_pylist()) if s]
+            got = [s[0] for s in (segments(units, t) for t in raw_texts(b)) if s]
             h, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -105,7 +106,7 @@ def _occurrences(units: Units, held):
         bits = np.frombuffer(held.value, np.uint8)
         for b in in_batches(batches):
             cols: list[list] = [[] for _ in range(6)]
-            for i, tie, t in zip(b.column("id").to_pylist(), b.column("tie").to_pylist(), b.column("text").to_pylist()):
+            for i, tie, t in zip(b.column("id").to_pylist(), b.column("tie").to_pylist(), raw_texts(b)):
                 s = segments(units, t)
                 if not s:
                     continue
@@ -142,8 +143,38 @@ def placed(pos: Column) -> dict[str, Column]:
     return {"id": F.floor(whole).cast("long"), "tie": F.shiftright(low, 31).cast("int"), "at": low.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")}
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """The rows with `text` as `z`, packed better than the shuffle does."""
+def raw_texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts as UTF-8, null as empty, one at a time."""
+    return (t.as_py() or b"" for t in batch.column("text").cast(pa.binary()))
+
+
+def row_filter(rows: DataFrame, bits: int = ROW_BITS):
+    """A broadcast bitmap of (id, tie): a row whose bit is not set is not among `rows`.
+
+    Its size is fixed; where it is full, more rows pass, and a join decides all the same.
+    """
+    bit = rows.select(F.pmod(F.xxhash64("id", "tie"), F.lit(bits)).alias("s"))
+    return rows.sparkSession.sparkContext.broadcast(_bitmap(bit, bits))
+
+
+def _bitmap(places: DataFrame, bits: int) -> bytes:
+    """The bits `s` that are set, gathered piece by piece."""
+    maps = places.groupBy(F.shiftright("s", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits"))
+    packed = bytearray(bits // 8)
+    for r in maps.toLocalIterator():
+        packed[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = r["bits"]
+    return bytes(packed)
+
+
+def _passes(batch: pa.RecordBatch, held, negate: bool = False) -> pa.RecordBatch:
+    """Rows whose bit (column s) is set in the bitmap, or is not."""
+    s = batch.column("s").to_numpy()
+    on = (np.frombuffer(held.value, np.uint8)[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)
+    return batch.filter(pa.array(~on if negate else on)).drop_columns(["s"])
+
+
+def compressed(docs: DataFrame, held, bits: int = ROW_BITS) -> DataFrame:
+    """The rows that pass the filter, with `text` as `z`, packed better than the shuffle does."""
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +182,20 @@ def compressed(docs: DataFrame) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in in_batches(batches):
-            z = pa.array([pack(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            b = _passes(b, held)
+            z = pa.array([pack(t) for t in raw_texts(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], z], names=[*others, "z"])
 
-    return docs.mapInArrow(run, docs.drop("text").schema.add("z", "binary"))
+    rows = docs.withColumn("s", F.pmod(F.xxhash64("id", "tie"), F.lit(bits)))
+    return rows.mapInArrow(run, docs.drop("text").schema.add("z", "binary"))
 
 
-def restored(column: pa.Array) -> Iterator[str]:
+def restored(column: pa.Array) -> Iterator[bytes]:
     """The texts, one at a time."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    return (unpack(z.as_py()).decode() for z in column)
+    return (unpack(z.as_py()) for z in column)
 
 
 CUT = "h long, content binary, starts int, id long, tie int, at int"
@@ -230,25 +263,22 @@ def covered(docs: DataFrame, units: Units, method: Callable, filter_bits: int =
     seen = docs.select("text").mapInArrow(_count(units), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     # filter_bits is a power of two, so signed and unsigned remainders agree.
     bit = seen.select(F.pmod(F.col("h"), F.lit(filter_bits)).alias("s"))
-    maps = bit.groupBy(F.shiftright("s", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits"))
-    packed = bytearray(filter_bits // 8)
-    for r in maps.toLocalIterator():
-        packed[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = r["bits"]
-    held = spark.sparkContext.broadcast(bytes(packed))
+    held = spark.sparkContext.broadcast(_bitmap(bit, filter_bits))
     occ = docs.select("id", "tie", "text").mapInArrow(_occurrences(units, held), OCC)
     occ = stored(occ, "segments")
     first = stored(occ.groupBy("h", "d", "starts").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")), "first")
     differ = first.groupBy("h").count().where("count > 1").select("h")
     place = placed(F.col("pos"))
     need = first.join(differ, "h", "left_semi").select("h", "starts", *[v.alias(k) for k, v in place.items()])
-    need = need.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", "starts")).alias("places"))
-    cut = compressed(docs.select("id", "tie", "text")).join(need, ["id", "tie"]).mapInArrow(_cut(units), CUT)
+    need = stored(need.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", "starts")).alias("places")), "places")
+    cut = compressed(docs.select("id", "tie", "text"), row_filter(need)).join(need, ["id", "tie"]).mapInArrow(_cut(units), CUT)
     dealt = cut.repartition("h").sortWithinPartitions("h")
     fresh = dealt.mapInPandas(_resolve(method, units.window, batch), "id long, tie int, start int, end int")
     lead = first.where("n > 1").select("d", *[v.alias(f"_{k}") for k, v in place.items()])
     again = occ.select("d", "id", "tie", "at", "starts").join(lead, "d").where("id != _id or tie != _tie or at != _at")
     again = again.select("id", "tie", F.col("at").alias("start"), (F.col("at") + F.col("starts") - 1 + units.window).alias("end"))
-    return fresh.union(again).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    # Rows that repeat an id and a text share their ranges, so equal ones are one.
+    return fresh.union(again).groupBy("id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
 def rows_of(docs: DataFrame, id_col: str) -> DataFrame:
@@ -260,21 +290,34 @@ def rows_of(docs: DataFrame, id_col: str) -> DataFrame:
 
 def finish(rows: DataFrame, marks: DataFrame, work: Callable, schema: str, id_col: str) -> DataFrame:
     """Bring each row its ranges and let `work` make the result columns from (text, ranges)."""
-    joined = compressed(rows).join(marks, ["id", "tie"], "left").select("id0", "z", "ranges")
+    marks = stored(marks, "ranges")
+    held = row_filter(marks)
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def result(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id0", *names])
+
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for b in in_batches(batches):
+            b = _passes(b, held, negate=True)
+            yield result(b.column("id0"), [work(t, none, none) for t in raw_texts(b)])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_batches(batches, 1 << 20, "z"):
             col = b.column("ranges")
             at, flat = col.offsets.to_numpy(), col.flatten()
             base = at[0] if len(at) else 0
             starts, ends = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            out = [work(t, starts[x - base : y - base], ends[x - base : y - base]) for t, x, y in zip(restored(b.column("z")), at, at[1:])]
-            names = [c.split()[0] for c in schema.split(", ")]
-            cols = list(zip(*out)) or [()] * len(names)
-            kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([b.column("id0"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id0", *names])
+            yield result(b.column("id0"), [work(t, starts[x - base : y - base], ends[x - base : y - base]) for t, x, y in zip(restored(b.column("z")), at, at[1:])])
 
-    return joined.mapInArrow(run, "id0 long, " + schema).withColumnRenamed("id0", id_col)
+    # Texts without a range are finished where they are read; only the others meet their ranges in a shuffle.
+    bit = F.pmod(F.xxhash64("id", "tie"), F.lit(ROW_BITS)).alias("s")
+    here = rows.select("id0", "text", bit).mapInArrow(unmarked, "id0 long, " + schema)
+    joined = compressed(rows, held).join(marks, ["id", "tie"], "left").select("id0", "z", "ranges")
+    return here.union(joined.mapInArrow(marked, "id0 long, " + schema)).withColumnRenamed("id0", id_col)
 
 
 def mask(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

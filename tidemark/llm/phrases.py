@@ -17,32 +17,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import anchors
-from .common import SPACES
 
 WINDOW, GRAM = 20, 8
-_TABLE = str.maketrans(SPACES, " " * len(SPACES))
-_HASHES: dict[str, int] = {}
-_LIMIT = 600_000
+# Word hashes that a worker keeps; the table is emptied when it is full.
+_LIMIT = 1_000_000
 
 
-def split(text: str) -> list[str]:
-    return [w for w in text.translate(_TABLE).split(" ") if w]
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
+        if len(self) >= _LIMIT:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-def _grams(k: int):
-    def run(text: str) -> tuple[np.ndarray, list[str]]:
-        import xxhash
 
+_HASHES = _Hashes()
+
+
+def split(text: bytes) -> list[bytes]:
+    """Words `[^\\x20\\x09-\\x0D]+`: bytes.split parts at exactly these characters."""
+    return text.split()
+
+
+def _grams(k: int):
+    def run(text: bytes) -> tuple[np.ndarray, list[bytes]]:
         words = split(text)
         n = len(words) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), words
-        new = set(words).difference(_HASHES)
-        if len(_HASHES) + len(new) > _LIMIT:
-            _HASHES.clear()
-            new = set(words)
-        for w in new:
-            _HASHES[w] = xxhash.xxh64_intdigest(w.encode())
         h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
@@ -54,7 +58,7 @@ def _grams(k: int):
 
 
 def units(window: int = WINDOW, gram: int = GRAM) -> anchors.Units:
-    return anchors.Units(window, gram, split, _grams(gram), lambda words, a, b: " ".join(words[a:b]).encode())
+    return anchors.Units(window, gram, split, _grams(gram), lambda words, a, b: b" ".join(words[a:b]))
 
 
 def automaton(phrases: list[str]):
@@ -95,13 +99,13 @@ def _method(window: int, per_automaton: int = 20_000):
     return run
 
 
-def _work(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple:
+def _work(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
     words = split(text)
     if not len(starts):
-        return len(words), 0, hashlib.sha256(" ".join(words).encode()).hexdigest()
+        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
     hit = anchors.mask(len(words), starts, ends).tolist()
     kept = [w for w, x in zip(words, hit) if not x]
-    return len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()
+    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", **options) -> DataFrame:

@@ -36,9 +36,8 @@ _UP, _DOWN = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
 
 
 def _grams(k: int):
-    def run(text: str) -> tuple[np.ndarray, bytes]:
+    def run(raw: bytes) -> tuple[np.ndarray, bytes]:
         global _UP, _DOWN
-        raw = text.encode()
         b = np.frombuffer(raw, np.uint8)
         if len(b) < k:
             return np.zeros(0, np.uint64), raw
@@ -54,7 +53,7 @@ def _grams(k: int):
 
 
 def units(window: int = MIN_BYTES, gram: int = GRAM) -> anchors.Units:
-    return anchors.Units(window, gram, str.encode, _grams(gram), lambda raw, a, b: raw[a:b])
+    return anchors.Units(window, gram, bytes, _grams(gram), lambda raw, a, b: raw[a:b])
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
@@ -114,8 +113,7 @@ def _method(least: int):
     return run
 
 
-def _work(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple:
-    raw = text.encode()
+def _work(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
     if not len(starts):
         return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
     hit = anchors.mask(len(raw), starts, ends)
