@@ -6,6 +6,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -40,6 +41,31 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def matching_rows(docs: DataFrame, keys: list[Column], other: DataFrame, how: str) -> DataFrame:
+    """`docs` joined ("left_semi" or "left_anti") with `other`, whose columns meet `keys` in order, nulls too.
+
+    Columns go by place, so those of `docs` may have any names.
+    """
+    names = docs.columns
+    keyed = docs.select("*", *keys).toDF(*[f"_c{i}" for i in range(len(names))], *[f"_k{i}" for i in range(len(keys))])
+    found = other.toDF(*[f"_o{i}" for i in range(len(keys))])
+    same = functools.reduce(Column.__and__, [F.col(f"_k{i}").eqNullSafe(F.col(f"_o{i}")) for i in range(len(keys))])
+    return keyed.join(found, same, how).select(*[F.col(f"_c{i}") for i in range(len(names))]).toDF(*names)
+
+
+def one_of_each(docs: DataFrame, keys: list[Column], repeated: DataFrame) -> DataFrame:
+    """`docs` with a single row for each of the `repeated` keys; all other rows stay.
+
+    Only rows of repeated keys are gathered, and one of each per task before the shuffle.
+    """
+    names = docs.columns
+    rest = matching_rows(docs, keys, repeated, "left_anti")
+    several = matching_rows(docs, keys, repeated, "left_semi").select("*", *keys)
+    several = several.toDF(*[f"_c{i}" for i in range(len(names))], *[f"_k{i}" for i in range(len(keys))])
+    one = several.dropDuplicates([f"_k{i}" for i in range(len(keys))])
+    return rest.union(one.select(*[F.col(f"_c{i}") for i in range(len(names))]).toDF(*names))
+
+
 def in_batches(frames: Iterator[pa.RecordBatch], size: int = 1 << 22, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text column of each holds about `size` bytes, one row at least."""
     for b in frames:
@@ -68,25 +94,47 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
+class _Recent(dict):
+    """A dict of bounded size that fills itself: `make` gives a missing value.
+
+    When it holds `limit` keys they become the older generation; keys met again
+    come back from there, and the rest go when it is replaced in turn.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class CachedTokenizer:
     """A tokenizer whose words are delimited by spaces and newlines, with a bounded word cache.
 
     It gives what encode() gives for the whole text: the vocabulary must drop
     white space and never join characters across it (as word-end vocabularies
-    do). A word is encoded once while it stays in the cache, which is emptied
-    when it holds `limit` words. Plain words of a lower-casing vocabulary with
+    do). A word is encoded once while it stays in the cache, which holds at most
+    two times `limit` words. Plain words of a lower-casing vocabulary with
     the usual split go to the merge model at once, others through the library's
     normaliser and splitter.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit, self.cache, self.parts = limit, {"": b""}, {}
+        self.cache, self.parts = _Recent(self._word, limit), _Recent(self._part, limit // 2)
         form = json.loads(Path(path).read_text(encoding="utf-8"))
         norm = form["normalizer"] or {}
         split = (form["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
@@ -97,35 +145,27 @@ class CachedTokenizer:
         )
         self.letters, self.model = byte_letters(), self.tokenizer.model
 
-    def _plain_word(self, word: str) -> bytes:
-        out = []
-        for part in _PLAIN_SPLIT.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-                ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if self.plain and word.isascii():
+            # The usual cases of the split, without its patterns: letters, and letters before one sign.
+            if word.isalpha():
+                return self.parts[word.lower()]
+            if word[-1] in ".,!?;:" and word[:-1].isalpha():
+                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
+        if self.plain and _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, _PLAIN_SPLIT.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(new) > self.limit:
-            self.cache, self.parts = {"": b""}, {}
-            new = set().union(*split)
-        hard = []
-        for w in new:
-            if self.plain and _PLAIN.fullmatch(w) and "<|" not in w:
-                self.cache[w] = self._plain_word(w)
-            else:
-                hard.append(w)
-        for at in range(0, len(hard), 10_000):
-            part = hard[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
         get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
