@@ -2,7 +2,8 @@
 
 Documents are cut only where they exceed a sequence. Pieces are dealt to
 packers by a hash and come in hash order, so that long and short ones mix and a
-lost task packs the same way again. A packer keeps at most `open_bins` open
+lost task packs the same way again. The packers' unfilled sequences are packed
+again by fewer packers, down to one. A packer keeps at most `open_bins` open
 sequences, keyed by free space in one bitset; a piece goes to the fullest that
 it fits, and when too many are open the fullest closes.
 """
@@ -17,9 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stored
 from .common import cached_tokenizer, in_batches
 
 CAPACITY, OPEN_BINS = 4096, 1024
+# Tokens of a packer, how many packers' leavings one packer takes, and the free part (1 in SLACK) that counts as full.
+PACKER_TOKENS, FAN, SLACK = 1 << 24, 16, 64
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -81,28 +85,48 @@ class Packer:
         return got
 
 
-def _pack(capacity: int, open_bins: int):
+def _pack(capacity: int, open_bins: int, numbered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, task = Packer(capacity, open_bins), TaskContext.get().partitionId()
         for b in batches:
             placed = np.array([packer.place(n) for n in b.column("length").to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array((np.int64(task) << 40) + placed[:, 0]), pa.array(placed[:, 1])],
+                [*b.columns, pa.array((np.int64(numbered) << 56) + (np.int64(task) << 32) + placed[:, 0]), pa.array(placed[:, 1])],
                 names=[*b.schema.names, "sequence_id", "offset"],
             )
 
     return run
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, packer_tokens: int = PACKER_TOKENS) -> DataFrame:
     """Add sequence_id and offset to pieces of at most `capacity` tokens.
 
-    Sequence ids name the packer's task in their upper bits. Each packer leaves
-    at most `open_bins` sequences unfilled.
+    The number of packers follows from the total of tokens, `packer_tokens` for
+    each, and not from any setting of the session. A packer leaves at most
+    `open_bins` sequences open, and some that had to close early; the pieces of
+    all that are not full to 1 in SLACK are packed again by a FAN-th as many packers,
+    round by round, until one packer is left. So only the last round leaves open
+    sequences. Sequence ids name the round and the packer in their upper bits.
     """
+    parts = stored(parts, "pieces")
     rows = parts.withColumn("_h", F.xxhash64("id", "piece", "start", "ids_crc32"))
-    rows = rows.repartition("_h").sortWithinPartitions("_h", "id", "piece").drop("_h")
-    return rows.mapInArrow(_pack(capacity, open_bins), rows.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long")
+    kinds = rows.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long"
+    tokens = parts.agg(F.sum("length")).first()[0] or 0
+    packers, done, numbered = max(1, -(-tokens // packer_tokens)), None, 0
+    while True:
+        # One partition per packer, which a run-time change of the plan would not keep for a hashed column.
+        dealt = rows.repartitionById(packers, F.pmod("_h", F.lit(packers)).cast("int")).sortWithinPartitions("_h", "id", "piece")
+        packed = dealt.mapInArrow(_pack(capacity, open_bins, numbered), kinds)
+        if packers == 1:
+            out = packed if done is None else done.unionByName(packed)
+            return out.drop("_h")
+        packed = stored(packed, "packed")
+        fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("_fill"))
+        loose = fill.where(F.col("_fill") < capacity - capacity // SLACK).select("sequence_id")
+        full = packed.join(loose, "sequence_id", "left_anti").select(*rows.columns, "sequence_id", "offset")
+        done = full if done is None else done.unionByName(full)
+        rows = packed.join(loose, "sequence_id", "left_semi").select(*rows.columns)
+        packers, numbered = -(-packers // FAN), numbered + 1
 
 
 def sequences(packed: DataFrame) -> DataFrame:
