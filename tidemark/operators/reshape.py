@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 # How several long rows for one wide cell combine. "unique" fails on a second row.
-_COMBINE = {"unique": F.max, "max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg}
+_COMBINE = {"unique": "max", "max": "max", "min": "min", "sum": "sum", "mean": "avg"}
 
+from ..functions.binding import let
 from ..session import stored
 from .joins import null_safe_join
 
@@ -39,25 +40,26 @@ def pivot_wide(
     many = values if isinstance(values, dict) else {"": values}
     agg = _COMBINE[combine]
     key = F.col(name) if isinstance(name, str) else name
-    rows = df.select(*ids, key.alias("_level"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(many.values())])
-    cells, names = [], []
+    # The place of the level, from 1; 0 or null for others.
+    place = F.array_position(F.array(*[F.lit(v) for v in levels]), key) if levels else F.lit(0)
+    rows = df.select(*ids, place.alias("_k"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(many.values())])
+    cells, counts, names = [], [], []
     for k, level in enumerate(levels):
-        here = F.col("_level") == F.lit(level)
-        if combine == "unique":
-            cells.append(F.count_if(here).alias(f"_n{k}"))
+        counts.append(F.expr(f"count_if(_k = {k + 1}) AS _n{k}"))
         for i, part in enumerate(many):
-            cells.append(agg(F.when(here, F.col(f"_v{i}"))).alias(f"_c{k}_{i}"))
+            cells.append(F.expr(f"{agg}(if(_k = {k + 1}, _v{i}, null)) AS _c{k}_{i}"))
             names.append(label.format(level=level, value=part))
-    wide = rows.groupBy(*ids).agg(*cells) if cells else rows.select(*ids).distinct()
-    out = []
-    for k, level in enumerate(levels):
-        for i in range(len(many)):
-            cell = F.col(f"_c{k}_{i}")
-            if combine == "unique":
-                told = _cell_name("more than one row for cell", [*[F.col(f"`{c}`") for c in ids], F.lit(str(level))])
-                cell = F.when(F.col(f"_n{k}") > 1, F.raise_error(told).cast(wide.schema[f"_c{k}_{i}"].dataType)).otherwise(cell)
-            out.append(cell)
-    wide = wide.select(*[F.col(f"`{c}`") for c in ids], *[c.alias(n) for c, n in zip(out, names)])
+    keys = [F.col(f"`{c}`") for c in ids]
+    if not cells:
+        return rows.select(*keys).distinct()
+    wide = rows.groupBy(*keys).agg(*cells, *(counts if combine == "unique" else []))
+    if combine == "unique":
+        # A filter holds the check, as a column may be pruned.
+        place = F.expr(f"array_position(array({', '.join(f'_n{k} > 1' for k in range(len(levels)))}), true)")
+        at = F.get(F.array(*[F.lit(str(v)) for v in levels]), (place - 1).cast("int"))
+        told = F.raise_error(_cell_name("more than one row for cell", [*keys, at])).cast("boolean")
+        wide = wide.where(F.when(place > 0, told).otherwise(True))
+    wide = wide.select(*keys, *[F.col(f"_c{k}_{i}") for k in range(len(levels)) for i in range(len(many))]).toDF(*ids, *names)
     return wide if fill is None else wide.fillna(fill, subset=names)
 
 
@@ -160,29 +162,33 @@ def complete_grid(
         F.collect_list(F.when(is_cell & listed, entry)).alias("_cells"),
         F.collect_list(F.when(is_cell & ~listed, entry)).alias("_others"),
     )
-    keys = F.transform("_cells", lambda e: e["k"])
-    twice = F.filter(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1)
     keyed = [F.col(f"`{b}`") for b in by]
+    kind = cells.schema["_cells"].dataType
 
     def failing(text: str, first: Column) -> Column:
-        return F.raise_error(_cell_name(text, [*keyed, *[first[n] for n in names]])).cast(cells.schema["_cells"].dataType)
+        return F.raise_error(_cell_name(text, [*keyed, *[first[n] for n in names]])).cast(kind)
+
+    def unique(keys: Column) -> Column:
+        """The cells, or an error that names a key that occurs twice; `keys` are sorted."""
+        place = F.array_position(F.transform(keys, lambda k, i: (i > 0) & F.coalesce(k == F.get(keys, i - 1), F.lit(False))), True)
+        return F.when(place > 0, failing("more than one row for cell", F.get(keys, (place - 1).cast("int")))).otherwise(F.col("_cells"))
 
-    checked = F.when(F.size(F.array_distinct(keys)) < F.size("_cells"), failing("more than one row for cell", twice[0])).otherwise(F.col("_cells"))
+    checked = let(F.array_sort(F.transform("_cells", lambda e: e["k"])), unique)
     if unlisted == "fail":
         checked = F.when(F.size("_others") > 0, failing("level not listed in cell", F.col("_others")[0]["k"])).otherwise(checked)
-    cells = cells.withColumn("_at", F.map_from_entries(checked))
     for i, (n, v) in enumerate(levels.items()):
         cells = cells.withColumn(f"_d{i}", level_dictionary(df, n) if v is None else _level_array(df, n, v))
 
-    def combinations(i: int, chosen: list[Column]) -> Column:
+    def combinations(at: Column, i: int, chosen: list[Column]) -> Column:
         if i == len(names):
             k = F.struct(*[c.alias(n) for n, c in zip(names, chosen)])
-            return F.array(F.struct(k.alias("k"), F.try_element_at("_at", k).alias("v")))
-        return F.flatten(F.transform(F.col(f"_d{i}"), lambda x: combinations(i + 1, [*chosen, x])))
+            return F.array(F.struct(k.alias("k"), F.try_element_at(at, k).alias("v")))
+        return F.flatten(F.transform(F.col(f"_d{i}"), lambda x: combinations(at, i + 1, [*chosen, x])))
 
-    grid = combinations(0, [])
+    grid = let(F.map_from_entries(checked), lambda at: combinations(at, 0, []))
     every = F.concat(grid, F.col("_others")) if unlisted == "keep" else grid
-    out = cells.select(*by, F.explode(every).alias("_e"))
+    # The outer form: the plain one adds a filter on its size, for which all cells would be built twice.
+    out = cells.select(*by, F.explode_outer(every).alias("_e")).where(F.col("_e").isNotNull())
     out = out.select(*by, *[F.col(f"_e.k.{n}").alias(n) for n in names], *[F.col(f"_e.v.{c}").alias(c) for c in rest])
     for col, value in (fill or {}).items():
         out = out.withColumn(col, F.coalesce(F.col(col), F.lit(value)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import let
 from ..functions.stats import Z90, Z95
 
 # Bounds of log sigma, and the search: a grid, then finer ones around the best point.
@@ -84,26 +85,40 @@ def _smoothed(path: Column) -> Column:
     return F.aggregate(F.reverse(F.slice(path, F.lit(1), F.size(path) - 1)), end, back)
 
 
-def _search(fits: DataFrame, log_sigma: float | None) -> DataFrame:
-    """log_sigma with the least negative log likelihood, and how it was reached (`fit`)."""
-    if log_sigma is not None:
-        return fits.withColumn("log_sigma", F.lit(float(log_sigma))).withColumn("fit", F.lit("fixed"))
-    out = fits.withColumn("_lo", F.lit(LOW)).withColumn("_hi", F.lit(HIGH))
-    for _ in range(ROUNDS):
-        step = (F.col("_hi") - F.col("_lo")) / (GRID - 1)
-        points = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda k: F.col("_lo") + step * k)
-        tried = F.transform(points, lambda s: F.struct(negative_log_likelihood(F.col("_series"), s).alias("nll"), s.alias("s")))
-        out = out.withColumn("_best", F.array_min(tried)["s"]).withColumn("_step", step)
-        out = out.withColumn("_lo", F.greatest(F.lit(LOW), F.col("_best") - F.col("_step")))
-        out = out.withColumn("_hi", F.least(F.lit(HIGH), F.col("_best") + F.col("_step")))
-    one = F.col("_surveys") < 2
-    fit = (
-        F.when(one, "one survey")
-        .when(F.col("_best") <= LOW, "low bound")
-        .when(F.col("_best") >= HIGH, "high bound")
-        .otherwise("inside")
-    )
-    return out.withColumn("log_sigma", F.when(one, F.lit(LOW)).otherwise(F.col("_best"))).withColumn("fit", fit)
+def _search(series: Column) -> Column:
+    """log sigma with the least negative log likelihood."""
+
+    def refine(s: Column, _: Column) -> Column:
+        step = (s["hi"] - s["lo"]) / (GRID - 1)
+        points = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda k: s["lo"] + step * k)
+        tried = F.transform(points, lambda x: F.struct(negative_log_likelihood(series, x).alias("nll"), x.alias("s")))
+        return let(F.array_min(tried)["s"], lambda best: _bounds(F.greatest(F.lit(LOW), best - step), F.least(F.lit(HIGH), best + step), best))
+
+    def _bounds(lo: Column, hi: Column, best: Column) -> Column:
+        return F.struct(lo.alias("lo"), hi.alias("hi"), best.alias("best"))
+
+    start = _bounds(F.lit(LOW), F.lit(HIGH), F.lit(0.0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, refine, lambda s: s["best"])
+
+
+def _fit(series: Column, surveys: Column, log_sigma: float | None) -> Column:
+    """log_sigma, how it was reached, and per log sigma around it the likelihood and the smoothed path."""
+
+    def around(best: Column) -> Column:
+        if log_sigma is not None:
+            how = F.lit("fixed")
+        else:
+            how = F.when(surveys < 2, "one survey").when(best <= LOW, "low bound").when(best >= HIGH, "high bound").otherwise("inside")
+        three = F.array(best - H, best, best + H)
+        return F.struct(
+            best.alias("log_sigma"),
+            how.alias("fit"),
+            F.transform(three, lambda s: negative_log_likelihood(series, s)).alias("nll"),
+            F.transform(three, lambda s: _smoothed(_filtered(series, s))).alias("path"),
+        )
+
+    best = F.lit(float(log_sigma)) if log_sigma is not None else F.when(surveys < 2, F.lit(LOW)).otherwise(_search(series))
+    return let(best, around)
 
 
 def smooth_random_walk(
@@ -150,40 +165,39 @@ def smooth_random_walk(
     )
     fits = fits.withColumn("_last", F.greatest(F.col("_last"), F.lit(end_year).cast("int")))
     fits = fits.withColumn("_years", F.transform(F.sequence("_first", "_last"), lambda y: F.struct(y.alias("year"), F.try_element_at("_at", y).alias("e"))))
-    fits = fits.withColumn("_series", F.transform(F.filter("_years", lambda x: x["year"] >= F.col("_from")), lambda x: x["e"]))
-    fits = fits.select(*strata, "_years", "_series", "_from", "_surveys")
-
-    some = _search(fits.where(F.col("_from").isNotNull()), log_sigma)
-    around = F.transform(F.array(F.lit(-H), F.lit(0.0), F.lit(H)), lambda d: F.col("log_sigma") + d)
-    some = some.withColumn("_nll", F.transform(around, lambda s: negative_log_likelihood(F.col("_series"), s)))
-    some = some.withColumn("_path", F.transform(around, lambda s: _smoothed(_filtered(F.col("_series"), s))))
-    # The reported SD also carries the uncertainty of log sigma (delta method).
-    nll = F.col("_nll")
-    curve = (nll[2] - 2 * nll[1] + nll[0]) / (H * H)
-    some = some.withColumn("_curve", F.when((curve > 1e-8) & (F.col("fit") != "fixed"), curve))
-
-    def year_rows(x: Column, i: Column) -> Column:
-        at = i - (F.size("_years") - F.size("_series"))
-        low, mid, high = [F.when(at >= 0, F.get(F.col("_path")[k], at)) for k in range(3)]
-        slope = (high["m"] - low["m"]) / (2 * H)
-        extra = F.coalesce(slope * slope / F.col("_curve"), F.lit(0.0))
-        return F.struct(
-            x["year"].alias("year"),
-            x["e"]["obs"].alias("obs"),
-            x["e"]["obs_cv"].alias("obs_cv"),
-            mid["m"].alias("log_est"),
-            F.sqrt(mid["c"] + extra).alias("log_sd"),
-            F.sqrt(mid["c"]).alias("sd_conditional"),
-        )
-
-    rows = some.select(*strata, F.inline(F.transform("_years", year_rows)), "log_sigma", nll[1].alias("nll"), "fit")
-    none = fits.where(F.col("_from").isNull()).select(*strata, F.explode("_years").alias("x"))
-    nothing = F.lit(None).cast("double")
-    none = none.select(
-        *strata, "x.year", "x.e.obs", "x.e.obs_cv", *[nothing.alias(c) for c in ("log_est", "log_sd", "sd_conditional", "log_sigma", "nll")], F.lit("no survey").alias("fit")
-    )
+    series = F.transform(F.filter("_years", lambda x: x["year"] >= F.col("_from")), lambda x: x["e"])
+    fits = fits.select(*strata, "_years", series.alias("_series"), "_from", "_surveys")
+
+    def year_rows(f: Column) -> Column:
+        # The reported SD also carries the uncertainty of log sigma (delta method).
+        nll, path = f["nll"], f["path"]
+        curve = (nll[2] - 2 * nll[1] + nll[0]) / (H * H)
+        curve = F.when((curve > 1e-8) & (f["fit"] != "fixed"), curve)
+        before = F.size("_years") - F.size(path[1])
+
+        def row(x: Column, i: Column) -> Column:
+            low, mid, high = [F.when(i >= before, F.get(path[k], i - before)) for k in range(3)]
+            slope = (high["m"] - low["m"]) / (2 * H)
+            extra = F.coalesce(slope * slope / curve, F.lit(0.0))
+            return F.struct(
+                x["year"].alias("year"),
+                x["e"]["obs"].alias("obs"),
+                x["e"]["obs_cv"].alias("obs_cv"),
+                mid["m"].alias("log_est"),
+                F.sqrt(mid["c"] + extra).alias("log_sd"),
+                F.sqrt(mid["c"]).alias("sd_conditional"),
+                f["log_sigma"].alias("log_sigma"),
+                nll[1].alias("nll"),
+                F.coalesce(f["fit"], F.lit("no survey")).alias("fit"),
+            )
+
+        return F.transform("_years", row)
+
+    fitted = let(F.col("_series"), lambda s: F.when(F.col("_surveys") > 0, _fit(s, F.col("_surveys"), log_sigma)))
+    # The outer form: the plain one adds a filter on its size, for which the whole fit would be computed once more.
+    rows = fits.select(*strata, F.inline_outer(let(fitted, year_rows)))
     limits = {"lci": -Z95, "uci": Z95, "low90": -Z90, "upp90": Z90}
-    return rows.unionByName(none).select(
+    return rows.select(
         *strata,
         "year",
         "obs",
