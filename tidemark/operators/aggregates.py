@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import strict_sum
 from ..functions.rounding import round_away
-from .joins import measured, null_safe_join
+from .joins import measured, null_safe_join, with_scalar
 
 
 def sum_by(df: DataFrame, by: list, value, out: str, strict: bool = False) -> DataFrame:
@@ -26,6 +26,38 @@ def additive_variance(df: DataFrame, by: list[str], mean: str, variance: str, pr
     return out.withColumn(f"{prefix}_cv", F.try_divide(F.sqrt(f"{prefix}_var"), F.col(prefix)))
 
 
+def distinct_bitmaps(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Exact sets of an integer key per group: (by..., bucket, ids), mergeable without another scan.
+
+    A bucket spans 32,768 keys and its set is one bitmap of 4 KB, combined before
+    the shuffle; a hot group spreads over its buckets. Null keys are in no set.
+    """
+    k = F.col(key).cast("long")
+    return df.where(k.isNotNull()).groupBy(*by, F.bitmap_bucket_number(k).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("ids")
+    )
+
+
+def distinct_in(bitmaps: DataFrame, by: list[str], out: str = "n") -> DataFrame:
+    """Distinct keys per coarser group: bitmaps of a bucket or-ed, then counted."""
+    merged = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("ids").alias("ids"))
+    return merged.groupBy(*by).agg(F.sum(F.bitmap_count("ids")).alias(out))
+
+
+def distinct_in_spans(bitmaps: DataFrame, by: list[str], year: str, out: str = "n") -> DataFrame:
+    """Distinct keys in every span first..last of calendar years, as (by..., first, last, out).
+
+    Spans run over all years from the earliest to the latest of a group; each
+    bitmap is fanned out to the spans that hold its year, bounded by the calendar.
+    A missing year is in no span.
+    """
+    known = bitmaps.where(F.col(year).isNotNull())
+    ends = known.groupBy(*by).agg(F.min(year).alias("_low"), F.max(year).alias("_high"))
+    placed = null_safe_join(known, ends, by) if by else with_scalar(known, ends, "_low", "_high")
+    fanned = placed.withColumn("first", F.explode(F.sequence("_low", year))).withColumn("last", F.explode(F.sequence(year, "_high")))
+    return distinct_in(fanned, [*by, "first", "last"], out)
+
+
 def crosstab(df: DataFrame, row: str, col: str, col_values: list) -> DataFrame:
     """Counts of row by column value, one column per listed value."""
     return df.groupBy(row).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(str(v)) for v in col_values])

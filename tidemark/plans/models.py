@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rounding import round_by_size, round_even, value_sd_text
 from ..operators.filters import beyond
+from ..operators.joins import null_safe_join, with_scalar
 from ..operators.reshape import pivot_wide, unpivot_long
 from ..operators.windows import rescale_min
 
@@ -161,6 +162,35 @@ def profile_surface(likelihoods: DataFrame, x: str, y: str, cut: float, by: list
     return out.select(*by, x, y, "delta", (F.col("delta") == 0).alias("best"), (F.col("delta") <= cut).alias("inside"))
 
 
+def profile_matrix(surface: DataFrame, x: str, y: str, levels: list, by: list[str] = ()) -> DataFrame:
+    """The rescaled likelihoods as a matrix: one row per x, one column per stated level of y."""
+    return pivot_wide(surface, [*by, x], y, "delta", levels, label=f"{y}_{{level}}")
+
+
+def profile_contour(surface: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
+    """Edge of the inside set: inside cells with fewer than eight inside neighbours.
+
+    Returns (by..., x, y, near, at_border): inside neighbours, and whether the cell lies on
+    the border of the grid, where the set may go on. Neighbours are next to each other among
+    the values met on each axis (a grid has as many as runs were made). A cell given twice is
+    inside if one of its rows is; a cell without a place is left out.
+    """
+    by = list(by)
+    cells = surface.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(
+        F.coalesce(F.bool_or("inside"), F.lit(False)).alias("_in")
+    )
+    axes = cells.groupBy(*by).agg(F.array_sort(F.collect_set(x)).alias("_xs"), F.array_sort(F.collect_set(y)).alias("_ys"))
+    cells = null_safe_join(cells, axes, by) if by else with_scalar(cells, axes, "_xs", "_ys")
+    i, j = F.array_position("_xs", F.col(x)), F.array_position("_ys", F.col(y))
+    border = (i == 1) | (j == 1) | (i == F.size("_xs")) | (j == F.size("_ys"))
+    placed = cells.select(*by, x, y, "_in", i.alias("_i"), j.alias("_j"), border.alias("at_border"))
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+    reached = F.array(*[F.struct((F.col("_i") + a).alias("_i"), (F.col("_j") + b).alias("_j")) for a, b in steps])
+    near = placed.where("_in").select(*by, F.inline(reached)).groupBy(*by, "_i", "_j").agg(F.count(F.lit(1)).alias("near"))
+    edge = null_safe_join(placed.where("_in"), near, [*by, "_i", "_j"], "left")
+    return edge.select(*by, x, y, F.coalesce("near", F.lit(0).cast("long")).alias("near"), "at_border").where(F.col("near") < len(steps))
+
+
 def mohns_rho(df: DataFrame, by: list[str] = ("quantity",)) -> DataFrame:
     """Mean over peels of (peel at its terminal year / full run) - 1.
 

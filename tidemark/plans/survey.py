@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import recode
 from ..functions.stats import cv, limits
+from ..operators.aggregates import distinct_bitmaps, distinct_in_spans
 from ..operators.reshape import pivot_wide
 
 # Survey area spellings to one form (fixed values).
@@ -114,6 +115,15 @@ def hauls_per_year(sources: dict[str, DataFrame], drop_areas: list[int] = (), by
     return out
 
 
+def hauls_by_span(df: DataFrame, drop_areas: list[int] = (), by: list[str] = ()) -> DataFrame:
+    """Distinct hauls in every span of years, from one scan: (by..., first, last, hauls).
+
+    df: (by..., year, haul, area); haul is an integer.
+    """
+    rows = df.where(~F.coalesce(F.col("area").isin(list(drop_areas)), F.lit(False))) if drop_areas else df
+    return distinct_in_spans(distinct_bitmaps(rows, [*by, "year"], "haul"), list(by), "year", "hauls")
+
+
 def haul_key(*parts: Column) -> Column:
     """A haul key kept as exact text, never as a floating number."""
     return F.concat_ws("", *[p.cast("string") for p in parts])

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.joins import null_safe_join
+
 
 def snapshot(df: DataFrame, path: str, pull_date: str, fmt: str = "parquet", mode: str = "errorifexists") -> str:
     """Dated snapshot: a pull_date=... folder under path. The date is a parameter."""
@@ -44,30 +46,29 @@ def tagged_lines(
 
     `heads` are one-line sections computed per key: (label, aggregate giving
     the text). `sections` list one value per line in `order`: (label, column).
+    One grouped pass over `df` makes both the row of each key, which carries
+    labels and heads, and the rows of its values; one explode makes the lines,
+    so a key's lines spread over tasks. Repeated rows give repeated lines.
     """
-    keys = df.select(*by).distinct()
-    parts = []
-    n = 0
-    for label, agg in heads:
-        parts.append(keys.select(*by, F.lit(n).alias("part"), F.lit(0.0).alias("place"), F.lit(label).alias("value")))
-        text = df.groupBy(*by).agg(agg.alias("value"))
-        parts.append(text.select(*by, F.lit(n + 1).alias("part"), F.lit(0.0).alias("place"), "value"))
-        n += 2
-    for label, col in sections:
-        parts.append(keys.select(*by, F.lit(n).alias("part"), F.lit(0.0).alias("place"), F.lit(label).alias("value")))
-        parts.append(
-            df.select(
-                *by,
-                F.lit(n + 1).alias("part"),
-                F.col(order).cast("double").alias("place"),
-                F.col(col).cast("string").alias("value"),
-            )
-        )
-        n += 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells = {"_place": F.col(order).cast("double")} | {f"_c{i}": F.col(c).cast("string") for i, (_, c) in enumerate(sections)}
+    grouped = df.withColumns(cells).groupingSets([[*by, *cells], [*by]], *by, *cells)
+    rows = grouped.agg(
+        F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("_rows"), *[agg.cast("string").alias(f"_h{i}") for i, (_, agg) in enumerate(heads)]
+    )
+
+    def line(part: int, place: Column, value: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), place.alias("place"), value.alias("value"))
+
+    zero, k = F.lit(0.0), 2 * len(heads)
+    fixed = [line(2 * i, zero, F.lit(label)) for i, (label, _) in enumerate(heads)]
+    fixed += [line(2 * i + 1, zero, F.col(f"_h{i}")) for i in range(len(heads))]
+    fixed += [line(k + 2 * i, zero, F.lit(label)) for i, (label, _) in enumerate(sections)]
+    listed = [line(k + 2 * i + 1, F.col("_place"), F.col(f"_c{i}")) for i in range(len(sections))]
+    # Level 0 groups by the row itself.
+    lines = F.when(F.col("_level") == 0, F.array(*listed)).otherwise(F.array(*fixed))
+    times = F.when(F.col("_level") == 0, F.col("_rows")).otherwise(1)
+    many = rows.select(*by, lines.alias("_lines"), F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_copy"))
+    return many.select(*by, F.inline("_lines"))
 
 
 def replace_after_marker(
@@ -103,26 +104,21 @@ def vector_lines(df: DataFrame, by: list[str], order: str, fields: list[tuple[st
 
     Each field is (name, description, column). Values are packed `chunk` to a
     line by their place (order - the key's first), so long vectors wrap over
-    several lines and no task concatenates a whole vector.
+    several lines and no task concatenates a whole vector. One grouped pass
+    makes the lines of all fields.
     """
     first = df.groupBy(*by).agg(F.min(order).alias("_first"))
-    placed = df.join(first, by).withColumn("_row", F.floor((F.col(order) - F.col("_first")) / chunk).cast("long"))
-    keys = df.select(*by).distinct()
-    out = None
-    for i, (name, text, col) in enumerate(fields):
-        head = keys.select(
-            *by, F.lit(2 * i).alias("part"), F.lit(0).cast("long").alias("place"), F.lit(f"#{name} - {text}").alias("value")
-        )
-        packed = placed.groupBy(*by, "_row").agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("string").alias("v")))),
-                    lambda s: s["v"],
-                ),
-                " ",
-            ).alias("value")
-        )
-        body = packed.select(*by, F.lit(2 * i + 1).alias("part"), F.col("_row").alias("place"), "value")
-        both = head.unionByName(body)
-        out = both if out is None else out.unionByName(both)
-    return out
+    placed = null_safe_join(df, first, by).withColumn("_row", F.floor((F.col(order) - F.col("_first")) / chunk).cast("long"))
+    values = F.struct(F.col(order).alias("o"), *[F.col(c).cast("string").alias(f"v{i}") for i, (_, _, c) in enumerate(fields)])
+    packed = placed.groupBy(*by, "_first", "_row").agg(F.array_sort(F.collect_list(values)).alias("_v"))
+
+    def line(part: int, place: Column, value: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), place.alias("place"), value.alias("value"))
+
+    heads, bodies = [], []
+    for i, (name, text, _) in enumerate(fields):
+        heads.append(line(2 * i, F.lit(0).cast("long"), F.lit(f"#{name} - {text}")))
+        bodies.append(line(2 * i + 1, F.col("_row"), F.array_join(F.col(f"_v.v{i}"), " ")))
+    # The first chunk holds the least place; a key without any place has one chunk.
+    opens = F.coalesce(F.col("_row") == 0, F.col("_first").isNull())
+    return packed.select(*by, F.inline(F.when(opens, F.array(*heads, *bodies)).otherwise(F.array(*bodies))))

@@ -88,22 +88,39 @@ def catalog_columns(spark: SparkSession, pattern: str = ".*", table_pattern: str
     )
 
 
-def column_search(tables: dict[str, DataFrame], pattern: str) -> DataFrame:
-    """Columns whose names match, with their types and how many values each holds."""
+def footer_search(spark: SparkSession, paths: dict[str, str], pattern: str) -> DataFrame:
+    """Columns of Parquet tables whose names match, with type, number of values and of nulls.
+
+    paths: table name -> path. The counts come from the row-group statistics in
+    the file footers, read by tasks in parallel: a count over Parquet is pushed
+    into the scan and no column data are read. That is a setting of the session,
+    so the search runs in a sister session. Nested columns hold no such count and
+    are scanned, by themselves.
+    """
+    sister = spark.newSession()
+    sister.conf.set("spark.sql.sources.useV1SourceList", "")
+    sister.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     out = None
-    for name, df in tables.items():
+    for name, path in paths.items():
+        df = sister.read.parquet(path)
         found = [(c, k) for c, k in df.dtypes if re.search(pattern, c)]
-        if not found:
-            continue
-        counts = df.agg(*[F.count(c).alias(c) for c, _ in found])
-        rows = F.array(
-            *[
-                F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("data_type"), F.col(c).alias("n_values"))
-                for c, k in found
-            ]
-        )
-        one = counts.select(F.lit(name).alias("table_name"), F.explode(rows).alias("r")).select("table_name", "r.*")
-        out = one if out is None else out.unionByName(one)
+        nested = [(c, k) for c, k in found if k.startswith(("array", "map", "struct", "variant"))]
+        for columns in ([f for f in found if f not in nested], nested):
+            if columns:
+                one = _column_counts(df, name, columns)
+                out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError(f"no column matches {pattern}")
     return out
+
+
+def _column_counts(df: DataFrame, name: str, columns: list[tuple[str, str]]) -> DataFrame:
+    counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, (c, _) in enumerate(columns)])
+    rows = [
+        F.struct(
+            F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(k).alias("data_type"),
+            F.col(f"_n{i}").alias("n_values"), (F.col("_rows") - F.col(f"_n{i}")).alias("n_nulls"),
+        )
+        for i, (c, k) in enumerate(columns)
+    ]
+    return counts.select(F.inline(F.array(*rows)))

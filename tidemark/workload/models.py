@@ -157,20 +157,39 @@ def _(t):
     return out.withColumn("at", r("at"))
 
 
-@query(
-    "profile_2d",
-    """WITH m AS (SELECT avg(o_totalprice) / 50000 AS a, stddev_samp(o_totalprice) / 50000 AS b FROM orders),
-       g AS (SELECT i AS q, j AS m, (a - i) * (a - i) * 0.7 + (b - j) * (b - j) AS v FROM m, (SELECT unnest(generate_series(1, 10)) AS i), (SELECT unnest(generate_series(1, 10)) AS j))
-       SELECT q, m, round(v - min(v) OVER (), 6) AS delta, v = min(v) OVER () AS best, v - min(v) OVER () <= 1.920729 AS inside FROM g""",
-)
-def _(t):
+SURFACE = """m AS (SELECT avg(o_totalprice) / 50000 AS a, stddev_samp(o_totalprice) / 50000 AS b FROM orders),
+       g AS (SELECT i AS q, j AS m, (a - i) * (a - i) * 0.7 + (b - j) * (b - j) AS v FROM m, (SELECT unnest(generate_series(1, 10)) AS i), (SELECT unnest(generate_series(1, 10)) AS j)),
+       s AS (SELECT q, m, round(v - min(v) OVER (), 6) AS delta, v = min(v) OVER () AS best, v - min(v) OVER () <= 1.920729 AS inside FROM g)"""
+
+
+def _surface(t):
     base = t.orders.agg((F.avg("o_totalprice") / 50000).alias("a"), (F.stddev_samp("o_totalprice") / 50000).alias("b"))
     steps = F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))
     g = joins.expand_grid(base, q=steps, m=steps)
     da, db = F.col("a") - F.col("q"), F.col("b") - F.col("m")
     like = g.select(F.lit("TOTAL").alias("label"), "q", "m", (da * da * 0.7 + db * db).alias("value"))
-    out = md.profile_surface(like, "q", "m", PROFILE_CUT)
-    return out.withColumn("delta", r("delta"))
+    return md.profile_surface(like, "q", "m", PROFILE_CUT).withColumn("delta", r("delta"))
+
+
+query("profile_2d", f"WITH {SURFACE} SELECT * FROM s")(_surface)
+
+
+@query(
+    "profile_2d_matrix",
+    f"WITH {SURFACE} SELECT q, {', '.join(f'max(delta) FILTER (m = {k}) AS m_{k}' for k in range(1, 11))} FROM s GROUP BY q",
+)
+def _(t):
+    return md.profile_matrix(_surface(t), "q", "m", list(range(1, 11)))
+
+
+@query(
+    "profile_2d_contour",
+    f"""WITH {SURFACE}, i AS (SELECT q, m FROM s WHERE inside),
+        n AS (SELECT a.q, a.m, count(b.q) AS near FROM i a LEFT JOIN i b ON abs(a.q - b.q) <= 1 AND abs(a.m - b.m) <= 1 AND (a.q <> b.q OR a.m <> b.m) GROUP BY ALL)
+        SELECT q, m, near, q IN (1, 10) OR m IN (1, 10) AS at_border FROM n WHERE near < 8""",
+)
+def _(t):
+    return md.profile_contour(_surface(t), "q", "m")
 
 
 @query(

@@ -109,6 +109,17 @@ def _(t):
     return sv.hauls_per_year({"foreign": a, "domestic": b}, drop_areas=[7, 9])
 
 
+@query(
+    "hauls_by_span",
+    """WITH h AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year, l_orderkey FROM lineitem WHERE l_suppkey NOT IN (7, 9)),
+            y AS (SELECT CAST(unnest(generate_series((SELECT min(year) FROM h), (SELECT max(year) FROM h))) AS INTEGER) AS year)
+       SELECT a.year AS first, b.year AS last, count(DISTINCT l_orderkey) AS hauls FROM y a JOIN y b ON a.year <= b.year JOIN h ON h.year BETWEEN a.year AND b.year GROUP BY ALL""",
+)
+def _(t):
+    rows = t.lineitem.select(F.year("l_shipdate").alias("year"), F.col("l_orderkey").alias("haul"), F.col("l_suppkey").alias("area"))
+    return sv.hauls_by_span(rows, drop_areas=[7, 9])
+
+
 # --- compositions -----------------------------------------------------------
 FISHERY = f"""{LENGTHS}, c AS (SELECT year, CASE WHEN sex = 'F' THEN 1 ELSE 2 END AS sex, CAST(least(greatest(floor(length / 2) * 2, 6), 70) AS INTEGER) AS bin, sum(number) AS n FROM lengths GROUP BY ALL),
   s AS (SELECT year, sex, bin, n / sum(n) OVER (PARTITION BY year) AS f FROM c),

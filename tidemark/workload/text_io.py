@@ -76,7 +76,8 @@ SEARCHED = {"orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l
     ),
 )
 def _(t):
-    return tables.column_search({name: getattr(t, name) for name in SEARCHED}, "key$|^user")
+    found = tables.footer_search(t.spark, {name: f"{t.folder}/{name}.parquet" for name in SEARCHED}, "key$|^user")
+    return found.select("table_name", "column_name", "data_type", "n_values")
 
 
 @query("src_table_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1")
@@ -188,15 +189,15 @@ def _vector_files(t: Tables, labels: list[tuple[str, str]], prefix: str = "") ->
     s = survey(t).withColumn("cv", cv("variance", "biomass")).select(
         F.col("area").alias("file"), "year", r("biomass", 2).alias("biomass"), r("cv", 6).alias("cv")
     )
-    out = None
-    for i, (label, col) in enumerate(labels):
-        # A vector is one value per calendar year of one area.
-        ordered = F.array_sort(F.collect_list(F.struct("year", F.col(col).cast("string").alias("v"))))
-        vec = s.groupBy("file").agg(F.concat(F.lit(" "), F.array_join(F.transform(ordered, lambda x: x["v"]), " ")).alias("value"))
-        both = _fixed_lines(s.select("file").distinct(), "file", 2 * i, [prefix + label]).unionByName(
-            vec.select("file", F.lit(2 * i + 1).alias("part"), F.lit(0.0).alias("place"), "value")
-        )
-        out = both if out is None else out.unionByName(both)
+    # A vector is one value per calendar year of one area; all vectors come from one grouping.
+    values = F.struct("year", *[F.col(col).cast("string").alias(f"v{i}") for i, (_, col) in enumerate(labels)])
+    rows = s.groupBy("file").agg(F.array_sort(F.collect_list(values)).alias("_v"))
+    lines = []
+    for i, (label, _) in enumerate(labels):
+        joined = F.concat(F.lit(" "), F.array_join(F.col(f"_v.v{i}"), " "))
+        for part, value in ((2 * i, F.lit(prefix + label)), (2 * i + 1, joined)):
+            lines.append(F.struct(F.lit(part).alias("part"), F.lit(0.0).alias("place"), value.alias("value")))
+    out = rows.select("file", F.inline(F.array(*lines)))
     return _report_files(t, out, "vectors")
 
 
