@@ -51,15 +51,12 @@ def _key(length: Column, i: int, part: Column) -> Column:
     return F.xxhash64(length, F.lit(i), part)
 
 
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    """(key, seg): what a line is found under."""
-    k = threshold + 1
-    one = lambda i: F.struct(_key(n, i, F.substring(line, *_cuts(n, k, i))).alias("key"), F.lit(i).alias("seg"))
-    return F.array(*[one(i) for i in range(1, k + 1)])
+def keys(line: Column, n: Column, threshold: int) -> Column:
+    """(key, seg, less) under which lines of this length or `less` shorter may be found.
 
-
-def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """(key, seg, less) under which lines of this length or `less` shorter may be found."""
+    A line's own segments at their own places are what it is found under; these
+    keys, which it probes too, have `less` -1.
+    """
     k, out = threshold + 1, []
     for less in range(threshold + 1):
         for i in range(1, k + 1):
@@ -67,7 +64,7 @@ def probe_keys(line: Column, n: Column, threshold: int) -> Column:
             for shift in range(-(i - 1), i):
                 if abs(shift - less) <= k - i:
                     key = _key(n - less, i, F.substring(line, start + shift, size))
-                    out.append(F.struct(key.alias("key"), F.lit(i).alias("seg"), F.lit(less).alias("less")))
+                    out.append(F.struct(key.alias("key"), F.lit(i).alias("seg"), F.lit(less if less or shift else -1).alias("less")))
     return F.array_distinct(F.array(*out))
 
 
@@ -119,7 +116,7 @@ def _may_be_one_edit(a: Column, b: Column) -> Column:
 
 def _cells(line: Column, less: Column, start: Column, end: Column) -> Column:
     """(key, start, end) of the cells of [start, end), a range of the shorter line, where a
-    key holds all characters outside its cell. An index row has `less` -1."""
+    key holds all characters outside its cell. A line's own rows have `less` -1."""
     wider = F.greatest(less, F.lit(0))
     size = end - start
     many = F.least(F.lit(CELLS), size)
@@ -135,10 +132,10 @@ def _cells(line: Column, less: Column, start: Column, end: Column) -> Column:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """(pos, less, key) -> pairs of an index row and a probe of one key."""
+    """(pos, less, key) -> pairs of a line found under a key and one that probes it; two found under it meet once."""
     index = rows.where("less < 0").select("key", "pos")
-    probe = rows.where("less >= 0").select("key", F.col("pos").alias("by"))
-    met = index.join(probe, "key").where(F.col("pos") != F.col("by"))
+    probe = rows.select("key", F.col("pos").alias("by"), "less")
+    met = index.join(probe, "key").where(F.when(F.col("less") < 0, F.col("pos") < F.col("by")).otherwise(F.col("pos") != F.col("by")))
     return met.select(F.least("pos", "by").alias("a"), F.greatest("pos", "by").alias("b"))
 
 
@@ -176,7 +173,7 @@ def _crowded_pairs(lines: DataFrame, rows: DataFrame) -> DataFrame:
         cut = F.inline(_cells(F.col("line"), F.col("less"), F.col("start"), F.col("end")))
         fine = stored(rows.join(texts, "pos").select("pos", "less", cut), "cells")
         met = fine.groupBy("key").agg(
-            F.count_if(F.col("less") >= 0).alias("probes"), F.count_if(F.col("less") < 0).alias("found"), F.max(F.col("end") - F.col("start")).alias("size")
+            F.count(F.lit(1)).alias("probes"), F.count_if(F.col("less") < 0).alias("found"), F.max(F.col("end") - F.col("start")).alias("size")
         )
         met = stored(met.where("found > 0 and probes > 1").select("key", ((F.col("probes") > CROWD) & (F.col("size") > 1)).alias("more")), "met")
         last = level == LEVELS - 1
@@ -192,11 +189,10 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
     """
     n = F.char_length("line")
     fit = lines.where(n >= max(min_chars, threshold + 1))
-    index = fit.select("pos", F.inline(index_keys(F.col("line"), n, threshold))).withColumn("less", F.lit(-1))
-    probe = fit.select("pos", F.inline(probe_keys(F.col("line"), n, threshold)))
-    # A line probes its own keys too, so a key with one probe joins nothing.
-    shared = stored(probe.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    rows = stored(index.unionByName(probe).join(shared, "key").select("pos", "less", "seg", "key", "n"), "keys")
+    probe = fit.select("pos", F.inline(keys(F.col("line"), n, threshold)))
+    # A key of one row, or one under which no line is found, joins nothing.
+    shared = probe.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("less").alias("least")).where("n > 1 and least < 0")
+    rows = stored(probe.join(stored(shared.select("key", "n"), "shared"), "key").select("pos", "less", "seg", "key", "n"), "keys")
     if threshold == 1:
         met = _pairs(rows.where(F.col("n") <= CROWD)).union(_crowded_pairs(fit, rows.where(F.col("n") > CROWD)))
     else:
