@@ -25,6 +25,11 @@ from ..session import stored
 from .common import byte_letters, in_batches
 
 HEAD = 4_000_000
+# The id that stands for a word outside the head.
+HOLE = 0xFFFFFFFF
+# The code points of Unicode's White_Space property (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEFORE_SPACE = [c + " " for c in WHITE]
 # The byte-level vocabulary's split pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -43,10 +48,12 @@ class Splitter:
         self.vocab = form["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in form["added_tokens"]}
         self.find = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        # A space after white space or at the end may join it to one word: such texts are not cut at spaces.
-        self.joined = regex.compile(r"\p{White_Space} | $").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
 
+    def joined(self, text: str) -> bool:
+        """Whether a space stands after white space or at the end, where it may join it to one word."""
+        return text.endswith(" ") or any(pair in text for pair in _BEFORE_SPACE)
+
     def chunks(self, text: str | None) -> list[str]:
         """Special tokens, and pieces that no word crosses."""
         if not text:
@@ -55,7 +62,7 @@ class Splitter:
         for s in self.cut(text) if any(x in text for x in self.special) else [text]:
             if s in self.special or not s:
                 out += [s] * bool(s)
-            elif self.joined(s):
+            elif self.joined(s):  # not cut at spaces
                 out.append(s)
             else:
                 first, *rest = s.split(" ")
@@ -64,7 +71,16 @@ class Splitter:
         return out
 
     def words(self, chunk: str) -> list[str]:
-        return [chunk] if chunk in self.special else self.find(chunk)
+        if chunk in self.special:
+            return [chunk]
+        if chunk.isascii():
+            # The usual cases without the pattern: letters, and letters before one sign.
+            at = chunk[0] == " "
+            if chunk[at:].isalpha():
+                return [chunk]
+            if chunk[-1] in ".,;:!?" and chunk[at:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.find(chunk)
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,7 +119,9 @@ def _encode(path: str):
         for b in batches:
             out = []
             for w in b.column("word").to_pylist():
-                shown = "".join(map(letters.__getitem__, w.encode()))
+                # Printable bytes but the space stand for themselves.
+                plain = w.isascii() and w.isprintable()
+                shown = w.replace(" ", letters[32]) if plain else "".join(map(letters.__getitem__, w.encode()))
                 ids = [cut.special[w]] if w in cut.special else [t.id for t in model.tokenize(shown)]
                 out.append(np.array(ids, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=["word", "n", "ids"])
@@ -140,16 +158,16 @@ def decode(ids: DataFrame, path: str, key: str = "key") -> DataFrame:
 
 
 # --- the head of the table, packed ------------------------------------------
-def _hash(word: str) -> int:
+def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word.encode())
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words))
 
 
 def _pack_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, ids) -> per batch a blob each of hashes, id counts, ids; sorted by hash."""
     for b in batches:
-        h = np.array([_hash(w) for w in b.column("word").to_pylist()], "<u8")
+        h = _hashes([w.encode() for w in b.column("word").to_pylist()])
         ids, order = b.column("ids").to_pylist(), np.argsort(h)
         flat = b"".join(ids[i] for i in order)
         n = np.array([len(ids[i]) // 4 for i in order], "<u4")
@@ -165,17 +183,26 @@ class Head:
         self.ids = np.concatenate([np.frombuffer(b[2], "<u4") for b in blobs] or [np.zeros(0, "<u4")])
         order = np.argsort(h, kind="stable")
         self.hashes, self.n, self.at = h[order], n[order], (np.cumsum(n) - n)[order]
-        self.pieces = piece_bytes
+        self.pieces, self.shown = piece_bytes, list(map(str, range(len(piece_bytes))))
 
-    def find(self, words: list[str]) -> list[list[int] | None]:
-        h = np.array([_hash(w) for w in words], "<u8")
+    def find(self, words: list[str]) -> dict[str, tuple]:
+        """Each word's (decimal ids, their number, the bytes they decode to, None); a word not in the head is a hole that lists it."""
+        coded = [w.encode() for w in words]
+        h = _hashes(coded)
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
         ok = self.hashes[at] == h if len(self.hashes) else np.zeros(len(words), bool)
-        out: list[list[int] | None] = []
-        for w, i, good in zip(words, at.tolist(), ok.tolist()):
-            ids = self.ids[self.at[i] : self.at[i] + self.n[i]].tolist() if good else None
-            same = ids is not None and b"".join(map(self.pieces.__getitem__, ids)) == w.encode()
-            out.append(ids if same else None)
+        # The ids of all found words in one gather, then cut per word.
+        n = self.n[at[ok]]
+        ends = np.cumsum(n)
+        flat = self.ids[np.repeat(self.at[at[ok]] - (ends - n), n) + np.arange(n.sum())].tolist()
+        shown, decoded = [self.shown[i] for i in flat], [self.pieces[i] for i in flat]
+        out: dict[str, tuple] = {}
+        for i, size, end in zip(np.flatnonzero(ok).tolist(), n.tolist(), ends.tolist()):
+            whole = b"".join(decoded[end - size : end])
+            if whole == coded[i]:
+                out[words[i]] = ",".join(shown[end - size : end]), size, whole, None
+        if len(out) < len(words):
+            out.update({w: (str(HOLE), 1, b"", [w]) for w in words if w not in out})
         return out
 
 
@@ -184,49 +211,48 @@ def _digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
-def _assemble(path: str, held, cache_limit: int = 500_000):
+def _assemble(path: str, held, cache_limit: int = 150_000):
     """Documents -> their digests where every word is in the head; else packed ids with holes, and the holes' words.
 
-    A hole is the id 2**32 - 1; its words are listed in order.
+    A hole is the id HOLE; its words are listed in order. At most two times `cache_limit` chunks are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = splitter(path)
-        head, memo = _cached_head(held)
-
-        def learn(chunks: set[str]) -> None:
-            split = {c: cut.words(c) for c in chunks}
-            need = list({w for ws in split.values() for w in ws})
-            got = dict(zip(need, head.find(need)))
-            for c, ws in split.items():
-                ids: list[int] = []
-                missing: list[str] = []
-                for w in ws:
-                    g = got[w]
-                    ids += g if g is not None else [0xFFFFFFFF]
-                    missing += [w] * (g is None)
-                decoded = b"" if missing else b"".join(map(head.pieces.__getitem__, ids))
-                packed = np.array(ids, "<u4").tobytes()
-                memo[c] = (",".join(map(str, ids)), len(ids), decoded, packed if missing else b"", missing)
+        head, caches = _cached_head(held)
+
+        def learn(memo: dict, chunks: set[str]) -> None:
+            split = [(c, cut.words(c)) for c in chunks]
+            got = head.find(list(set().union(*[ws for _, ws in split])))
+            for c, ws in split:
+                if len(ws) == 1:
+                    memo[c] = got[ws[0]]
+                else:
+                    ids, sizes, decoded, missing = zip(*map(got.__getitem__, ws))
+                    memo[c] = ",".join(ids), sum(sizes), b"".join(decoded), [w for m in missing if m for w in m] or None
 
-        for b in in_batches(batches):
+        for b in in_batches(batches, 1 << 20):
             split = [cut.chunks(t) for t in b.column("text").to_pylist()]
             every = set().union(*split)
-            new = every.difference(memo)
-            if len(memo) + len(new) > cache_limit:
-                memo.clear()
+            new = every.difference(caches[0])
+            if len(caches[0]) + len(new) > cache_limit:
+                # The cache becomes the older generation; chunks met again come back from there.
+                caches[:] = [{}, caches[0]]
                 new = every
-            learn(new)
+            memo, older = caches
+            known = new.intersection(older)
+            memo.update({c: older[c] for c in known})
+            learn(memo, new - known)
             cols: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "partial", "missing")}
             for chunks in split:
-                rows = [memo[c] for c in chunks]
-                holes = [w for r in rows if r[4] for w in r[4]]
-                if holes:
-                    values = (None, None, None, b"".join(r[3] or np.array(r[0].split(","), "<u4").tobytes() for r in rows if r[1]), holes)
+                ids, sizes, decoded, missing = zip(*map(memo.__getitem__, chunks)) if chunks else ((), (), (), ())
+                if any(missing):
+                    partial = np.array(",".join(ids).split(","), "<u4").tobytes()
+                    values = (None, None, None, partial, [w for ws in missing if ws for w in ws])
                 else:
-                    ids = hashlib.sha256(",".join([r[0] for r in rows if r[1]]).encode()).hexdigest()
-                    text = b"".join([r[2] for r in rows]).decode("utf-8", "replace").encode()
-                    values = (sum([r[1] for r in rows]), ids, hashlib.sha256(text).hexdigest(), None, None)
+                    text = b"".join(decoded).decode("utf-8", "replace").encode()
+                    joined = hashlib.sha256(",".join(ids).encode()).hexdigest()
+                    values = (sum(sizes), joined, hashlib.sha256(text).hexdigest(), None, None)
                 for k, v in zip(cols, values):
                     cols[k].append(v)
             kinds = {"n_tokens": pa.int64(), "partial": pa.binary(), "missing": pa.list_(pa.string())}
@@ -237,15 +263,15 @@ def _assemble(path: str, held, cache_limit: int = 500_000):
     return run
 
 
-_HEADS: dict[str, tuple[Head, dict]] = {}
+_HEADS: dict[str, tuple[Head, list[dict]]] = {}
 
 
-def _cached_head(held) -> tuple[Head, dict]:
-    """The head of a broadcast (key, blobs, pieces) and a cache of chunks, kept for a Python worker's tasks."""
+def _cached_head(held) -> tuple[Head, list[dict]]:
+    """The head of a broadcast (key, blobs, pieces) and two generations of cached chunks, kept for a Python worker's tasks."""
     key, blobs, piece_bytes = held.value
     if key not in _HEADS:
         _HEADS.clear()
-        _HEADS[key] = Head(blobs, piece_bytes), {}
+        _HEADS[key] = Head(blobs, piece_bytes), [{}, {}]
     return _HEADS[key]
 
 
@@ -258,7 +284,7 @@ def _fill(held):
                 ids, filled = np.frombuffer(partial, "<u4").tolist(), iter(found)
                 whole: list[int] = []
                 for i in ids:
-                    whole += np.frombuffer(next(filled), "<u4").tolist() if i == 0xFFFFFFFF else [i]
+                    whole += np.frombuffer(next(filled), "<u4").tolist() if i == HOLE else [i]
                 out.append(_digest(whole, b"".join(map(table.__getitem__, whole))))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
