@@ -1,6 +1,7 @@
 """Wavelet shards and the word table against the tokenizer itself."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import reference_rules as R
 
@@ -85,6 +86,60 @@ def test_splitting_as_the_library():
         assert mine == [s[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(s)], repr(s)
 
 
+@pytest.mark.parametrize("path", [common.byte_tokenizer_path, common.word_tokenizer_path])
+def test_words_in_runs(path):
+    """Many words cost one call of the library, with the ids of each word alone."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path())
+    # A literal mark of a word's end, and characters that the vocabulary lacks, go one by one.
+    plain = [f"word{i}ing" for i in range(25)] + ["a", "é", "!?", "zażółć"]
+    letters = common.byte_letters()
+    plain = ["".join(map(letters.__getitem__, w.encode())) for w in plain]
+    for words in (plain, [*plain, "</w>x", "x</w>"], [*plain, "あ", "aあ"], []):
+        m = common.WordModel(tok)
+        m.RUN, bare, m.bare = 10, m.bare, type("Counted", (), {"n": 0})()
+
+
+        def run(texts, **kw):
+            m.bare.n += 1
+            return bare.encode_batch_fast(texts, **kw)
+
+        m.bare.encode_batch_fast = run
+        assert [np.frombuffer(x, "<u4").tolist() for x in m.ids(words)] == [[t.id for t in tok.model.tokenize(w)] for w in words]
+        assert m.bare.n == -(-len(words) // 10)
+
+
+def test_numbered_chunks():
+    path = common.byte_tokenizer_path()
+    cut = wordtable.splitter(path)
+    texts = [None, "", " \t\n", "one", "one  two\t", "a   b \n c <|endoftext|> it's  I'LL don't x 　 y\x1cz \r\n\n q ", "日本語 123 ½ é"]
+    texts += ["é\xff a", " x  y", "x <|endoftext|>", " ", "a b a b"]
+    found, numbers, ends = cut.numbered(texts)
+    assert len(set(found)) == len(found)
+    at = [0, *ends.tolist()]
+    for t, a, b in zip(texts, at, at[1:]):
+        assert [c for c in map(found.__getitem__, numbers[a:b].tolist()) if c] == cut.chunks(t)
+    # Usual words, signs behind them too, are told without the pattern.
+    assert cut.numbered([])[0] == []
+    slow, cut.find = cut.find, None
+    try:
+        assert cut.words(" été***") == [" été", "***"] and cut.words("Łódź"[1:3]) == ["ód"]
+    finally:
+        cut.find = slow
+
+
+def test_head_finds_words_of_high_bytes(spark):
+    """Words of non-ASCII letters come from the head, none by the shuffle of holes."""
+    path = common.byte_tokenizer_path()
+    words = ["été", " naïve", " zażółć", "日本語", "\U0001f600"]
+    table = next(wordtable._encode(path)(iter([pa.RecordBatch.from_pydict({"word": words, "n": [1] * len(words)})])))
+    blobs = [tuple(c[0].as_py() for c in b.columns) for b in wordtable._pack_head(iter([table]))]
+    rows = {r.id: bytes(r.piece) for r in wordtable.pieces(spark, path).collect()}
+    head = wordtable.Head(blobs, [rows.get(i, b"") for i in range(max(rows) + 1)])
+    assert head.find([*words, "other"]) == [*table.column("ids").to_pylist(), None]
+
+
 def test_decode(spark):
     path = common.byte_tokenizer_path()
     texts = ["a b  é\U0001f600 <|endoftext|>", "", "x" * 50]

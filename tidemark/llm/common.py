@@ -79,6 +79,11 @@ def in_batches(frames: Iterator[pa.RecordBatch], size: int = 1 << 22, text: str
             at = to
 
 
+def as_list(values: pa.Array) -> list:
+    """Strings or binaries without nulls as a list, made in one go."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 # Printable ASCII and Latin-1 letters: composed, and lowered letter by letter.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 # The word-end vocabulary's split pattern (fixed value), and the same over _PLAIN once lowered.
@@ -94,6 +99,43 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
+class WordModel:
+    """A vocabulary's merge model on many words at once: one call of the library takes a run of them.
+
+    A run's ids are cut where the lengths of their pieces reach the words' ends.
+    Where these do not agree (characters that the vocabulary lacks, pieces that
+    look like the mark of a word's end), the run's words go one by one.
+    """
+
+    RUN = 10_000
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model, vocab = tokenizer.model, tokenizer.get_vocab(with_added_tokens=False)
+        self.bare = Tokenizer(self.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        suffix = self.model.end_of_word_suffix or ""
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for piece, i in vocab.items():
+            self.sizes[i] = len(piece.removesuffix(suffix))
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The packed ids of each word; words are not empty and without spaces."""
+        out: list[bytes] = []
+        for at in range(0, len(words), self.RUN):
+            run = words[at : at + self.RUN]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
+            reached, ends = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
+            to = np.searchsorted(reached, ends)
+            if len(ids) and reached[-1] == ends[-1] and (reached[to] == ends).all():
+                raw, places = ids.tobytes(), [0, *(4 * (to + 1)).tolist()]
+                out += [raw[a:b] for a, b in zip(places, places[1:])]
+            else:
+                out += [array("I", [t.id for t in self.model.tokenize(w)]).tobytes() for w in run]
+        return out
+
+
 class _Recent(dict):
     """A dict of bounded size that fills itself: `make` gives a missing value.
 

@@ -13,16 +13,18 @@ import functools
 import hashlib
 import json
 import os
-from collections import Counter
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
-from .common import byte_letters, in_batches
+from .common import WordModel, as_list, byte_letters, in_batches
 
 HEAD = 4_000_000
 # The id that stands for a word outside the head.
@@ -33,6 +35,9 @@ _BEFORE_SPACE = [c + " " for c in WHITE]
 # The byte-level vocabulary's split pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The usual chunks, told without that pattern: letters of ASCII and Latin-1, then ASCII signs but the apostrophe.
+_USUAL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
 
 class Splitter:
     """Cuts a text into chunks (for caching) and chunks into words, as the vocabulary's splitter does."""
@@ -70,16 +75,37 @@ class Splitter:
                 out += [" " + r for r in rest]
         return out
 
+    def numbered(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct chunks of all texts, the chunks of each in order by number, and where each text's numbers end.
+
+        A text that does not begin with a space may count an empty chunk; so do null and empty ones.
+        """
+        odd = {i: self.chunks(t) for i, t in enumerate(texts) if t and (self.joined(t) or any(x in t for x in self.special))}
+        split = pc.split_pattern(pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.large_string()), " ")
+        ends = np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)
+        flat, leads = split.flatten(), np.zeros(ends[-1] if len(ends) else 0, bool)
+        leads[(ends - split.value_lengths().to_numpy())] = True
+        found: list[str] = []
+        numbers = np.empty(len(flat), np.int64)
+        for at, space in ((leads, ""), (~leads, " ")):
+            coded = flat.filter(pa.array(at)).dictionary_encode()
+            numbers[at] = coded.indices.to_numpy() + len(found)
+            found += [space + c for c in as_list(coded.dictionary)]
+        if odd:
+            known, parts = {c: i for i, c in enumerate(found)}, np.split(numbers, ends[:-1])
+            for i, chunks in odd.items():
+                parts[i] = np.array([known.setdefault(c, len(known)) for c in chunks], np.int64)
+            found, numbers, ends = list(known), np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return found, numbers, ends
+
     def words(self, chunk: str) -> list[str]:
+        if not chunk:
+            return []
         if chunk in self.special:
             return [chunk]
-        if chunk.isascii():
-            # The usual cases without the pattern: letters, and letters before one sign.
-            at = chunk[0] == " "
-            if chunk[at:].isalpha():
-                return [chunk]
-            if chunk[-1] in ".,;:!?" and chunk[at:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
+        usual = _USUAL.fullmatch(chunk)
+        if usual:
+            return [w for w in usual.groups() if w]
         return self.find(chunk)
 
 
@@ -90,10 +116,10 @@ def splitter(path: str) -> Splitter:
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, chunks = splitter(path), Counter()
+        cut, chunks = splitter(path), defaultdict(int)
 
         def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
+            words: dict[str, int] = defaultdict(int)
             for c, n in chunks.items():
                 for w in cut.words(c):
                     words[w] += n
@@ -102,8 +128,9 @@ def _count(path: str):
             return pa.RecordBatch.from_arrays([pa.array(order, pa.string()), pa.array([words[w] for w in order], pa.int64())], names=["word", "n"])
 
         for b in in_batches(batches):
-            for t in b.column("text").to_pylist():
-                chunks.update(cut.chunks(t))
+            found, numbers, _ = cut.numbered(b.column("text").to_pylist())
+            for c, n in zip(found, np.bincount(numbers, minlength=len(found)).tolist()):
+                chunks[c] += n
             if len(chunks) > 600_000:
                 yield flush()
         yield flush()
@@ -115,15 +142,14 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        cut, model, letters = splitter(path), Tokenizer.from_file(path).model, byte_letters()
+        cut, model, letters = splitter(path), WordModel(Tokenizer.from_file(path)), byte_letters()
         for b in batches:
-            out = []
-            for w in b.column("word").to_pylist():
+            words, shown = as_list(b.column("word")), []
+            for w in words:
                 # Printable bytes but the space stand for themselves.
                 plain = w.isascii() and w.isprintable()
-                shown = w.replace(" ", letters[32]) if plain else "".join(map(letters.__getitem__, w.encode()))
-                ids = [cut.special[w]] if w in cut.special else [t.id for t in model.tokenize(shown)]
-                out.append(np.array(ids, "<u4").tobytes())
+                shown.append(w.replace(" ", letters[32]) if plain else "".join(map(letters.__getitem__, w.encode())))
+            out = [np.array([cut.special[w]], "<u4").tobytes() if w in cut.special else ids for w, ids in zip(words, model.ids(shown))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=["word", "n", "ids"])
 
     return run
@@ -167,8 +193,8 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def _pack_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, ids) -> per batch a blob each of hashes, id counts, ids; sorted by hash."""
     for b in batches:
-        h = _hashes([w.encode() for w in b.column("word").to_pylist()])
-        ids, order = b.column("ids").to_pylist(), np.argsort(h)
+        h = _hashes([w.encode() for w in as_list(b.column("word"))])
+        ids, order = as_list(b.column("ids")), np.argsort(h)
         flat = b"".join(ids[i] for i in order)
         n = np.array([len(ids[i]) // 4 for i in order], "<u4")
         yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary()) for k, v in (("h", h[order].tobytes()), ("n", n.tobytes()), ("ids", flat))})
@@ -183,76 +209,103 @@ class Head:
         self.ids = np.concatenate([np.frombuffer(b[2], "<u4") for b in blobs] or [np.zeros(0, "<u4")])
         order = np.argsort(h, kind="stable")
         self.hashes, self.n, self.at = h[order], n[order], (np.cumsum(n) - n)[order]
-        self.pieces, self.shown = piece_bytes, list(map(str, range(len(piece_bytes))))
+        # By id: the bytes, and the decimal number with a comma. A hole takes the empty last place.
+        self.pieces = pa.array([*piece_bytes, b""], pa.large_binary())
+        self.shown = pa.array([*(b"%d," % i for i in range(len(piece_bytes))), b""], pa.large_binary())
 
-    def find(self, words: list[str]) -> dict[str, tuple]:
-        """Each word's (decimal ids, their number, the bytes they decode to, None); a word not in the head is a hole that lists it."""
+    def joined(self, table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The table's values of all ids in one run, and where each begins and the last ends."""
+        return _run(table.take(pa.array(np.minimum(ids, len(table) - 1))))
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        """Each word's packed ids; None for a word that is not in the head."""
         coded = [w.encode() for w in words]
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.hashes):
+            return out
         h = _hashes(coded)
-        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        ok = self.hashes[at] == h if len(self.hashes) else np.zeros(len(words), bool)
+        # In order of hash, which keeps the search to neighbouring places.
+        order = np.argsort(h)
+        at = np.empty(len(h), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
+        ok = np.flatnonzero(self.hashes[at] == h)
         # The ids of all found words in one gather, then cut per word.
         n = self.n[at[ok]]
         ends = np.cumsum(n)
-        flat = self.ids[np.repeat(self.at[at[ok]] - (ends - n), n) + np.arange(n.sum())].tolist()
-        shown, decoded = [self.shown[i] for i in flat], [self.pieces[i] for i in flat]
-        out: dict[str, tuple] = {}
-        for i, size, end in zip(np.flatnonzero(ok).tolist(), n.tolist(), ends.tolist()):
-            whole = b"".join(decoded[end - size : end])
-            if whole == coded[i]:
-                out[words[i]] = ",".join(shown[end - size : end]), size, whole, None
-        if len(out) < len(words):
-            out.update({w: (str(HOLE), 1, b"", [w]) for w in words if w not in out})
+        flat = self.ids[np.repeat(self.at[at[ok]] - (ends - n), n) + np.arange(n.sum())]
+        decoded, places = self.joined(self.pieces, flat)
+        raw, decoded = flat.tobytes(), decoded.tobytes()
+        for i, a, b, x, y in zip(ok.tolist(), (ends - n).tolist(), ends.tolist(), places[ends - n].tolist(), places[ends].tolist()):
+            if decoded[x:y] == coded[i]:
+                out[i] = raw[4 * a : 4 * b]
         return out
 
 
+def _run(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of a large binary array in one run, and where each value begins and the last ends."""
+    _, offsets, data = values.buffers()
+    return memoryview(data or b"").cast("B"), np.frombuffer(offsets, "<i8", len(values) + 1, 8 * values.offset)
+
+
 def _digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
     text = decoded.decode("utf-8", "replace").encode()
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
-def _assemble(path: str, held, cache_limit: int = 150_000):
+def _assemble(path: str, held, cache_limit: int = 100_000):
     """Documents -> their digests where every word is in the head; else packed ids with holes, and the holes' words.
 
-    A hole is the id HOLE; its words are listed in order. At most two times `cache_limit` chunks are kept.
+    A hole is the id HOLE; its words are listed in order. The distinct chunks of
+    a batch get their packed ids, which one gather each brings to the places of
+    the chunks, to decimals and to decoded bytes. At most two times `cache_limit`
+    chunks are kept, beside those of one batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = splitter(path)
+        cut, hole = splitter(path), np.array([HOLE], "<u4").tobytes()
         head, caches = _cached_head(held)
 
-        def learn(memo: dict, chunks: set[str]) -> None:
+        def learn(memo: dict, chunks: list[str]) -> None:
             split = [(c, cut.words(c)) for c in chunks]
-            got = head.find(list(set().union(*[ws for _, ws in split])))
+            words = list(set().union(*[ws for _, ws in split]))
+            got = dict(zip(words, head.find(words)))
             for c, ws in split:
-                if len(ws) == 1:
-                    memo[c] = got[ws[0]]
+                ids = [got[w] for w in ws]
+                if None in ids:
+                    memo[c] = b"".join([hole if x is None else x for x in ids]), [w for w, x in zip(ws, ids) if x is None]
                 else:
-                    ids, sizes, decoded, missing = zip(*map(got.__getitem__, ws))
-                    memo[c] = ",".join(ids), sum(sizes), b"".join(decoded), [w for m in missing if m for w in m] or None
+                    memo[c] = ids[0] if len(ids) == 1 else b"".join(ids)
 
         for b in in_batches(batches, 1 << 20):
-            split = [cut.chunks(t) for t in b.column("text").to_pylist()]
-            every = set().union(*split)
-            new = every.difference(caches[0])
+            found, numbers, ends = cut.numbered(b.column("text").to_pylist())
+            new = [c for c in found if c not in caches[0]]
             if len(caches[0]) + len(new) > cache_limit:
                 # The cache becomes the older generation; chunks met again come back from there.
                 caches[:] = [{}, caches[0]]
-                new = every
+                new = found
             memo, older = caches
-            known = new.intersection(older)
-            memo.update({c: older[c] for c in known})
-            learn(memo, new - known)
+            memo.update({c: older[c] for c in new if c in older})
+            learn(memo, [c for c in new if c not in memo])
+            packed = [memo[c] for c in found]
+            # A chunk with holes is a pair of its ids and its holes' words.
+            missing = {i: v[1] for i, v in enumerate(packed) if type(v) is tuple}
+            packed = [v[0] if type(v) is tuple else v for v in packed] if missing else packed
+            raw, places = _run(pa.array(packed, pa.large_binary()).take(pa.array(numbers)))
+            ids = np.frombuffer(raw, "<u4", places[-1] // 4)
+            shown, shown_at = head.joined(head.shown, ids)
+            decoded, decoded_at = head.joined(head.pieces, ids)
+            holed = np.isin(numbers, list(missing)) if missing else np.zeros(len(numbers), bool)
             cols: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "partial", "missing")}
-            for chunks in split:
-                ids, sizes, decoded, missing = zip(*map(memo.__getitem__, chunks)) if chunks else ((), (), (), ())
-                if any(missing):
-                    partial = np.array(",".join(ids).split(","), "<u4").tobytes()
-                    values = (None, None, None, partial, [w for ws in missing if ws for w in ws])
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                x, y = int(places[lo]) // 4, int(places[hi]) // 4
+                lost = numbers[lo:hi][holed[lo:hi]].tolist() if missing else []
+                if lost:
+                    values = (None, None, None, ids[x:y].tobytes(), [w for i in lost for w in missing[i]])
                 else:
-                    text = b"".join(decoded).decode("utf-8", "replace").encode()
-                    joined = hashlib.sha256(",".join(ids).encode()).hexdigest()
-                    values = (sum(sizes), joined, hashlib.sha256(text).hexdigest(), None, None)
+                    text = str(decoded[decoded_at[x] : decoded_at[y]], "utf-8", "replace").encode()
+                    # Without the last comma.
+                    joined = shown[shown_at[x] : max(shown_at[x], shown_at[y] - 1)]
+                    values = (y - x, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text).hexdigest(), None, None)
                 for k, v in zip(cols, values):
                     cols[k].append(v)
             kinds = {"n_tokens": pa.int64(), "partial": pa.binary(), "missing": pa.list_(pa.string())}
