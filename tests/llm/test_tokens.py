@@ -64,6 +64,18 @@ def test_cached_words():
         assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == R.word_ids(texts, common.word_tokenizer_path())
 
 
+def test_new_words_of_a_call_go_together():
+    path = common.word_tokenizer_path()
+    c, calls = common.CachedTokenizer(path), []
+    ids = c.model.ids
+    c.model.ids = lambda parts: calls.append(len(parts)) or ids(parts)
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}, É{i}'LL" for i in range(500)), None, "wab  wab\n", "Łódź µ×'s x<|"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == R.word_ids(texts, path)
+    # All parts in one call, none the second time.
+    assert len([n for n in calls if n]) == 1 and c.encode([]) == []
+
+
 @pytest.mark.parametrize("head", [wordtable.HEAD, 40, 0])
 def test_word_table(table, head):
     path = common.byte_tokenizer_path()

@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The space characters of the word rules: space, tab, newline, vertical tab, form feed, return.
@@ -84,11 +85,17 @@ def as_list(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
+def joined_values(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of a large binary array in one run, and where each value begins and the last ends."""
+    _, offsets, data = values.buffers()
+    return memoryview(data or b"").cast("B"), np.frombuffer(offsets, "<i8", len(values) + 1, 8 * values.offset)
+
+
 # Printable ASCII and Latin-1 letters: composed, and lowered letter by letter.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-# The word-end vocabulary's split pattern (fixed value), and the same over _PLAIN once lowered.
+# The word-end vocabulary's split pattern (fixed value), and the same over words of _PLAIN once lowered, with spaces between.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^a-zß-öø-ÿ0-9 ]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -137,25 +144,33 @@ class WordModel:
 
 
 class _Recent(dict):
-    """A dict of bounded size that fills itself: `make` gives a missing value.
+    """A dict that fills itself: `make` gives the values of all missing keys of a call at once.
 
-    When it holds `limit` keys they become the older generation; keys met again
-    come back from there, and the rest go when it is replaced in turn.
+    When it would hold more than `limit` keys they become the older generation;
+    keys met again come back from there, and the rest go when it is replaced in turn.
     """
 
-    def __init__(self, make: Callable[[str], bytes], limit: int):
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.older = make, max(1, limit), {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def values_of(self, keys: list[str]) -> list[bytes]:
+        """The values of distinct keys, `limit` at a time."""
+        out: list[bytes] = []
+        for at in range(0, len(keys), self.limit):
+            some = keys[at : at + self.limit]
+            new = [k for k in some if k not in self]
+            if len(self) + len(new) > self.limit:
+                self.older = dict(self)
+                self.clear()
+                new = some
+            older = self.older
+            if older:
+                self.update({k: older[k] for k in new if k in older})
+                new = [k for k in new if k not in self]
+            self.update(zip(new, self.make(new)))
+            out += map(self.__getitem__, some)
+        return out
 
 
 class CachedTokenizer:
@@ -163,10 +178,10 @@ class CachedTokenizer:
 
     It gives what encode() gives for the whole text: the vocabulary must drop
     white space and never join characters across it (as word-end vocabularies
-    do). A word is encoded once while it stays in the cache, which holds at most
-    two times `limit` words. Plain words of a lower-casing vocabulary with
-    the usual split go to the merge model at once, others through the library's
-    normaliser and splitter.
+    do). The distinct words of a call are encoded once while they stay in the cache,
+    which holds at most two times `limit` words. Plain words of a lower-casing
+    vocabulary with the usual split go to the merge model, many in one call, others
+    through the library's normaliser and splitter.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -176,7 +191,7 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache, self.parts = _Recent(self._word, limit), _Recent(self._part, limit // 2)
+        self.cache, self.parts = _Recent(self._words, limit), _Recent(self._parts, limit // 2)
         form = json.loads(Path(path).read_text(encoding="utf-8"))
         norm = form["normalizer"] or {}
         split = (form["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
@@ -185,29 +200,41 @@ class CachedTokenizer:
             and split[0].get("pattern") == {"Regex": _SPLIT}
             and not any(_PLAIN.fullmatch(t["content"]) and "<|" not in t["content"] for t in form["added_tokens"])
         )
-        self.letters, self.model = byte_letters(), self.tokenizer.model
-
-    def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
+        self.letters, self.model = byte_letters(), WordModel(self.tokenizer)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        return self.model.ids([p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in parts])
+
+    def _is_plain(self, word: str) -> bool:
+        return self.plain and "<|" not in word and _PLAIN.fullmatch(word) is not None
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if w.isalpha() and w.isascii() or self._is_plain(w)] if self.plain else []
+        # The parts of all plain words in one pass, a space before each word.
+        parts = pa.array(_PLAIN_SPLIT.findall(" ".join(["", *plain]).lower()), pa.large_string()).dictionary_encode()
+        kinds = as_list(parts.dictionary)
+        space = kinds.index(" ") if plain else -1
+        ids = self.parts.values_of([p for p in kinds if p != " "])
+        if plain:
+            ids.insert(space, b"")
+        raw, places = joined_values(pa.array(ids, pa.large_binary()).take(parts.indices))
+        begins = [*places[:-1][parts.indices.to_numpy() == space].tolist(), int(places[-1])]
+        known = {w: raw[a:b].tobytes() for w, a, b in zip(plain, begins, begins[1:])}
+        return [known[w] if w in known else self._whole(w) for w in words]
+
+    def _whole(self, word: str) -> bytes:
         if not word:
             return b""
-        if self.plain and word.isascii():
-            # The usual cases of the split, without its patterns: letters, and letters before one sign.
-            if word.isalpha():
-                return self.parts[word.lower()]
-            if word[-1] in ".,!?;:" and word[:-1].isalpha():
-                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
-        if self.plain and _PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.parts.__getitem__, _PLAIN_SPLIT.findall(word.lower())))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        get = self.cache.__getitem__
-        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
+        split = pc.split_pattern(pa.array([(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        values = pa.array(self.cache.values_of(as_list(words.dictionary)), pa.large_binary()).take(words.indices)
+        raw, places = joined_values(values)
+        ends = places[np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)].tolist()
+        return [raw[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 @functools.lru_cache(maxsize=2)

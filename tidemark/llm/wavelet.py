@@ -32,11 +32,12 @@ def build(ids: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
     cur = ids.astype("<u2" if width <= 16 else "<u4")
     planes, zeros, ranks = [], [], []
     for b in range(width - 1, -1, -1):
-        bit = (cur >> b & 1).astype(bool)
+        bit = (cur & cur.dtype.type(1 << b)) != 0
         planes.append(np.packbits(bit, bitorder="little"))
         per = np.add.reduceat(bit, np.arange(0, max(1, len(bit)), BLOCK), dtype="<u4") if len(bit) else np.zeros(1, "<u4")
         ranks.append((np.cumsum(per) - per).astype("<u4"))
-        cur = np.concatenate([cur[~bit], cur[bit]])
+        # By place: masks of random bits cost several times as much.
+        cur = np.concatenate([cur[np.flatnonzero(~bit)], cur[np.flatnonzero(bit)]])
         zeros.append(len(bit) - int(bit.sum()))
     join = lambda xs: b"".join(x.tobytes() for x in xs)
     return width, np.array(zeros, "<i8").tobytes(), join(planes), join(ranks)
@@ -110,7 +111,7 @@ class Matrix:
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up, z = np.empty_like(cur), int(self.zeros[level])
-            up[~bit], up[bit] = cur[:z], cur[z:] | cur.dtype.type(1 << (self.width - 1 - level))
+            up[np.flatnonzero(~bit)], up[np.flatnonzero(bit)] = cur[:z], cur[z:] | cur.dtype.type(1 << (self.width - 1 - level))
             cur = up
         return cur.astype("<u4")
 

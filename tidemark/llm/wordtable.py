@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
-from .common import WordModel, as_list, byte_letters, in_batches
+from .common import WordModel, as_list, byte_letters, in_batches, joined_values
 
 HEAD = 4_000_000
 # The id that stands for a word outside the head.
@@ -215,7 +215,7 @@ class Head:
 
     def joined(self, table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
         """The table's values of all ids in one run, and where each begins and the last ends."""
-        return _run(table.take(pa.array(np.minimum(ids, len(table) - 1))))
+        return joined_values(table.take(pa.array(np.minimum(ids, len(table) - 1))))
 
     def find(self, words: list[str]) -> list[bytes | None]:
         """Each word's packed ids; None for a word that is not in the head."""
@@ -241,12 +241,6 @@ class Head:
         return out
 
 
-def _run(values: pa.Array) -> tuple[memoryview, np.ndarray]:
-    """The bytes of a large binary array in one run, and where each value begins and the last ends."""
-    _, offsets, data = values.buffers()
-    return memoryview(data or b"").cast("B"), np.frombuffer(offsets, "<i8", len(values) + 1, 8 * values.offset)
-
-
 def _digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
     text = decoded.decode("utf-8", "replace").encode()
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()
@@ -290,7 +284,7 @@ def _assemble(path: str, held, cache_limit: int = 100_000):
             # A chunk with holes is a pair of its ids and its holes' words.
             missing = {i: v[1] for i, v in enumerate(packed) if type(v) is tuple}
             packed = [v[0] if type(v) is tuple else v for v in packed] if missing else packed
-            raw, places = _run(pa.array(packed, pa.large_binary()).take(pa.array(numbers)))
+            raw, places = joined_values(pa.array(packed, pa.large_binary()).take(pa.array(numbers)))
             ids = np.frombuffer(raw, "<u4", places[-1] // 4)
             shown, shown_at = head.joined(head.shown, ids)
             decoded, decoded_at = head.joined(head.pieces, ids)
