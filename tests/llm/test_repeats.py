@@ -1,8 +1,10 @@
 """Substring and phrase dedup against all windows of small tables."""
 
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import reference_rules as R
@@ -87,3 +89,61 @@ def test_positions_sort(spark):
     df = spark.createDataFrame(pa.table({"pos": anchors.position(ids, tie, at)}))
     back = df.select(*[v.alias(k) for k, v in anchors.placed(df["pos"]).items()]).collect()
     assert [tuple(r) for r in back] == list(zip(ids.tolist(), tie.tolist(), at.tolist()))
+
+
+def _batch(texts, units):
+    """All segments of some texts as one batch of the method: (frame, row and place of each window)."""
+    out = []
+    for i, t in enumerate(texts):
+        got = anchors.segments(units, t)
+        for h, lo, hi in zip(got[0].view(np.int64).tolist(), got[2].tolist(), got[3].tolist()) if got else ():
+            out.append((h, t[lo : hi + units.window], hi - lo + 1, i // 2, i % 2, lo))
+    f = pd.DataFrame(out, columns=["h", "content", "starts", "id", "tie", "at"]).sort_values("h", kind="stable")
+    # Some rows come twice, as they do where an id and a text repeat.
+    f = pd.concat([f, f[::7]]).sort_values("h", kind="stable").reset_index(drop=True)
+    starts = f["starts"].to_numpy()
+    row = np.repeat(np.arange(len(f)), starts)
+    return f, row, np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+
+
+def _by_classes(f, row, s, least):
+    """The same through the classes of a whole text of all segments."""
+    sizes = f["content"].str.len().to_numpy()
+    text = np.concatenate([x for c in f["content"] for x in (np.frombuffer(c, np.uint8).astype(np.int64) + 1, [0])])
+    cls = substring.classes(text, least)[(np.cumsum(sizes + 1) - sizes - 1)[row] + s]
+    return anchors.not_first(cls, *(f[c].to_numpy()[row] for c in ("id", "tie")), f["at"].to_numpy()[row] + s)
+
+
+def _passages(seed, n, alphabet=b"abcd \x00\xff", longest=300):
+    rng = random.Random(seed)
+    made = lambda: bytes(rng.choice(alphabet) for _ in range(rng.randint(1, longest)))
+    parts = [made() for _ in range(12)]
+    return [b"".join(rng.choice((rng.choice(parts), made(), b"ab" * rng.randint(0, 90))) for _ in range(rng.randint(0, 6))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("window, gram", [(100, 32), (24, 5), (9, 8), (8, 8)])
+def test_backward_extension(window, gram):
+    for seed, n in ((1, 4), (2, 12), (3, 60)):
+        f, row, s = _batch(_passages(seed, n), substring.units(window, gram))
+        got = substring._method(window, gram)(f, row, s)
+        assert got.tolist() == _by_classes(f, row, s, window).tolist()
+        lead = substring.anchor_places(f["content"].tolist(), f["starts"].to_numpy(), f["h"].to_numpy().view(np.uint64), window, gram, size=500)
+        assert all(anchors.segments(substring.units(window, gram), c)[1][0] == x for c, x in zip(f["content"], lead))
+
+
+def test_backward_extension_without_anchor():
+    """A row cut from another text of the same id and hash does not hold its anchor: it has no window to compare."""
+    f, row, s = _batch([b"x" * 50 + bytes(range(120)), b"y" * 50 + bytes(range(120))], substring.units())
+    f.loc[0, "content"] = bytes(len(f.loc[0, "content"]))
+    assert not substring._method(100, 32)(f, row, s)[row == 0].any()
+
+
+def test_backward_extension_time():
+    """A batch of segments takes far less time than sorting all their suffixes."""
+    f, row, s = _batch(_passages(4, 300, longest=600), substring.units())
+    method, took = substring._method(100, 32), []
+    for run in (lambda: method(f, row, s), lambda: _by_classes(f, row, s, 100)):
+        t = time.process_time()
+        run()
+        took.append(time.process_time() - t)
+    assert 3 * took[0] < took[1]

@@ -1,17 +1,20 @@
-"""Substring dedup: a Burrows-Wheeler transform with threshold-bounded interval expansion.
-
-Segments that may share a passage meet by anchor (anchors.py). A batch of them
-is one text with separators; its suffixes are sorted, and suffix intervals are
-extended backwards breadth-first, one character at a time: a boundary between
-two neighbours appears at depth d when their first characters differ or when a
-boundary of depth d - 1 parts what follows them. So common prefixes are found
-by increasing length, and the search stops at the minimum length; what is still
-unparted shares at least that much.
+"""Substring dedup: backward extension of intervals from the anchors, bounded by the minimum length.
+
+Segments that may share a passage meet by anchor (anchors.py). The rows of a
+batch are the suffixes that begin at the anchors, sorted, with the common
+prefixes of neighbours. All intervals are then extended backwards together,
+breadth-first, one character at a time: a row moves behind all rows with a
+smaller character before it and behind those above it with the same one, as in
+a search over a Burrows-Wheeler transform. Rows whose characters differ are
+parted, so are neighbours whose common prefix is too short for what the window
+still needs to the right of the anchor. The search stops at the minimum length;
+rows that no other shares its characters with are left out on the way.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,7 +78,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
 
 
 def classes(s: np.ndarray, least: int) -> np.ndarray:
-    """For each place, a number shared exactly by the places whose next `least` symbols are equal."""
+    """For each place of a text without anchors, a number shared exactly by the places whose next `least` symbols are equal."""
     n = len(s)
     order = suffix_order(s, least)
     row = np.empty(n + 1, np.int64)
@@ -97,18 +100,81 @@ def classes(s: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def _method(least: int):
+def anchor_places(content: list[bytes], starts: np.ndarray, h: np.ndarray, least: int, gram: int, size: int = 1 << 20) -> np.ndarray:
+    """Where the anchor lies in each segment: the leftmost gram of hash `h` that all windows hold; -1 if there is none."""
+    sizes, out = np.array([len(c) for c in content]), np.full(len(content), -1)
+    whole, hashes = sizes == starts + least - 1, _grams(gram)
+    run = np.cumsum(sizes) // size
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(content)]
+    for a, b in zip(cuts, cuts[1:]):
+        g = hashes(b"".join(content[a:b]))[0]
+        row = np.repeat(np.arange(a, b), sizes[a:b])[: len(g)]
+        at = np.flatnonzero(g == h[row])
+        row = row[at]
+        at -= (np.cumsum(sizes[a:b]) - sizes[a:b])[row - a]
+        held = whole[row] & (at >= starts[row] - 1) & (at <= least - gram)
+        rows, first = np.unique(row[held], return_index=True)
+        out[rows] = at[held][first]
+    return out
+
+
+def intervals(content: list[bytes], lead: np.ndarray, starts: np.ndarray, h: np.ndarray, least: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(distance, segments, begins) by distance from the anchor back: the segments with a window that
+    begins there, those of equal windows side by side, and whether a segment is the first of its interval."""
+    reach, width = least - gram, -(-least // 8) * 8
+    sizes = np.array([len(c) for c in content])
+    text = np.frombuffer(b"".join([bytes(reach), *content, bytes(width)]), np.uint8)
+    some = np.flatnonzero(lead >= 0)
+    at = (np.cumsum(sizes) - sizes + lead)[some]
+    # The characters from the anchor on; a row has no window whose end lies behind its own.
+    right = np.lib.stride_tricks.sliding_window_view(text, width)[at + reach]
+    some_h = h[some]
+    order = np.lexsort((*right.view(">u8").astype(np.uint64).T[::-1], some_h))
+    right, at, some, some_h = right[order, :least], at[order], some[order], some_h[order]
+    left = np.lib.stride_tricks.sliding_window_view(text, reach + 1)[at]
+    differ = right[1:] != right[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), least)
+    other = np.diff(some_h) != 0
+    common[other] = 0
+    back_to, first = lead[some], lead[some] - starts[some] + 1
+    # `live`: rows in the order of the strings reached; `same`: numbers of the intervals of one string before the anchor.
+    live, same = np.arange(len(some)), np.r_[0, np.cumsum(other)][: len(some)]
+    for back in range(reach + 1):
+        if back:
+            on = back_to[live] >= back
+            live, same = live[on], same[on]
+            char = left[live, reach - back]
+            # Rows of smaller characters, then those above with the same one: the step of a backward search.
+            step = np.argsort(char, kind="stable")
+            live, same, char = live[step], same[step], char[step]
+            new = np.r_[True, (np.diff(same) != 0) | (char[1:] != char[:-1])][: len(live)]
+            shared = ~(new & np.r_[new[1:], True][: len(live)])
+            live, same = live[shared], np.cumsum(new)[shared]
+        if not len(live):
+            return
+        rows = first[live] <= back
+        row = live[rows]
+        deep = np.r_[0, np.cumsum(common < least - back)]
+        yield back, some[row], np.r_[True, (np.diff(same[rows]) != 0) | (np.diff(deep[row]) != 0)][: len(row)]
+
+
+def _method(least: int, gram: int):
     def run(f: pd.DataFrame, row: np.ndarray, s: np.ndarray) -> np.ndarray:
-        content = f["content"].tolist()
-        sizes = np.array([len(c) for c in content])
-        text = np.zeros(int(sizes.sum()) + len(content), np.int64)
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        inside = np.ones(len(text), bool)
-        inside[begin + sizes] = False
-        text[inside] = np.frombuffer(b"".join(content), np.uint8).astype(np.int64) + 1
-        cls = classes(text, least)[begin[row] + s]
-        pick = lambda c: f[c].to_numpy()[row]
-        return anchors.not_first(cls, pick("id"), pick("tie"), pick("at") + s)
+        content, starts, h = f["content"].tolist(), f["starts"].to_numpy(), f["h"].to_numpy().view(np.uint64)
+        lead = anchor_places(content, starts, h, least, gram)
+        # Windows at one distance from their anchors come in the order of the anchors.
+        keys = [f["id"].to_numpy(), f["tie"].to_numpy(), f["at"].to_numpy() + lead]
+        order = np.lexsort(keys[::-1])
+        age = np.empty(len(f), np.int64)
+        age[order] = np.cumsum(np.r_[False, np.any([np.diff(k[order]) != 0 for k in keys], axis=0)])
+        hit, base = np.zeros(len(row), bool), np.cumsum(starts) - starts
+        for back, rows, begins in intervals(content, lead, starts, h, least, gram):
+            if not len(rows):
+                continue
+            earliest = np.minimum.reduceat(age[rows], np.flatnonzero(begins))
+            later = rows[age[rows] > earliest[np.cumsum(begins) - 1]]
+            hit[base[later] + lead[later] - back] = True
+        return hit
 
     return run
 
@@ -123,7 +189,7 @@ def _work(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
 
 def repeated(docs: DataFrame, window: int = MIN_BYTES, gram: int = GRAM, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, tie, ranges) of the bytes covered by a string of `window` bytes that also starts earlier."""
-    return anchors.covered(anchors.rows_of(docs, id_col), units(window, gram), _method(window), **options)
+    return anchors.covered(anchors.rows_of(docs, id_col), units(window, gram), _method(window, gram), **options)
 
 
 def dedup(docs: DataFrame, window: int = MIN_BYTES, gram: int = GRAM, id_col: str = "doc_id", **options) -> DataFrame:
