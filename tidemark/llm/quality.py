@@ -100,8 +100,8 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def transformed() -> dict[str, Column]:
-    """The statistic vector in fixed point; words must not be none."""
-    n, c = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
+    """The statistic vector in fixed point; without words its ratios are null, as a division by zero is an error."""
+    n, c = (F.nullif(F.col(k), F.lit(0)).cast("double") for k in ("n_words", "word_chars"))
     value = {
         "length": F.log(n),
         "word_size": F.log(c / n),
